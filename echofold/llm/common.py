@@ -35,13 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+#: Spark's setting to drop an execution's shuffle files once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _forget() -> None:
     spark = SparkSession.getActiveSession()
     while spark is not None and _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 atexit.register(_forget)
@@ -51,13 +57,28 @@ def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 
     Lost executors then cost the tasks that were running, not the steps before. The
-    files go when the program ends.
+    shuffle files of the write go when it has ended, the rows by discard() or when the
+    program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged rows that no later step reads."""
+    for df in staged:
+        _delete(df.sparkSession, df.staged_at)
+        _written.remove(df.staged_at)
 
 
 def texts_only(docs: DataFrame) -> DataFrame:

@@ -33,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix64, raw, stage
+from .common import column, discard, mix64, raw, stage
 
 LENGTH = 200
 Q = 32
 #: Windows that hold a given q-gram: 13 pieces of 13 windows.
 SIDE = 13
+#: Window starts that are looked at together.
+STRETCH = 1 << 23
 WINDOWS = SIDE * SIDE
 assert LENGTH - Q + 1 == WINDOWS
 
@@ -57,37 +59,44 @@ def qgram_ids(text: np.ndarray) -> np.ndarray:
 
 
 def least_places(ids: np.ndarray) -> np.ndarray:
-    """For each window of WINDOWS consecutive places, the first place of its least identifier."""
+    """For each window of WINDOWS consecutive places, the first place of its least identifier.
+
+    The minimum is taken over numbers that hold the identifier's upper bits and the place,
+    so that of equal ones the first wins, wherever in a text the window lies.
+    """
     w, n = WINDOWS, len(ids) - WINDOWS + 1
+    bits = 24
     rows = -(-len(ids) // w)
     padded = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(ids)] = ids
+    padded[: len(ids)] = ids >> np.uint64(bits) << np.uint64(bits) | np.arange(len(ids), dtype=np.uint64)
     block = padded.reshape(rows, w)
     ahead = np.minimum.accumulate(block, axis=1).ravel()
     back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-    # the place: the first at or after the window's start that holds the minimum
-    new = np.r_[True, least[1:] != least[:-1]]
-    starts = np.flatnonzero(new)
-    ends = np.r_[starts[1:], n]
-    out = np.empty(n, np.int64)
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        at = s + np.flatnonzero(ids[s : e + w - 1] == least[s])
-        out[s:e] = at[0] if len(at) == 1 else at[np.searchsorted(at, np.arange(s, e))]
-    return out
+    return (least & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, bucket identifiers and the packed range of offsets at which windows chose the place."""
+    """Places, bucket identifiers and the packed range of offsets at which windows chose the place.
+
+    A text of over 16 MB is taken in stretches that overlap by a window, so that all texts
+    compare the same bits.
+    """
     if len(text) < LENGTH:
         e = np.empty(0, np.int64)
         return e, e, e
-    ids = qgram_ids(np.frombuffer(text, np.uint8))
-    place = least_places(ids)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    last = np.r_[first[1:], len(place)] - 1
-    x = place[first]
-    return x, ids[x].view(np.int64), (x - last) << 8 | (x - first)
+    parts = []
+    for at in range(0, len(text) - LENGTH + 1, STRETCH):
+        ids = qgram_ids(np.frombuffer(text[at : at + STRETCH + LENGTH - 1], np.uint8))
+        place = least_places(ids)
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        last = np.r_[first[1:], len(place)] - 1
+        x = place[first]
+        parts.append((x + at, ids[x].view(np.int64), (x - last) << 8 | (x - first)))
+    x, g, o = (np.concatenate(c) for c in zip(*parts, strict=True))
+    new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])  # a run that two stretches share is one
+    end = np.r_[new[1:], len(x)] - 1
+    return x[new], g[new], (o[end] >> 8) << 8 | (o[new] & 255)
 
 
 def _key(data: bytes, seed: int) -> bytes:
@@ -188,8 +197,10 @@ def refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rows.groupBy("i", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "x", "o", "piece")).alias("one"))
     classes = stage(classes)
     split = classes.groupBy("i").agg(F.count("*").alias("c")).where("c > 1").select("i")
-    shared = rows.join(classes.where("n > 1").select("u1", "u2"), ["u1", "u2"]).select("rid", "x", "piece")
-    return shared, classes.join(split, "i").select("one.*")
+    shared = stage(rows.join(classes.where("n > 1").select("u1", "u2"), ["u1", "u2"]).select("rid", "x", "piece"))
+    going = stage(classes.join(split, "i").select("one.*"))
+    discard(classes)
+    return shared, going
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -199,7 +210,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     often = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     by_text = found.join(often, "g").groupBy("rid").agg(F.collect_list(F.struct("x", "o", "g")).alias("anchors"))
     texts = stage(base.select("rid", "text").join(by_text, "rid").mapInArrow(_segments, "rid bigint, size int, parts array<struct<at:int,bytes:binary>>, anchors array<struct<x:int,o:int,g:bigint>>"))
-    out = None
+    discard(found)
+    out, going = None, None
     for step, width in enumerate((WINDOWS, SIDE, 1)):
         if step:
             by_text = going.groupBy("rid").agg(F.collect_list(F.struct("x", "o", "piece")).alias("anchors"))
@@ -207,10 +219,14 @@ def repeats(docs: DataFrame) -> DataFrame:
         else:
             texts_here = texts
         rows = stage(texts_here.mapInArrow(_level(step), _ROW))
+        if step:
+            discard(going)
         shared, going = refine(rows)
+        discard(rows)
         near = F.col("piece") * width
         spans = shared.select("rid", (F.col("x") - near - (width - 1)).alias("lo"), (F.col("x") - near + LENGTH).alias("hi"))
         out = spans if out is None else out.unionByName(spans)
+    discard(texts, going)
     return out
 
 

@@ -73,6 +73,14 @@ def test_substring_dedup_of_repetitive_bytes(spark, tmp_path):
     assert found == dict(enumerate(brute.removed_spans(texts)))
 
 
+def test_anchors_in_stretches(monkeypatch):
+    text = ("".join(np.random.default_rng(2).choice(list("abc "), 5000)) + "ab" * 900).encode()
+    whole = substring.anchors(text)
+    for n in (1, 97, 1000):
+        monkeypatch.setattr(substring, "STRETCH", n)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, substring.anchors(text), strict=True))
+
+
 def test_packing(any_docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out = packing.pack_documents(any_docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True).collect()
