@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,13 +19,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+        # staged, so that the joins are plain shuffled ones, which Spark can split at a node with many links
+        least = stage(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")))
         large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         large = stage(large.where("src <> dst").distinct())
         # now every link runs from a node to a smaller one
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
-        edges = stage(small.unionByName(least.select("src", F.col("m").alias("dst"))).distinct())
+        lower = stage(large.groupBy("src").agg(F.min("dst").alias("m")))
+        small = large.join(lower, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
+        edges, done = stage(small.unionByName(lower.select("src", F.col("m").alias("dst"))).distinct()), edges
+        discard(done, least, large, lower)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if state == before:
             break

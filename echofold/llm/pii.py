@@ -156,9 +156,9 @@ def discovered(scanned: DataFrame) -> DataFrame:
     base = scanned.select("rid", F.explode("base").alias("s")).select("rid", "s.*")
     free = scanned.select("rid", F.explode("free").alias("s")).select("rid", "s.*")
     edges = base.unionByName(free).select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
-    seeded = edges.where("kind >= 0").select("pattern").distinct()
+    seeded = stage(edges.where("kind >= 0").select("pattern").distinct())
     edges = stage(edges.join(seeded, "pattern", "left_semi"))
-    known = edges.where("kind >= 0").select("value", "kind").distinct()
+    known = stage(edges.where("kind >= 0").select("value", "kind").distinct())
     values = edges.select("pattern", "value").distinct()
     totals = values.groupBy("pattern").agg(F.count("*").alias("all"))
     confident = None

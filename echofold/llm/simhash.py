@@ -143,5 +143,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     roots = components(links(distinct, radius, distinct.count()))
     nodes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     nodes = stage(nodes)
-    least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = stage(nodes.groupBy("root").agg(F.min("first_id").alias("component_id")))
     return fps.join(nodes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

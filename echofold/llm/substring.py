@@ -196,10 +196,10 @@ def refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose span is shared; and a member of each refined bucket of the buckets that split."""
     classes = rows.groupBy("i", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "x", "o", "piece")).alias("one"))
     classes = stage(classes)
-    split = classes.groupBy("i").agg(F.count("*").alias("c")).where("c > 1").select("i")
+    split = stage(classes.groupBy("i").agg(F.count("*").alias("c")).where("c > 1").select("i"))
     shared = stage(rows.join(classes.where("n > 1").select("u1", "u2"), ["u1", "u2"]).select("rid", "x", "piece"))
     going = stage(classes.join(split, "i").select("one.*"))
-    discard(classes)
+    discard(classes, split)
     return shared, going
 
 
@@ -207,10 +207,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     """rid, lo, hi: stretches of bytes that are covered by windows which start elsewhere too (they may overlap)."""
     base = numbered(docs)
     found = stage(base.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_rows, "rid bigint, x int, o int, g bigint"))
-    often = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # a staged table meets the rows in a plain shuffled join, which Spark can split at a hot bucket
+    often = stage(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     by_text = found.join(often, "g").groupBy("rid").agg(F.collect_list(F.struct("x", "o", "g")).alias("anchors"))
     texts = stage(base.select("rid", "text").join(by_text, "rid").mapInArrow(_segments, "rid bigint, size int, parts array<struct<at:int,bytes:binary>>, anchors array<struct<x:int,o:int,g:bigint>>"))
-    discard(found)
+    discard(found, often)
     out, going = None, None
     for step, width in enumerate((WINDOWS, SIDE, 1)):
         if step:
