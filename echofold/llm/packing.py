@@ -46,18 +46,38 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.ids: dict[bytes, bytes] = {}
+        self.ends_word = np.zeros(1 << 16, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def tokenize(self, words: list[bytes]) -> None:
+        """Keep the words' ids. Words of letters alone are one word to the tokenizer too, so that many
+        go in a line: each then ends with the only token that ends a word."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u2")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(line):
+                rest += line
+                continue
+            data, at = ids.tobytes(), 0
+            for i, end in zip(line, ends.tolist(), strict=True):
+                self.ids[words[i]] = data[2 * at : 2 * end]
+                at = end
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            self.ids[words[i]] = np.array(e.ids, "<u2").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        parts = {w: (w,) for w in words}
+        tailed = {}
         for w in words:
             if (m := _TAILED.fullmatch(w)) and b"<|" not in w:
-                parts[w] = m.groups()
-        new = [p for p in {p for ps in parts.values() for p in ps} if p not in self.ids]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
-            self.ids[p] = np.array(e.ids, "<u2").tobytes()
-        for w, ps in parts.items():
-            if len(ps) > 1:
-                self.ids[w] = b"".join(self.ids[p] for p in ps)
+                tailed[w] = m.groups()
+        parts = {p for ps in tailed.values() for p in ps} | (words - tailed.keys())
+        self.tokenize([p for p in parts if p not in self.ids])
+        for w, (head, tail) in tailed.items():
+            self.ids[w] = self.ids[head] + self.ids[tail]
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text as unsigned 16-bit numbers, without the end id."""
