@@ -13,6 +13,7 @@ form one group of their own. Repeated rows count each. An empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,12 @@ class Pieces:
         return int(self.chars[idx].sum()), total, int(self.is_byte[tokens].sum()), float(-(p * np.log2(p)).sum())
 
 
+@lru_cache(1)
+def pieces_of(model_file: str) -> Pieces:
+    """One for all tasks of a worker, so that words stay known from one task to the next."""
+    return Pieces(model_file)
+
+
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
 
 
@@ -108,7 +115,7 @@ def measures(docs: DataFrame, model_file: str) -> DataFrame:
     fields = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", "lang string", *(f"{c} bigint" for c in _COUNTS), *(f"{c} double" for c in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file)
+        pieces = pieces_of(model_file)
         for b in small_batches(batches, 512):
             texts = raw(b)
             counts, found = [], []

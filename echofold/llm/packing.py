@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +69,7 @@ class WordTokens:
                 self.ids[words[i]] = data[2 * at : 2 * end]
                 at = end
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            self.ids[words[i]] = np.array(e.ids, "<u2").tobytes()
+            self.ids[words[i]] = array("H", e.ids).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         tailed = {}
@@ -91,6 +93,12 @@ class WordTokens:
                 yield np.frombuffer(b"".join(map(self.ids.__getitem__, words)), "<u2")
 
 
+@lru_cache(1)
+def word_tokens(path: str) -> WordTokens:
+    """One for all tasks of a worker, so that words stay known from one task to the next."""
+    return WordTokens(path)
+
+
 def fill(counts: dict[int, int], target: int) -> dict[int, int]:
     """Counts of lengths whose sum is as close to target as the lengths left allow, never above it.
 
@@ -184,7 +192,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer_path)
+        words = word_tokens(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 32
         for big in batches:
             for at in range(0, big.num_rows, BLOCK):
