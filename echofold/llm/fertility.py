@@ -2,9 +2,10 @@
 
 Per text: characters per token, the share of byte-fallback tokens and the entropy of its
 tokens, relative to the most that so many tokens can have. Rejection bands per language
-come from all texts: the quartiles of each measure, widened by a multiple of the distance
-between them. A text outside a band of its language is rejected, besides the plain rules
-on length and repetition.
+and length (in half octaves of tokens, as the measures depend on it) come from all texts:
+the median of each measure, give or take a multiple of half the distance of its quartiles.
+A text outside a band is rejected, besides the plain rules on length and repetition. Groups
+of few texts have no band.
 
 Defined results: a null, empty or white text has no words, so base_failed. Null languages
 form one group of their own. Repeated rows count each. An empty table gives no rows.
@@ -24,11 +25,13 @@ from .common import WordIds, column, raw, small_batches, stage
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-#: Quartile distances beyond the quartiles at which a text is rejected.
+#: Half quartile distances from the median at which a text is rejected.
 WIDTH = 5.0
+#: Texts that a group needs for a band.
+MIN_GROUP = 30
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: Least half-width of a band: tokenizers' measures vary by as much within good text.
-LEAST = {"chars_per_token": 0.35, "byte_share": 0.02, "token_entropy": 0.12}
+LEAST = {"chars_per_token": 0.08, "byte_share": 0.02, "token_entropy": 0.03}
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -131,16 +134,16 @@ def measures(docs: DataFrame, model_file: str) -> DataFrame:
 
 def verdicts(docs: DataFrame, model_file: str, width: float = WIDTH) -> DataFrame:
     """measures() with base_failed, band_failed and kept."""
-    found = stage(measures(docs, model_file))
+    found = stage(measures(docs, model_file)).withColumn("octave", F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    bands = found.where(F.col("n_words") >= MIN_WORDS).groupBy("lang").agg(*(F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"{m}_q") for m in MEASURES))
-    # a row a language: joined as any table, so that Spark broadcasts it only if it is small
-    out = found.join(bands, "lang", "left")
+    bands = found.where(F.col("n_words") >= MIN_WORDS).groupBy("lang", "octave").agg(F.count("*").alias("group"), *(F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"{m}_q") for m in MEASURES))
+    # a row a language and length: joined as any table, so that Spark broadcasts it only if it is small
+    out = found.join(bands, ["lang", "octave"], "left")
     inside = F.lit(True)
     for m in MEASURES:
         q = F.col(f"{m}_q")
         reach = F.greatest(F.lit(LEAST[m]), width * (q[2] - q[0]) / 2)
-        inside &= F.coalesce(F.abs(F.col(m) - q[1]) <= reach, F.lit(False))
+        inside &= F.coalesce(F.abs(F.col(m) - q[1]) <= reach, F.lit(False)) | (F.coalesce("group", F.lit(0)) < MIN_GROUP)
     return out.select("doc_id", "lang", *_COUNTS, *MEASURES, base_failed.alias("base_failed"), (~inside).alias("band_failed"), (~base_failed & inside).alias("kept"))
 
 
