@@ -8,6 +8,11 @@ level by level, the differing bits adding up, and a pair of nodes is dropped onc
 exceed the radius. A bucket returns a spanning forest of the links it has found, not all
 pairs; the components of these links are then found over the whole table.
 
+A radius of 4 bits holds few of the pairs whose shingle sets have a Jaccard similarity of
+0.8 (they differ in about 10 bits), and no trie can be walked with such a budget over a
+large table. near_copies() therefore goes on where the radius ends: texts that agree on a
+band of min-hashes are compared exactly, by hubs, so that no bucket emits all its pairs.
+
 Defined results: a null, empty or white text has the fingerprint zero and links like any
 other. Repeated rows and ties fall into one node. A null doc_id takes part, but is no
 representative unless its component has no other. An empty table gives no rows.
@@ -25,19 +30,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, raw, small_batches, stage
+from .common import column, discard, mix64, raw, small_batches, stage
 from .components import components
 
 SEED = 42
+#: Bands of min-hashes: of pairs at a similarity of 0.8, 1 in 60,000 agrees on none of them.
+BANDS, ROWS = 60, 8
+_STEPS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+#: Rounds of hubs before the members left in a bucket are compared with each other.
+HUB_ROUNDS = 4
 
 
-def fingerprint(text: bytes, k: int) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     w = text.lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = [b" ".join(x) for x in zip(*(w[i:] for i in range(k)), strict=False)] if len(w) > k else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, [SEED] * len(grams)), np.uint64, len(grams))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, [SEED] * len(grams)), np.uint64, len(grams))
+
+
+def fingerprint(text: bytes, k: int) -> int:
+    """A bit is 1 if it is set in over half of the shingles' hashes."""
+    return fingerprint_of(shingle_hashes(text, k))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):  # a bit more memory than the hashes themselves
         ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -145,3 +164,96 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     nodes = stage(nodes)
     least = stage(nodes.groupBy("root").agg(F.min("first_id").alias("component_id")))
     return fps.join(nodes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """The least value of the shingles' hashes under each of the BANDS * ROWS steps."""
+    out = np.full(len(_STEPS), np.iinfo(np.uint32).max, np.uint32)
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), 2048):
+        np.minimum(out, (_STEPS[:, None] * short[None, i : i + 2048]).min(1), out=out)
+    return out
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and, for each band, a key of its min-hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            least = np.array([least_hashes(shingle_hashes(t, shingle)) for t in raw(b)], np.uint64).reshape(-1, BANDS, ROWS)
+            keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(least), 1))
+            for r in range(ROWS):
+                keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, :, r])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, np.int32)), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), bands], ["doc_id", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, bands array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and the distinct hashes of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 128):
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in raw(b)]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, hashes array<bigint>")
+
+
+def resembling(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (src > dst) of texts whose shingle sets have that Jaccard similarity at least.
+
+    Each bucket of a band compares its smallest member, the hub, with all others. Those
+    that resemble it are of its group and leave the bucket with it; the others go on to the
+    next round. So two texts that are the smallest of their groups and share a bucket have
+    been compared, while a group of n copies costs n comparisons. What is left of a bucket
+    after HUB_ROUNDS is compared pair by pair: texts that share a band but not a hub.
+    """
+    drawn = stage(sketches(docs, shingle))
+    # texts that agree on all bands are copies: the smallest stands for them
+    copies = stage(drawn.groupBy(F.xxhash64("bands").alias("all"), F.element_at("bands", 1).alias("one")).agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
+    told = drawn.select("doc_id", F.xxhash64("bands").alias("all"), F.element_at("bands", 1).alias("one"))
+    links = [stage(told.join(copies.where("n > 1"), ["all", "one"]).where("doc_id <> head").select(F.col("doc_id").alias("src"), F.col("head").alias("dst")))]
+    keys = drawn.join(copies.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    often = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    keys = stage(keys.join(often, "key"))
+    sets = stage(shingle_sets(docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"), shingle))
+    discard(often)
+    for step in range(HUB_ROUNDS + 1):
+        if step < HUB_ROUNDS:
+            hubs = stage(keys.groupBy("key").agg(F.min("doc_id").alias("hub")))
+        else:
+            hubs = keys.withColumnRenamed("doc_id", "hub")
+        faced = stage(keys.join(hubs, "key").where("doc_id > hub").select("key", "doc_id", "hub"))
+        pairs = stage(faced.select("doc_id", "hub").distinct())
+        both = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("hashes").alias("others")), "hub")
+        shared = F.size(F.array_intersect("hashes", "others"))
+        # a little below, so that no rounding of the quotient loses a pair at the bound itself
+        alike = both.where(shared >= (least - 1e-9) * (F.size("hashes") + F.size("others") - shared))
+        links.append(stage(alike.select(F.col("doc_id").alias("src"), F.col("hub").alias("dst"))))
+        if step == HUB_ROUNDS:
+            break
+        rest = stage(faced.join(links[-1], (F.col("doc_id") == F.col("src")) & (F.col("hub") == F.col("dst")), "left_anti").select("key", "doc_id"))
+        discard(keys, hubs, faced, pairs)
+        keys = rest
+        if keys.isEmpty():
+            break
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, least: float = 0.8) -> DataFrame:
+    """doc_id, fp and component_id: groups over links within the radius and over those of resembling().
+
+    doc_ids must differ and not be null. No two texts that stand for their groups (their
+    doc_id is the component_id) and agree on a band are of that similarity.
+    """
+    near = stage(near_duplicates(docs, shingle, radius))
+    links = resembling(docs, shingle, least)
+    ties = near.where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
+    roots = stage(components(links.unionByName(ties)))
+    out = near.join(roots, near.doc_id == roots.node, "left")
+    return out.select("doc_id", "fp", F.coalesce("root", "doc_id").alias("component_id"))

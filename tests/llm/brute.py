@@ -127,3 +127,12 @@ def leaks(text, item, k=5, least=0.8):
         both = sum((c & own).values())
         best = max(best, both / (sum(c.values()) + len(y) - both))
     return best
+
+
+def shingle_set(text, k):
+    w = SPLIT.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0

@@ -153,6 +153,35 @@ def test_trie_join_finds_all_links(spark, radius):
     assert len({found.get(f, f) for f in fps}) == len(pairs)
 
 
+def test_near_copies(any_docs):
+    rows = any_docs.withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "text")
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(rows).collect()}
+    sets = {d: brute.shingle_set(t, 5) for d, t in texts_of(rows)}
+    assert out.keys() == sets.keys()
+    coarse = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, 5, 4).collect()}
+    assert all(out[d] == out[c] for d, c in coarse.items())
+    heads = [d for d in out if out[d] == d]
+    assert not [(a, b) for a in heads for b in heads if a < b and brute.jaccard(sets[a], sets[b]) >= 0.8]
+    for d, c in out.items():  # whoever goes is close to another text of its group
+        if d != c:
+            assert any(coarse[d] == coarse[e] or brute.jaccard(sets[d], sets[e]) >= 0.8 for e in out if e != d and out[e] == c)
+
+
+def test_near_copies_of_a_large_group(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    rows = []
+    for i in range(120):
+        own = list(words)
+        own[int(rng.integers(0, 300))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    shared = words[:150]
+    rows += [(200 + i, " ".join(shared + [f"y{j}" for j in rng.integers(0, 5000, 150)])) for i in range(40)]
+    out = simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert {r.component_id for r in out if r.doc_id < 200} == {0}
+    assert all(r.component_id == r.doc_id for r in out if r.doc_id >= 200)
+
+
 def test_pii_base(any_docs):
     expected = Counter((d, brute.told(brute.base_spans(t))) for d, t in texts_of(any_docs))
     found = pii.find(any_docs).select("doc_id", pii.told("base").alias("b"))
