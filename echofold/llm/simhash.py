@@ -205,10 +205,11 @@ def resembling(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links (src > dst) of texts whose shingle sets have that Jaccard similarity at least.
 
     Each bucket of a band compares its smallest member, the hub, with all others. Those
-    that resemble it are of its group and leave the bucket with it; the others go on to the
-    next round. So two texts that are the smallest of their groups and share a bucket have
-    been compared, while a group of n copies costs n comparisons. What is left of a bucket
-    after HUB_ROUNDS is compared pair by pair: texts that share a band but not a hub.
+    that resemble it are of its group, no longer the smallest there, and leave all buckets;
+    the others go on to the next round without the hub. So two texts that are the smallest
+    of their groups and share a bucket have been compared, while a group of n copies costs
+    n comparisons. What is left of a bucket after HUB_ROUNDS is compared pair by pair: texts
+    that share a band but resemble no hub.
     """
     drawn = stage(sketches(docs, shingle))
     # texts that agree on all bands are copies: the smallest stands for them
@@ -234,7 +235,7 @@ def resembling(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         links.append(stage(alike.select(F.col("doc_id").alias("src"), F.col("hub").alias("dst"))))
         if step == HUB_ROUNDS:
             break
-        rest = stage(faced.join(links[-1], (F.col("doc_id") == F.col("src")) & (F.col("hub") == F.col("dst")), "left_anti").select("key", "doc_id"))
+        rest = stage(faced.join(links[-1].select("src").distinct(), F.col("doc_id") == F.col("src"), "left_anti").select("key", "doc_id"))
         discard(keys, hubs, faced, pairs)
         keys = rest
         if keys.isEmpty():
