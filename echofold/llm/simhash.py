@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, discard, mix64, raw, small_batches, stage
@@ -37,7 +37,7 @@ SEED = 42
 #: Bands of min-hashes: of pairs at a similarity of 0.8, 1 in 60,000 agrees on none of them.
 BANDS, ROWS = 60, 8
 _STEPS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-#: Rounds of hubs before the members left in a bucket are compared with each other.
+#: Rounds of hubs before the members left in buckets are compared by their rarest shingles.
 HUB_ROUNDS = 4
 
 
@@ -201,6 +201,31 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, hashes array<bigint>")
 
 
+def sharing_rare(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (doc_id > hub) of texts that have one of their rarest shingles in common.
+
+    With all shingles in one order, rarest first, two texts of that similarity have one in
+    common among the first n - least * n + 1 of the longer and the first
+    n - 2 * least / (1 + least) * n + 1 of the shorter. Passages that many texts hold come
+    last in the order, so they pair few. Shingles of a single text count, but needn't be held.
+    """
+    words = sets.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    # staged, so that the join is a plain shuffled one, which Spark can split at a frequent shingle
+    shared = stage(words.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1"))
+    ranked = words.join(shared, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "h"))).alias("by"))
+    alone = F.col("n") - F.size("by")
+
+    def first(share: float) -> Column:  # a little below, so that no rounding of the product leaves one out
+        return F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1 - alone
+
+    held = F.slice("by", F.lit(1), F.greatest(first(least), F.lit(0)).cast("int"))
+    rare = ranked.select("doc_id", "n", F.posexplode(held).alias("place", "at"), first(2 * least / (1 + least)).alias("few"))
+    rare = stage(rare.select("doc_id", "n", "at.h", (F.col("place") < F.col("few")).alias("few")))
+    short = rare.where("few").select("h", F.col("doc_id").alias("a"), F.col("n").alias("m"))
+    met = short.join(rare.withColumnRenamed("doc_id", "b"), "h").where((F.col("m") >= (least - 1e-9) * F.col("n")) & F.expr("m < n or m = n and a < b"))
+    return met.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("hub")).distinct()
+
+
 def resembling(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links (src > dst) of texts whose shingle sets have that Jaccard similarity at least.
 
@@ -208,8 +233,8 @@ def resembling(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     that resemble it are of its group, no longer the smallest there, and leave all buckets;
     the others go on to the next round without the hub. So two texts that are the smallest
     of their groups and share a bucket have been compared, while a group of n copies costs
-    n comparisons. What is left of a bucket after HUB_ROUNDS is compared pair by pair: texts
-    that share a band but resemble no hub.
+    n comparisons. Texts left in a bucket after HUB_ROUNDS, which share a band but resemble
+    no hub, are compared where sharing_rare() pairs them, which loses no link between them.
     """
     drawn = stage(sketches(docs, shingle))
     # texts that agree on all bands are copies: the smallest stands for them
@@ -224,10 +249,10 @@ def resembling(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     for step in range(HUB_ROUNDS + 1):
         if step < HUB_ROUNDS:
             hubs = stage(keys.groupBy("key").agg(F.min("doc_id").alias("hub")))
+            faced = stage(keys.join(hubs, "key").where("doc_id > hub").select("key", "doc_id", "hub"))
+            pairs = stage(faced.select("doc_id", "hub").distinct())
         else:
-            hubs = keys.withColumnRenamed("doc_id", "hub")
-        faced = stage(keys.join(hubs, "key").where("doc_id > hub").select("key", "doc_id", "hub"))
-        pairs = stage(faced.select("doc_id", "hub").distinct())
+            pairs = stage(sharing_rare(sets.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"), least))
         both = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("hashes").alias("others")), "hub")
         shared = F.size(F.array_intersect("hashes", "others"))
         # a little below, so that no rounding of the quotient loses a pair at the bound itself

@@ -182,6 +182,23 @@ def test_near_copies_of_a_large_group(spark):
     assert all(r.component_id == r.doc_id for r in out if r.doc_id >= 200)
 
 
+def test_rare_shingles_pair_all_that_resemble(spark):
+    rng = np.random.default_rng(11)
+    passage = list(range(1000, 1085))
+    sets = [set(passage + rng.integers(10**6, 10**9, 15).tolist()) for _ in range(60)]  # near 0.74 to each other
+    for n in (1, 2, 5, 20, 60, 200):
+        base = rng.integers(0, 900, n).tolist()
+        for _ in range(12):
+            own = set(base[int(rng.integers(0, n // 4 + 1)) :] + rng.integers(0, 10**6, int(rng.integers(0, n // 4 + 1))).tolist())
+            sets.append(own | {7})
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "doc_id bigint, hashes array<bigint>")
+    found = {tuple(r) for r in simhash.sharing_rare(df, 0.8).collect()}
+    alike = {(b, a) for a in range(len(sets)) for b in range(a + 1, len(sets)) if brute.jaccard(sets[a], sets[b]) >= 0.8}
+    assert alike and alike <= found
+    assert not [1 for a, b in found if a < 60 and b < 60]
+    assert simhash.sharing_rare(df.limit(0), 0.8).count() == 0
+
+
 def test_pii_base(any_docs):
     expected = Counter((d, brute.told(brute.base_spans(t))) for d, t in texts_of(any_docs))
     found = pii.find(any_docs).select("doc_id", pii.told("base").alias("b"))
