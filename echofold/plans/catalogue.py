@@ -183,9 +183,9 @@ def zscore_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.normalized(_windows(spark, sf_dir)).select("source", "window_idx", r6("mu", "mu"), r6("sigma", "sigma"))
 
 
-@query(f"WITH {_points_sql()} SELECT source, window_idx, (generate_subscripts(z, 1) - 1)::INT AS pos, round(unnest(z), 6) AS z FROM zs WHERE window_idx % 7 = 0")
+@query(f"WITH {_points_sql()} SELECT source, window_idx, (generate_subscripts(z, 1) - 1)::INT AS pos, round(unnest(z), 6) AS z FROM zs")
 def zscore_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = encode.normalized(_windows(spark, sf_dir).where("window_idx % 7 = 0"))
+    n = encode.normalized(_windows(spark, sf_dir))
     return n.select("source", "window_idx", F.posexplode("z").alias("pos", "z")).select("source", "window_idx", "pos", r6("z", "z"))
 
 
