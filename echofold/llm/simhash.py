@@ -37,7 +37,7 @@ SEED = 42
 #: Bands of min-hashes: of pairs at a similarity of 0.8, 1 in 60,000 agrees on none of them.
 BANDS, ROWS = 60, 8
 _STEPS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-#: Rounds of hubs before the members left in buckets are compared by their rarest shingles.
+#: Rounds of hubs before the texts of buckets with several components are compared by their rarest shingles.
 HUB_ROUNDS = 4
 
 
@@ -201,40 +201,48 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, hashes array<bigint>")
 
 
-def sharing_rare(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (doc_id > hub) of texts that have one of their rarest shingles in common.
+def sharing_rare(sets: DataFrame, least: float, part: str = "doc_id") -> DataFrame:
+    """Pairs (doc_id > hub) of texts of different parts that have one of their rarest shingles in common.
 
     With all shingles in one order, rarest first, two texts of that similarity have one in
     common among the first n - least * n + 1 of the longer and the first
     n - 2 * least / (1 + least) * n + 1 of the shorter. Passages that many texts hold come
     last in the order, so they pair few. Shingles of a single text count, but needn't be held.
+    A shingle's parts are paired before their texts, so texts of one part never meet.
     """
-    words = sets.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    words = sets.select("doc_id", F.col(part).alias("part"), F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     # staged, so that the join is a plain shuffled one, which Spark can split at a frequent shingle
     shared = stage(words.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1"))
-    ranked = words.join(shared, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "h"))).alias("by"))
+    ranked = words.join(shared, "h").groupBy("doc_id", "part", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "h"))).alias("by"))
     alone = F.col("n") - F.size("by")
 
     def first(share: float) -> Column:  # a little below, so that no rounding of the product leaves one out
         return F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1 - alone
 
     held = F.slice("by", F.lit(1), F.greatest(first(least), F.lit(0)).cast("int"))
-    rare = ranked.select("doc_id", "n", F.posexplode(held).alias("place", "at"), first(2 * least / (1 + least)).alias("few"))
-    rare = stage(rare.select("doc_id", "n", "at.h", (F.col("place") < F.col("few")).alias("few")))
-    short = rare.where("few").select("h", F.col("doc_id").alias("a"), F.col("n").alias("m"))
-    met = short.join(rare.withColumnRenamed("doc_id", "b"), "h").where((F.col("m") >= (least - 1e-9) * F.col("n")) & F.expr("m < n or m = n and a < b"))
+    rare = ranked.select("doc_id", "part", "n", F.posexplode(held).alias("place", "at"), first(2 * least / (1 + least)).alias("few"))
+    rare = stage(rare.select("doc_id", "part", "n", "at.h", (F.col("place") < F.col("few")).alias("few")))
+    short = rare.where("few").select("h", F.col("part").alias("p"), F.col("doc_id").alias("a"), F.col("n").alias("m"))
+    other = rare.select("h", F.col("part").alias("q"), F.col("doc_id").alias("b"), "n")
+    least_p = stage(short.groupBy("h", "p").agg(F.min("m").alias("m0"), F.max("m").alias("m1")))
+    least_q = stage(other.groupBy("h", "q").agg(F.min("n").alias("n0"), F.max("n").alias("n1")))
+    met = stage(least_p.join(least_q, "h").where((F.col("p") != F.col("q")) & (F.col("m1") >= (least - 1e-9) * F.col("n0")) & (F.col("m0") <= F.col("n1"))).select("h", "p", "q"))
+    met = met.join(short, ["h", "p"]).join(other, ["h", "q"])
+    met = met.where((F.col("m") >= (least - 1e-9) * F.col("n")) & F.expr("m < n or m = n and a < b"))
     return met.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("hub")).distinct()
 
 
-def resembling(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (src > dst) of texts whose shingle sets have that Jaccard similarity at least.
+def resembling(docs: DataFrame, shingle: int, least: float, ties: DataFrame | None = None) -> DataFrame:
+    """Links (src, dst) of texts whose shingle sets have that Jaccard similarity at least.
 
-    Each bucket of a band compares its smallest member, the hub, with all others. Those
-    that resemble it are of its group, no longer the smallest there, and leave all buckets;
-    the others go on to the next round without the hub. So two texts that are the smallest
-    of their groups and share a bucket have been compared, while a group of n copies costs
-    n comparisons. Texts left in a bucket after HUB_ROUNDS, which share a band but resemble
-    no hub, are compared where sharing_rare() pairs them, which loses no link between them.
+    With the given ties, they join what all such links between texts of a common band join.
+    First each bucket of a band compares one member, the hub, with all others: the one that
+    meets most texts over all its buckets, as the middle of a group of edited copies does.
+    Those that resemble it leave the rounds, the others go on to the next one without the
+    hub, so a group of n copies costs about n comparisons. That leaves links of texts that
+    have left, so afterwards all texts of buckets that still hold several components, hubs
+    and those that have left included, are compared with those of other components where
+    sharing_rare() pairs them, which loses no link.
     """
     drawn = stage(sketches(docs, shingle))
     # texts that agree on all bands are copies: the smallest stands for them
@@ -242,44 +250,49 @@ def resembling(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     told = drawn.select("doc_id", F.xxhash64("bands").alias("all"), F.element_at("bands", 1).alias("one"))
     links = [stage(told.join(copies.where("n > 1"), ["all", "one"]).where("doc_id <> head").select(F.col("doc_id").alias("src"), F.col("head").alias("dst")))]
     keys = drawn.join(copies.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    often = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    keys = stage(keys.join(often, "key"))
+    often = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    reach = keys.join(often, "key").groupBy("doc_id").agg(F.sum("n").alias("reach"), F.collect_list("key").alias("keys"))
+    buckets = keys = stage(reach.select("doc_id", "reach", F.explode("keys").alias("key")))
     sets = stage(shingle_sets(docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"), shingle))
     discard(often)
-    for step in range(HUB_ROUNDS + 1):
-        if step < HUB_ROUNDS:
-            hubs = stage(keys.groupBy("key").agg(F.min("doc_id").alias("hub")))
-            faced = stage(keys.join(hubs, "key").where("doc_id > hub").select("key", "doc_id", "hub"))
-            pairs = stage(faced.select("doc_id", "hub").distinct())
-        else:
-            pairs = stage(sharing_rare(sets.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"), least))
+
+    def alike(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("hashes").alias("others")), "hub")
         shared = F.size(F.array_intersect("hashes", "others"))
         # a little below, so that no rounding of the quotient loses a pair at the bound itself
-        alike = both.where(shared >= (least - 1e-9) * (F.size("hashes") + F.size("others") - shared))
-        links.append(stage(alike.select(F.col("doc_id").alias("src"), F.col("hub").alias("dst"))))
-        if step == HUB_ROUNDS:
-            break
-        rest = stage(faced.join(links[-1].select("src").distinct(), F.col("doc_id") == F.col("src"), "left_anti").select("key", "doc_id"))
-        discard(keys, hubs, faced, pairs)
+        both = both.where(shared >= (least - 1e-9) * (F.size("hashes") + F.size("others") - shared))
+        return stage(both.select(F.col("doc_id").alias("src"), F.col("hub").alias("dst")))
+
+    for _ in range(HUB_ROUNDS):
+        hubs = stage(keys.groupBy("key").agg(F.min(F.struct(-F.col("reach"), "doc_id")).alias("hub")).select("key", "hub.doc_id").withColumnRenamed("doc_id", "hub"))
+        faced = stage(keys.join(hubs, "key").where("doc_id <> hub").select("key", "doc_id", "reach", "hub"))
+        pairs = stage(faced.select("doc_id", "hub").distinct())
+        links.append(alike(pairs))
+        rest = stage(faced.join(links[-1].select("src").distinct(), F.col("doc_id") == F.col("src"), "left_anti").select("key", "doc_id", "reach"))
+        discard(hubs, faced, pairs, *([keys] if keys is not buckets else []))
         keys = rest
         if keys.isEmpty():
             break
-    out = links[0]
+    found = links[0] if ties is None else links[0].unionByName(ties)
     for x in links[1:]:
-        out = out.unionByName(x)
-    return out
+        found = found.unionByName(x)
+    roots = stage(components(found))
+    placed = stage(buckets.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("part")))
+    torn = stage(placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key"))
+    unsettled = stage(placed.join(torn, "key").select("doc_id", "part").distinct())
+    pairs = stage(sharing_rare(sets.join(unsettled, "doc_id"), least, "part"))
+    discard(keys, placed, torn, *([buckets] if keys is not buckets else []))
+    return found.unionByName(alike(pairs))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, least: float = 0.8) -> DataFrame:
-    """doc_id, fp and component_id: groups over links within the radius and over those of resembling().
+    """doc_id, fp and component_id: groups over links within the radius and over those of texts of that similarity.
 
-    doc_ids must differ and not be null. No two texts that stand for their groups (their
-    doc_id is the component_id) and agree on a band are of that similarity.
+    doc_ids must differ and not be null. No two texts of different groups that agree on a
+    band are of that similarity.
     """
     near = stage(near_duplicates(docs, shingle, radius))
-    links = resembling(docs, shingle, least)
     ties = near.where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
-    roots = stage(components(links.unionByName(ties)))
+    roots = stage(components(resembling(docs, shingle, least, ties)))
     out = near.join(roots, near.doc_id == roots.node, "left")
     return out.select("doc_id", "fp", F.coalesce("root", "doc_id").alias("component_id"))

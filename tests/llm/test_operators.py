@@ -182,6 +182,29 @@ def test_near_copies_of_a_large_group(spark):
     assert all(r.component_id == r.doc_id for r in out if r.doc_id >= 200)
 
 
+def test_near_copies_of_stars_in_any_order(spark):
+    rng = np.random.default_rng(21)
+    texts = []
+    for g in range(12):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        texts.append(" ".join(words))
+        for i in range(8):  # near 0.84 to the first text, 0.71 to each other
+            own = list(words)
+            for place in rng.choice(np.arange(5, 295, 6), 5, replace=False):
+                own[place] = f"x{g}.{i}.{place}"
+            texts.append(" ".join(own))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    out = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()
+    sets, fps = [brute.shingle_set(t, 5) for t in texts], [brute.fingerprint(t, 5) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if brute.jaccard(sets[a], sets[b]) >= 0.8 or (fps[a] ^ fps[b]).bit_count() <= 4:
+                group = [min(group[a], group[b]) if x in (group[a], group[b]) else x for x in group]
+    assert len(set(group)) == 12
+    assert {r.doc_id: r.component_id for r in out} == dict(enumerate(group))
+
+
 def test_rare_shingles_pair_all_that_resemble(spark):
     rng = np.random.default_rng(11)
     passage = list(range(1000, 1085))
