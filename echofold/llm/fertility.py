@@ -4,8 +4,9 @@ Per text: characters per token, the share of byte-fallback tokens and the entrop
 tokens, relative to the most that so many tokens can have. Rejection bands per language
 and length (in half octaves of tokens, as the measures depend on it) come from all texts:
 the median of each measure, give or take a multiple of half the distance of its quartiles.
-A text outside a band is rejected, besides the plain rules on length and repetition. Groups
-of few texts have no band.
+A text outside a band is rejected, besides the plain rules on length and repetition. A group
+of few texts takes the band of its language's texts of the nearest lengths, as far as needed,
+or, in a language of few texts, of all texts of the nearest lengths.
 
 Defined results: a null, empty or white text has no words, so base_failed. Null languages
 form one group of their own. Repeated rows count each. An empty table gives no rows.
@@ -18,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordIds, column, raw, small_batches, stage
@@ -27,7 +28,7 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: Half quartile distances from the median at which a text is rejected.
 WIDTH = 5.0
-#: Texts that a group needs for a band.
+#: Texts that a band is drawn from at least, if there are as many.
 MIN_GROUP = 30
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: Least half-width of a band: tokenizers' measures vary by as much within good text.
@@ -132,18 +133,46 @@ def measures(docs: DataFrame, model_file: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text").mapInArrow(run, fields)
 
 
+def nearest(groups: DataFrame, *by: str) -> DataFrame:
+    """by, octave and reach: the octaves up or down within which MIN_GROUP texts lie, null if there are not as many."""
+    sums = groups.groupBy(*by, "octave").agg(F.sum("n").alias("n"))
+    other = sums.select(*by, F.col("octave").alias("o"), F.col("n").alias("m"))
+    met = (sums.join(other, [*by]) if by else sums.crossJoin(other)).withColumn("away", F.abs(F.col("octave") - F.col("o")))
+    upto = Window.partitionBy(*by, "octave").orderBy("away").rangeBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("total", F.sum("m").over(upto))
+    return met.groupBy(*by, "octave").agg(F.min(F.when(F.col("total") >= MIN_GROUP, F.col("away"))).alias("reach"))
+
+
+def bands(groups: DataFrame, judged: DataFrame) -> DataFrame:
+    """lang, octave and the quartiles of each measure (<measure>_q) for all groups, from the judged texts."""
+    counts = judged.groupBy("lang", "octave").agg(F.count("*").alias("n"))
+    groups = stage(groups.join(counts, ["lang", "octave"], "left").fillna(0, ["n"]))
+    own = stage(nearest(groups, "lang"))
+    thin = own.where("reach is null").select("octave").distinct()
+    far = nearest(groups).join(thin, "octave").select("octave", F.coalesce("reach", F.lit(1 << 16)).alias("reach"))
+    sources = groups.where("n > 0").select(F.col("lang").alias("l"), F.col("octave").alias("o"))
+    near = F.abs(F.col("octave") - F.col("o")) <= F.col("reach")
+    drawn = own.join(sources, (F.col("lang") == F.col("l")) & near).select("l", "o", F.lit(False).alias("pooled"), "lang", "octave")
+    drawn = drawn.unionByName(far.join(sources, near).select("l", "o", F.lit(True).alias("pooled"), F.lit("").alias("lang"), "octave"))
+    texts = judged.select(F.col("lang").alias("l"), F.col("octave").alias("o"), *MEASURES).join(stage(drawn), ["l", "o"])
+    found = stage(texts.groupBy("pooled", "lang", "octave").agg(*(F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"{m}_q") for m in MEASURES)))
+    quartiles = [f"{m}_q" for m in MEASURES]
+    few = own.where("reach is null").select("lang", "octave").join(found.where("pooled").select("octave", *quartiles), "octave")
+    return stage(found.where("not pooled").select("lang", "octave", *quartiles).unionByName(few.select("lang", "octave", *quartiles)))
+
+
 def verdicts(docs: DataFrame, model_file: str, width: float = WIDTH) -> DataFrame:
     """measures() with base_failed, band_failed and kept."""
     found = stage(measures(docs, model_file)).withColumn("octave", F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    bands = found.where(F.col("n_words") >= MIN_WORDS).groupBy("lang", "octave").agg(F.count("*").alias("group"), *(F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"{m}_q") for m in MEASURES))
+    judged = stage(found.where(F.col("n_words") >= MIN_WORDS).select("lang", "octave", *MEASURES))
     # a row a language and length: joined as any table, so that Spark broadcasts it only if it is small
-    out = found.join(bands, ["lang", "octave"], "left")
+    out = found.join(bands(found.select("lang", "octave").distinct(), judged), ["lang", "octave"], "left")
     inside = F.lit(True)
     for m in MEASURES:
         q = F.col(f"{m}_q")
         reach = F.greatest(F.lit(LEAST[m]), width * (q[2] - q[0]) / 2)
-        inside &= F.coalesce(F.abs(F.col(m) - q[1]) <= reach, F.lit(False)) | (F.coalesce("group", F.lit(0)) < MIN_GROUP)
+        inside &= F.coalesce(F.abs(F.col(m) - q[1]) <= reach, F.lit(False))
     return out.select("doc_id", "lang", *_COUNTS, *MEASURES, base_failed.alias("base_failed"), (~inside).alias("band_failed"), (~base_failed & inside).alias("kept"))
 
 

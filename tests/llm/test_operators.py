@@ -256,6 +256,31 @@ def test_fertility_counts(any_docs):
     assert not any(r.kept and r.base_failed for r in out)
 
 
+def prose(docs, rng, n):
+    """Texts of 100 to 125 words drawn from those of the table's English ones."""
+    words = sorted({w for r in docs.where("lang = 'en'").collect() for w in (r.text or "").split() if w.isascii() and w.isalpha()})[:800]
+    return [" ".join(rng.choice(words, int(rng.integers(100, 125)))) for _ in range(n)]
+
+
+def fertility_of(spark, tmp_path, texts):
+    spark.createDataFrame(texts, "doc_id bigint, lang string, text string").write.parquet(str(tmp_path))
+    out = fertility.verdicts(spark.read.parquet(str(tmp_path)), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    return {r.doc_id: (r.base_failed, r.band_failed, r.kept) for r in out}
+
+
+def test_fertility_judges_thin_groups(spark, docs, tmp_path):
+    rng = np.random.default_rng(4)
+    texts = [(i, "en", t) for i, t in enumerate(prose(docs, rng, 80))]
+
+    def junk(n):
+        return " ".join("".join(rng.choice(list("qxzjkvw#%"), 7)) for _ in range(n))
+
+    texts += [(100, "en", junk(900)), (101, "rare", junk(110)), (102, "rare", texts[5][2] + " end")]
+    out = fertility_of(spark, tmp_path / "d", texts)
+    assert out[100] == out[101] == (False, True, False)
+    assert out[102] == (False, False, True) and sum(out[i][2] for i in range(80)) > 70
+
+
 @pytest.mark.parametrize("shards", [1, 7, 40])
 def test_ring(any_docs, shards):
     out = ring.assign(any_docs, shards=shards, virtual=16).collect()
