@@ -2,14 +2,15 @@
 
 Per text: characters per token, the share of byte-fallback tokens and the entropy of its
 tokens, relative to the most that so many tokens can have. Rejection bands per language
-and length (in half octaves of tokens, as the measures depend on it) come from all texts:
-the median of each measure, give or take a multiple of half the distance of its quartiles.
+and length (in half octaves of tokens, as the measures depend on it) come from all
+distinct texts: the median of each measure, give or take a multiple of half the distance of its quartiles.
 A text outside a band is rejected, besides the plain rules on length and repetition. A group
 of few texts takes the band of its language's texts of the nearest lengths, as far as needed,
 or, in a language of few texts, of all texts of the nearest lengths.
 
 Defined results: a null, empty or white text has no words, so base_failed. Null languages
-form one group of their own. Repeated rows count each. An empty table gives no rows.
+form one group of their own. Repeated rows each get a
+verdict, but a text counts once in the bands of its language. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,8 +117,8 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def measures(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, lang, the counts and the tokenizer's measures (null without tokens) of each text."""
-    fields = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", "lang string", *(f"{c} bigint" for c in _COUNTS), *(f"{c} double" for c in MEASURES)])
+    """doc_id, lang, the counts, the tokenizer's measures (null without tokens) and a hash of each text."""
+    fields = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", "lang string", *(f"{c} bigint" for c in _COUNTS), *(f"{c} double" for c in MEASURES), "digest bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_file)
@@ -128,7 +130,8 @@ def measures(docs: DataFrame, model_file: str) -> DataFrame:
                 counts.append((len(idx), chars, sum(map(t.count, (SYMBOLS[i : i + 1] for i in range(len(SYMBOLS))))), dup_lines(t), repeated(idx), n))
                 found.append((chars / n, n_byte / n, h / np.log2(n) if n > 1 else 1.0) if n else (None, None, None))
             cols = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] + [pa.array(c, pa.float64()) for c in zip(*found, strict=True)]
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "lang").cast(pa.string()), *cols], ["doc_id", "lang", *_COUNTS, *MEASURES])
+            cols.append(pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "lang").cast(pa.string()), *cols], ["doc_id", "lang", *_COUNTS, *MEASURES, "digest"])
 
     return docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text").mapInArrow(run, fields)
 
@@ -165,7 +168,7 @@ def verdicts(docs: DataFrame, model_file: str, width: float = WIDTH) -> DataFram
     """measures() with base_failed, band_failed and kept."""
     found = stage(measures(docs, model_file)).withColumn("octave", F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    judged = stage(found.where(F.col("n_words") >= MIN_WORDS).select("lang", "octave", *MEASURES))
+    judged = stage(found.where(F.col("n_words") >= MIN_WORDS).groupBy("lang", "octave", "digest").agg(*(F.min(m).alias(m) for m in MEASURES)))
     # a row a language and length: joined as any table, so that Spark broadcasts it only if it is small
     out = found.join(bands(found.select("lang", "octave").distinct(), judged), ["lang", "octave"], "left")
     inside = F.lit(True)

@@ -281,6 +281,18 @@ def test_fertility_judges_thin_groups(spark, docs, tmp_path):
     assert out[102] == (False, False, True) and sum(out[i][2] for i in range(80)) > 70
 
 
+def test_fertility_bands_count_copies_once(spark, docs, tmp_path):
+    rng = np.random.default_rng(6)
+    texts = [(i, "en", t) for i, t in enumerate(prose(docs, rng, 80))]
+    texts += [(80 + i, "en", " ".join(rng.choice(texts[0][2].split()[:40], 110))) for i in range(8)]  # of few words, so of low entropy
+    alone = fertility_of(spark, tmp_path / "a", texts)
+    assert sum(alone[i][2] for i in range(80)) > 70
+    copies = [(1000 + i, "en", texts[80][2]) for i in range(300)]
+    both = fertility_of(spark, tmp_path / "b", texts + copies)
+    assert {d: v for d, v in both.items() if d < 1000} == alone
+    assert {both[d] for d, _, _ in copies} == {alone[80]}
+
+
 @pytest.mark.parametrize("shards", [1, 7, 40])
 def test_ring(any_docs, shards):
     out = ring.assign(any_docs, shards=shards, virtual=16).collect()
