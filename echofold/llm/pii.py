@@ -5,8 +5,9 @@ lexical patterns (the two words before; the word before and the word after). All
 identifier-like tokens of the table are candidates with the same kind of contexts. On the
 graph of patterns and values, rounds of scoring alternate: a pattern's confidence is the
 share of known ones among its distinct values, if it has enough of them; a candidate of a
-fitting shape in a confident pattern becomes known and supports other patterns. What has
-become known is returned beside the base spans.
+fitting shape in a confident pattern becomes known and supports other patterns, seeded or
+not. Rounds end when nothing more becomes known. What has become known is returned beside
+the base spans.
 
 DataFrame operations throughout. The patterns are written so that their matching is linear
 in the text: runs are possessive and start where a run of their characters starts.
@@ -23,13 +24,12 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Known values that a pattern needs, and their share among its values.
 SUPPORT = 3
 CONFIDENCE = 0.75
-ROUNDS = 3
 
 # Equal to the contract's patterns in what they match: a class's run can't be entered later
 # than its start (or the end of the match before), as every later start fails or is reached first.
@@ -156,20 +156,21 @@ def discovered(scanned: DataFrame) -> DataFrame:
     base = scanned.select("rid", F.explode("base").alias("s")).select("rid", "s.*")
     free = scanned.select("rid", F.explode("free").alias("s")).select("rid", "s.*")
     edges = base.unionByName(free).select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
-    seeded = stage(edges.where("kind >= 0").select("pattern").distinct())
-    edges = stage(edges.join(seeded, "pattern", "left_semi"))
+    edges = stage(edges)
     known = stage(edges.where("kind >= 0").select("value", "kind").distinct())
     values = edges.select("pattern", "value").distinct()
-    totals = values.groupBy("pattern").agg(F.count("*").alias("all"))
-    confident = None
-    for _ in range(ROUNDS):
+    # a pattern of fewer values than SUPPORT can't become confident, whatever becomes known
+    totals = stage(values.groupBy("pattern").agg(F.count("*").alias("all")).where(F.col("all") >= SUPPORT))
+    values = stage(values.join(totals, "pattern", "left_semi"))
+    count = known.count()
+    while True:
         supported = values.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
         confident = stage(supported.join(totals, "pattern").where(F.col("n") >= CONFIDENCE * F.col("all")).select("pattern", "kind"))
-        if confident.isEmpty():
-            break
         grown = values.join(confident, "pattern").where(_fits(F.col("kind"), F.col("value"))).select("value", "kind")
-        before, known = known, stage(known.unionByName(grown).distinct())
-        if known.count() == before.count():
+        grown = stage(known.unionByName(grown).distinct())
+        discard(known)
+        known, before, count = grown, count, grown.count()
+        if count == before:
             break
     spans = free.select("rid", "start", "end", "value", F.explode("patterns").alias("pattern")).join(confident, "pattern")
     return spans.where(_fits(F.col("kind"), F.col("value"))).groupBy("rid", "start").agg(F.min(F.struct("kind", "end", "value")).alias("s")).select("rid", "start", "s.*")

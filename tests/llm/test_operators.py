@@ -238,6 +238,20 @@ def test_pii_discovers_by_context(spark, tmp_path):
     assert masked[12] == "please call me at [PHONE] today friend" and masked[14] == texts[14]
 
 
+def test_pii_discovers_over_several_hops(spark, tmp_path):
+    def number(hop, i):
+        return f"743-555-{hop}{i:03d}"
+
+    texts = [f"please call me at +1 (743) 555-38{i:02d} today friend" for i in range(12)] + [f"please call me at {number(0, i)} today friend" for i in range(3)]
+    texts += [f"the desk line is {number(0, i)} sir" for i in range(3)] + [f"the desk line is {number(1, 0)} sir"]  # no base span in this context
+    for hop in range(2, 7):  # each context holds three numbers of the one before and one more that no other holds
+        old = [number(hop - 1, 0), *(number(0, i) for i in range(2))]
+        texts += [f"c{'abcdefgh'[hop]} says {v} ok" for v in [*old, number(hop, 0)]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    found = {s.value for r in pii.find(spark.read.parquet(str(tmp_path / "d"))).collect() for s in r.spans}
+    assert {number(hop, 0) for hop in range(7)} <= found
+
+
 def test_pii_mask_keeps_columns(any_docs):
     out = pii.mask(any_docs)
     assert out.columns == any_docs.columns
