@@ -38,7 +38,7 @@ class ProjectionEncoder:
     def encode(self, windows: DataFrame) -> DataFrame:
         rows = np.random.default_rng(self.seed).standard_normal((self.width, self.length)) / np.sqrt(self.width)
         matrix = F.array(*(F.array(*map(F.lit, r)) for r in rows.tolist()))
-        return windows.withColumn("vector", V.l2(F.transform(matrix, lambda r: V.dot(r, F.col("z")))))
+        return windows.withColumn("vector", V.let(F.col("z"), lambda z: V.l2(F.transform(matrix, lambda r: V.dot(r, z)))))
 
 
 @dataclass(frozen=True)
@@ -75,8 +75,7 @@ class OnnxEncoder:
 
 def normalized(windows: DataFrame) -> DataFrame:
     """windows with mu, sigma (floored) and z of their histories."""
-    out = windows.withColumn("mu", V.mean("history_x")).withColumn("sigma", V.floored(V.std_pop("history_x")))
-    return out.withColumn("z", V.zscore("history_x", F.col("mu"), F.col("sigma")))
+    return windows.withColumn("_m", V.moments("history_x")).select(*windows.columns, "_m.mu", "_m.sigma", "_m.z")
 
 
 def encoded(windows: DataFrame, encoder: Encoder | None = None) -> DataFrame:

@@ -14,8 +14,9 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The payload keys that filters may name.
-KEYS = ("month", "hour", "is_weekend", "time_of_day", "source", "mu", "sigma")
+#: The payload keys that filters may name, with the kinds of values they are compared with.
+TYPES = {"month": int, "hour": int, "is_weekend": bool, "time_of_day": str, "source": str, "mu": (int, float), "sigma": (int, float)}
+KEYS = tuple(TYPES)
 _RANGE = {"gte": Column.__ge__, "gt": Column.__gt__, "lt": Column.__lt__, "lte": Column.__le__}
 LISTS = ("must", "should", "must_not")
 
@@ -28,17 +29,25 @@ def is_active(spec: dict[str, list] | None) -> bool:
     return bool(spec) and any(spec.get(k) for k in LISTS)
 
 
+def _checked(key: str, value: Any) -> Any:
+    """The value, if it is of the key's kind: true is no number, and 7 is no text."""
+    kind = TYPES.get(key)
+    if kind and (not isinstance(value, kind) or (isinstance(value, bool) and kind is not bool)):
+        raise ValueError(f"{value!r} is no value of {key}")
+    return value
+
+
 def condition(c: dict[str, Any], keys: tuple[str, ...] = KEYS) -> Column:
     if (key := c.get("key")) not in keys:
         raise ValueError(f"unknown filter key {key!r}")
     col = F.col(key)
     if "match" in c:
-        wanted = c["match"]["any"] if "any" in c["match"] else [c["match"]["value"]]
+        wanted = [_checked(key, v) for v in (c["match"]["any"] if "any" in c["match"] else [c["match"]["value"]])]
         return F.coalesce(col.isin(wanted), F.lit(False)) if wanted else F.lit(False)
     if "range" in c:
         if unknown := set(c["range"]) - set(_RANGE):
             raise ValueError(f"unknown bounds {sorted(unknown)}")
-        return F.coalesce(reduce(and_, (_RANGE[op](col, v) for op, v in c["range"].items()), F.lit(True) & col.isNotNull()), F.lit(False))
+        return F.coalesce(reduce(and_, (_RANGE[op](col, _checked(key, v)) for op, v in c["range"].items()), F.lit(True) & col.isNotNull()), F.lit(False))
     raise ValueError(f"a condition needs match or range: {c}")
 
 

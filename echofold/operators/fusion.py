@@ -30,10 +30,10 @@ def valid_hits(hits: DataFrame) -> DataFrame:
     return hits.where(F.size(F.coalesce("future_y", F.array().cast("array<double>"))) > 0)
 
 
-def future_length(hits: DataFrame, query_key: str, default: int) -> DataFrame:
-    """The length of each query's first hit's future, or the default."""
-    first = F.min_by(F.size("future_y"), "rank_no")
-    return hits.groupBy(query_key).agg(F.coalesce(F.nullif(first, F.lit(0)), F.lit(default)).alias("future_length"))
+def future_length(queries: DataFrame, hits: DataFrame, query_key: str, default: int) -> DataFrame:
+    """The length of each query's first hit's future; the default if that is empty or there is no hit."""
+    first = hits.groupBy(query_key).agg(F.min_by(F.size(F.coalesce("future_y", F.array().cast("array<double>"))), "rank_no").alias("_n"))
+    return queries.select(query_key).join(first, query_key, "left").select(query_key, F.coalesce(F.nullif("_n", F.lit(0)), F.lit(default)).alias("future_length"))
 
 
 def fuse(hits: DataFrame, query_key: str, steps: int, normalized: bool = True) -> DataFrame:
@@ -64,7 +64,7 @@ def rescaled(fused: DataFrame, queries: DataFrame, query_key: str, steps: int, n
 def chunk_values(values: Column | str, mu: Column, sigma: Column) -> Column:
     """A hit's own future on its own scale, to 4 places; unchanged if the deviation is next to nothing."""
     scaled = F.when(sigma < SIGMA_FLOOR, values if isinstance(values, Column) else F.col(values)).otherwise(V.unzscore(values, mu, sigma))
-    return F.transform(scaled, lambda x: F.round(x, 4))
+    return F.transform(scaled, lambda x: F.round(x, 4))  # halves go up, not to the even digit
 
 
 def cross_features(pairs: DataFrame) -> DataFrame:
@@ -79,4 +79,5 @@ def cross_features(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: The ranker's features in their order.
 FEATURES = ("distance", "abs_mu_diff", "abs_sigma_diff", "is_same_month", "is_same_time_of_day", "is_same_weekday", "mu_ratio")

@@ -36,14 +36,6 @@ def parse_intent(question: str, sources: tuple[str, ...] = (), model: Callable[[
     return found
 
 
-def mentions(question: Column, n: int) -> Column:
-    """Whether a column of questions meets rule n."""
-    low = F.lower(question)
-    out = F.lit(False)
-    for p in RULES[n][0]:
-        out |= F.contains(low, F.lit(p))
-    return out
-
-
 def status_message(k: Column, filtered: Column, n: Column) -> Column:
-    return F.format_string("top %d %s filter: %d hits", k, F.when(filtered, "with").otherwise("without"), n)
+    found = F.format_string("top %d %s filter: %d hits", k, F.when(filtered, "with").otherwise("without"), n)
+    return F.when(n > 0, found).otherwise(F.lit("no similar window was found; the forecast is the mean of the history"))

@@ -1,54 +1,157 @@
 """Exact nearest neighbours by cosine, with payload filters applied before ranking.
 
-The query set is broadcast if it is small; larger sets run in blocks of queries, each
-against all points. At most k rows a query and partition are shuffled.
+The points stay where they are: each task multiplies its batches of points with a block of
+query vectors as matrices and gives, for each query, only those that can be among its k
+best of the task so far. Spark then ranks these few. A block of queries is at most
+QUERY_BYTES of vectors, whatever the tables' sizes; more queries take more passes, whose
+results are staged one after the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import vectors as V
+from ..sources.staging import discard, stage
 
-#: Queries in a block: their vectors are what is broadcast.
-QUERY_BLOCK = 2_000
+#: The most bytes of query vectors that go to the executors at once.
+QUERY_BYTES = 64 << 20
+#: Scores that a task holds at once.
+TILE = 1 << 21
+PLACES = 9
 
 
-def scored(queries: DataFrame, points: DataFrame, pair: Column | None = None) -> DataFrame:
-    """Columns of both sides and score, for each pair that the condition lets through. Vectors must be unit vectors."""
-    on = pair if pair is not None else F.lit(True)
-    pairs = points.join(F.broadcast(queries), on)
-    return pairs.withColumn("score", V.dot("q_vector", "vector")).drop("q_vector", "vector")
+class Block(NamedTuple):
+    keys: pa.Array
+    vectors: np.ndarray
+    before: np.ndarray | None
 
 
-def top_k(pairs: DataFrame, k: int, query_key: str, keys: list[str]) -> DataFrame:
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    if len(flat) != len(vectors) * width:
+        raise ValueError(f"vectors must have {width} dimensions")
+    return flat.reshape(len(vectors), width)
+
+
+def _micros(times: pa.Array) -> np.ndarray:
+    """Times as numbers; a missing one is later than all, so that it comes before none."""
+    return np.asarray(pc.fill_null(times.cast(pa.int64()), np.iinfo(np.int64).max))
+
+
+class Best:
+    """The k best rounded scores of each query so far."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.scores = k, np.full((k, queries), -np.inf)
+
+    def take(self, lo: int, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of scores (points in key order, by queries from lo on): rows and columns of those that may still count."""
+        k, held = min(self.k, len(scores)), self.scores[:, lo : lo + scores.shape[1]]
+        kth = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+        bound = np.maximum(kth, held.min(0))
+        better = scores > kth
+        even = (scores == kth) & (kth > -np.inf)
+        room = k - better.sum(0)
+        first = even if (even.sum(0) <= room).all() else even & (np.cumsum(even, axis=0) <= room)
+        row, col = np.nonzero((better | first) & (scores >= bound))
+        top = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k :]
+        both = np.concatenate([held, top])
+        held[:] = np.partition(both, len(both) - self.k, axis=0)[len(both) - self.k :]
+        return row, col
+
+
+def candidates(block, points: DataFrame, k: int, query_key: str, key_type: str, keys: list[str], threshold: float | None, exclude: str | None, before: str | None, passing: str | None) -> DataFrame:
+    """For each query of the block the points that can be among its k best (of those that pass and of the others)."""
+    given = [c for c in points.columns if c != "vector"]
+    schema = T.StructType([T.StructField(query_key, T._parse_datatype_string(key_type)), *(points.schema[c] for c in given), T.StructField("score", T.DoubleType()), T.StructField("_rounded", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = block.value
+        best = {flag: Best(len(q.vectors), k) for flag in (True, False)}
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            table = table.filter(pc.is_valid(table["vector"])).sort_by([(c, "ascending") for c in keys]).combine_chunks()
+            for flag in (True, False):
+                part = table if passing is None else table.filter(pc.equal(table[passing], flag))
+                if not len(part) or (passing is None and not flag):
+                    continue
+                x = _matrix(part["vector"].combine_chunks(), q.vectors.shape[1])
+                times = None if before is None else _micros(part[before].combine_chunks())
+                size = max(1, TILE // len(x))
+                for lo in range(0, len(q.vectors), size):
+                    s = x @ q.vectors[lo : lo + size].T
+                    rounded = np.round(s, PLACES)
+                    if times is not None:
+                        rounded[times[:, None] >= q.before[None, lo : lo + size]] = -np.inf
+                    if exclude is not None:
+                        same = pc.index_in(part[exclude].combine_chunks(), q.keys.slice(lo, size))
+                        at = np.flatnonzero(np.asarray(pc.is_valid(same)))
+                        rounded[at, np.asarray(same.drop_null())] = -np.inf
+                    if threshold is not None:
+                        rounded[s < threshold] = -np.inf
+                    row, col = best[flag].take(lo, rounded)
+                    good = rounded[row, col] > -np.inf
+                    row, col = row[good], col[good]
+                    if len(row):
+                        own = part.select(given).take(pa.array(row)).combine_chunks().to_batches()[0]
+                        yield pa.RecordBatch.from_arrays([q.keys.take(pa.array(lo + col)), *own.columns, pa.array(s[row, col]), pa.array(rounded[row, col])], schema.names)
+
+    return points.mapInArrow(run, schema)
+
+
+def top_k(found: DataFrame, k: int, query_key: str, keys: list[str]) -> DataFrame:
     """The k best of each query with rank_no; equal scores (to 9 places) go by key."""
-    w = Window.partitionBy(query_key).orderBy(F.round("score", 9).desc(), *keys)
-    return pairs.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k)
+    w = Window.partitionBy(query_key).orderBy(F.col("_rounded").desc(), *keys)
+    return found.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k)
 
 
-def search(queries: DataFrame, points: DataFrame, k: int, query_key: str, keys: list[str], where: Column | None = None, threshold: float | None = None, pair: Column | None = None, fallback: bool = False) -> DataFrame:
-    """Hits of each query. fallback: a query without a hit under the filter takes its hits without it."""
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    if blocks > 1:
-        part = F.pmod(F.xxhash64(query_key), F.lit(blocks))
-        each = [search(queries.where(part == i), points, k, query_key, keys, where, threshold, pair, fallback) for i in range(blocks)]
-        return reduce(DataFrame.unionByName, each)
-    if where is not None and not fallback:
-        points = points.where(where)
+def search(queries: DataFrame, points: DataFrame, k: int, query_key: str, keys: list[str], where: Column | None = None, threshold: float | None = None, exclude: str | None = None, before: tuple[str, str] | None = None, fallback: bool = False) -> DataFrame:
+    """Hits of each query: the points' columns without vector, the queries' without q_vector, score and rank_no.
+
+    Vectors must be unit vectors; a null one is no point and no query. where filters the
+    points. exclude: the points' column that must differ from the query's key. before: the
+    points' time that must come before the queries' time (a missing one does not). fallback:
+    a query without a hit under the filter takes its hits without it.
+    """
+    if k < 1:
+        raise ValueError("k is at least 1")
+    asked = queries.where("q_vector is not null")
+    width = asked.agg(F.count("*").alias("n"), F.max(F.size("q_vector")).alias("width")).first()
+    blocks = -(-(width["n"] * (width["width"] or 1) * 8) // QUERY_BYTES) or 1
+    if where is not None:
+        points = points.withColumn("_pass", F.coalesce(where, F.lit(False))) if fallback else points.where(where)
     elif fallback:
-        points = points.withColumn("_pass", where if where is not None else F.lit(True))
-    pairs = scored(queries, points, pair)
-    if threshold is not None:
-        pairs = pairs.where(F.col("score") >= threshold)
-    if not fallback:
-        return top_k(pairs, k, query_key, keys)
-    # the best k with and without the filter are few rows; which of them count is settled after that
-    both = Window.partitionBy(query_key, "_pass").orderBy(F.round("score", 9).desc(), *keys)
-    best = pairs.withColumn("_r", F.row_number().over(both)).where(F.col("_r") <= k)
-    found = best.withColumn("_hit", F.max("_pass").over(Window.partitionBy(query_key)))
-    kept = found.where(F.col("_pass") | ~F.col("_hit")).withColumn("fallback_used", ~F.col("_hit"))
-    return top_k(kept, k, query_key, keys).drop("_pass", "_r", "_hit")
+        points = points.withColumn("_pass", F.lit(True))
+    slim = asked.select(F.col(query_key), "q_vector", *([F.col(before[1]).alias("_before")] if before else []))
+    part = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+    key_type = dict(queries.dtypes)[query_key]
+    passes = []
+    for i in range(blocks):
+        held = slim.where(part == i).toArrow() if blocks > 1 else slim.toArrow()
+        block = Block(held[query_key].combine_chunks(), _matrix(held["q_vector"].combine_chunks(), width["width"] or 1), _micros(held["_before"].combine_chunks()) if before else None)
+        shared = queries.sparkSession.sparkContext.broadcast(block)
+        found = candidates(shared, points, k, query_key, key_type, keys, threshold, exclude, before and before[0], "_pass" if fallback else None)
+        if fallback:  # the best k with and without the filter are few rows; which of them count is settled after that
+            both = Window.partitionBy(query_key, "_pass").orderBy(F.col("_rounded").desc(), *keys)
+            best = found.withColumn("_r", F.row_number().over(both)).where(F.col("_r") <= k)
+            best = best.withColumn("_hit", F.max("_pass").over(Window.partitionBy(query_key)))
+            found = best.where(F.col("_pass") | ~F.col("_hit")).withColumn("fallback_used", ~F.col("_hit")).drop("_pass", "_r", "_hit")
+        ranked = top_k(found, k, query_key, keys).drop("_rounded")
+        passes.append(stage(ranked) if blocks > 1 else ranked)
+        if blocks > 1:
+            shared.destroy()
+    hits = reduce(DataFrame.unionByName, passes)
+    if blocks > 1:
+        hits = stage(hits)
+        discard(*passes)
+    more = [c for c in queries.columns if c not in (query_key, "q_vector")]
+    return hits.join(asked.select(query_key, *more), query_key) if more else hits

@@ -3,22 +3,25 @@
 A window frame over a whole series would put it into one task. Rows are numbered by time
 first: counts per source and time bucket add up to each bucket's offset, and a row's place
 is its offset and its rank in its bucket. Blocks of consecutive places, each with copies
-of the rows that its last windows reach into, are then framed apart from each other.
+of the rows that its last windows reach into, are then gathered as arrays of a bounded
+length and cut apart from each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
+
 #: Windows that start in one block.
-BLOCK = 20_000
+BLOCK = 4_000
 
 
 def positions(series: DataFrame, bucket: str = "day", tie: str | None = None) -> DataFrame:
-    """series with window_idx, the 0-based place of a row by time in its source."""
+    """series with window_idx, the 0-based place of a row by time in its source. A row without a time has no place and goes."""
     order = ["ts", *([tie] if tie else [])]
-    rows = series.withColumn("_bucket", F.date_trunc(bucket, "ts"))
+    rows = series.where("ts is not null and source is not null").withColumn("_bucket", F.date_trunc(bucket, "ts"))
     counts = rows.groupBy("source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -37,24 +40,28 @@ def sliding_windows(series: DataFrame, history: int, future: int, bucket: str =
     reach = -(-(span - 1) // block)
     blocks = F.sequence(F.greatest(own - reach, F.lit(0)), own)
     rows = placed.withColumn("_block", F.explode(blocks)).where(F.col("window_idx") < (F.col("_block") + 1) * block + span - 1)
-    by_time = Window.partitionBy("source", "_block").orderBy("window_idx")
-    frame = by_time.rowsBetween(0, span - 1)
-    value = F.when(~F.isnan("value"), F.col("value"))
-    cut = rows.select(
-        "source",
-        "window_idx",
-        "_block",
-        F.lead("ts", history).over(by_time).alias("label_ts"),
-        F.lead("ts", span - 1).over(by_time).alias("last_ts"),
-        F.collect_list(F.struct("value")).over(frame).alias("_v"),
-        F.count(value).over(frame).alias("_good"),
-        F.count("*").over(frame).alias("_n"),
-    )
-    cut = cut.where((F.col("_n") == span) & (F.col("window_idx") < (F.col("_block") + 1) * block))
-    if complete:
-        cut = cut.where(F.col("_good") == span)
-    values = F.transform("_v", lambda s: s["value"])
-    return cut.select("source", "window_idx", "label_ts", "last_ts", F.slice(values, 1, history).alias("history_x"), F.slice(values, history + 1, future).alias("future_y"))
+    # windows are some hundred times their rows: the rows are dealt out by blocks into a fixed number of parts, not merged into a few by their own size
+    rows = rows.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_block")
+    missing = (F.col("value").isNull() | F.isnan("value")).cast("int")
+    upto = Window.partitionBy("source", "_block").orderBy("window_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("source", "_block", F.struct("window_idx", "ts", "value", missing.alias("gap"), F.sum(missing).over(upto).alias("gaps")).alias("_row"))
+    held = rows.groupBy("source", "_block").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+
+    def cut(b: Column) -> Column:
+        def window(i: Column) -> Column:
+            first, last = F.get(b["rows"], i), F.get(b["rows"], i + (span - 1))
+            return F.struct(
+                first["window_idx"].alias("window_idx"), F.get(b["rows"], i + history)["ts"].alias("label_ts"), last["ts"].alias("last_ts"),
+                F.slice(b["values"], i + 1, history).alias("history_x"), F.slice(b["values"], i + (history + 1), future).alias("future_y"),
+                (last["gaps"] - first["gaps"] + first["gap"]).alias("missing"),
+            )
+
+        starts = F.least(F.size(b["rows"]) - span + 1, F.lit(block))
+        return F.transform(F.when(starts > 0, F.sequence(F.lit(0), starts - 1)).otherwise(F.array().cast("array<int>")), window)
+
+    values = F.transform("_rows", lambda r: r["value"])
+    found = held.select("source", F.inline(let(F.struct(F.col("_rows").alias("rows"), values.alias("values")), cut)))
+    return (found.where("missing = 0") if complete else found).drop("missing")
 
 
 def sample_windows(windows: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -63,10 +70,9 @@ def sample_windows(windows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return windows.orderBy(digest, "source", "window_idx").limit(n)
 
 
-def batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
-    """rows with batch_no: consecutive slices of each source."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(*order))
-    return rows.withColumn("batch_no", F.floor((rank - 1) / size))
+def batches(rows: DataFrame, size: int, place: str = "window_idx") -> DataFrame:
+    """rows with batch_no: consecutive slices of each source by place, so that a place left out leaves its slice shorter."""
+    return rows.withColumn("batch_no", F.floor(F.col(place) / size))
 
 
 def preview(windows: DataFrame, n: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ Series are the event types of `events`; vectors are the rows of `embeddings`.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,16 @@ from ..functions import vectors as V
 from ..functions.timefeat import time_features
 from ..operators import encode, filters, fusion, intent, ranker, report, search, windows
 from ..sources import series as S
-from ..sources.store import stats, upserted
+from ..sources.staging import shared_dir, stage
+from ..sources.store import Collection, stats, upserted
 from . import forecasting as P
 
-L, H, K = 24, 6, 5
+#: Past and future values of a window, and hits of a query.
+L, H, K = 100, 48, 5
+#: Every so many windows or vectors one asks; all answer.
+ASKS = 20
+#: Past and future values in the flagship query, which runs on the smallest table.
+SHORT = 24, 6
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -56,8 +63,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The series with missing values put in: null at each 97th event, not-a-number at each 101st."""
-    hole = F.when(F.col("tie") % 97 == 0, F.lit(None)).when(F.col("tie") % 101 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    """The series with missing values put in: null at each 997th event, not-a-number at each 1013th."""
+    hole = F.when(F.col("tie") % 997 == 0, F.lit(None)).when(F.col("tie") % 1013 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
     return _events(spark, sf_dir).withColumn("value", hole)
 
 
@@ -66,13 +73,14 @@ def _windows(spark: SparkSession, sf_dir: str, history: int = L, future: int = H
 
 
 def _points(spark: SparkSession, sf_dir: str, history: int = L, future: int = H) -> DataFrame:
-    return P.points_of(_events(spark, sf_dir), history, future, tie="tie")
+    """Staged, as queries and hits both come from them."""
+    return stage(P.points_of(_events(spark, sf_dir), history, future, tie="tie"))
 
 
-def _hits(spark: SparkSession, sf_dir: str, history: int = L, future: int = H, k: int = K) -> tuple[DataFrame, DataFrame]:
-    points = _points(spark, sf_dir, history, future)
-    asked = P.last_windows(points)
-    return asked, P.hits_of(asked, points, k)
+def _hits(spark: SparkSession, sf_dir: str, k: int = K) -> tuple[DataFrame, DataFrame]:
+    points = _points(spark, sf_dir)
+    asked = P.every(points, ASKS)
+    return asked, stage(P.hits_of(asked, points, k))
 
 
 def _windows_sql(history: int = L, future: int = H, source: str = "SELECT event_type AS source, ts, event_id AS tie, value FROM events") -> str:
@@ -90,33 +98,42 @@ def _points_sql(history: int = L, future: int = H) -> str:
         st AS (SELECT *, list_avg(history_x) AS mu, CASE WHEN list_stddev_pop(history_x) < 1e-10 THEN 1::DOUBLE ELSE list_stddev_pop(history_x) END AS sigma FROM ok),
         zs AS (SELECT *, list_transform(history_x, lambda x: (x - mu) / sigma) AS z FROM st),
         nz AS (SELECT *, sqrt(list_sum(list_transform(z, lambda x: x * x))) AS norm FROM zs),
-        pt AS (SELECT *, list_transform(z, lambda x: CASE WHEN norm > 1e-10 THEN x / norm ELSE 0 END) AS vector FROM nz)"""
+        pt AS MATERIALIZED (SELECT *, list_transform(z, lambda x: CASE WHEN norm > 1e-10 THEN x / norm ELSE 0 END) AS vector FROM nz)"""
 
 
-def _hits_sql(history: int = L, future: int = H, k: int = K) -> str:
+def _hits_sql(history: int = L, future: int = H, k: int = K, asks: str = f"window_idx % {ASKS} = 0", q_key: str = "source || '|' || window_idx") -> str:
     return _points_sql(history, future) + f""",
-        q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY window_idx DESC) AS r FROM pt) WHERE r = 1),
-        pairs AS (SELECT q.source AS q_key, q.mu AS q_mu, q.sigma AS q_sigma, q.label_ts AS q_label_ts, q.future_y AS q_future_y, p.source, p.window_idx, p.label_ts, p.mu, p.sigma, p.future_y,
-                list_inner_product(q.vector, p.vector) AS score FROM q JOIN pt p ON p.last_ts < q.label_ts),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY round(score, 9) DESC, source, window_idx) AS rank_no FROM pairs),
-        hits AS (SELECT *, CASE WHEN score <= 1 THEN 1 - score ELSE 0 END AS distance FROM ranked WHERE rank_no <= {k})"""
+        q AS MATERIALIZED (SELECT {q_key} AS q_key, source AS qs, window_idx AS qi, mu AS q_mu, sigma AS q_sigma, label_ts AS q_label_ts, future_y AS q_future_y, vector AS q_vector FROM pt WHERE {asks}),
+        pairs AS (SELECT q_key, source, window_idx, list_inner_product(q_vector, vector) AS score FROM q JOIN pt ON last_ts < q_label_ts),
+        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY round(score, 9) DESC, source, window_idx) AS rank_no FROM pairs) WHERE rank_no <= {k}),
+        hits AS MATERIALIZED (SELECT q.* EXCLUDE (q_vector), p.source, p.window_idx, p.label_ts, p.mu, p.sigma, p.future_y, score, rank_no, CASE WHEN score <= 1 THEN 1 - score ELSE 0 END AS distance
+            FROM top JOIN q ON top.q_key = q.q_key JOIN pt p ON top.source = p.source AND top.window_idx = p.window_idx)"""
 
 
 _IDW = "(1 / (pow(distance, 2) + 1e-10)) / sum(1 / (pow(distance, 2) + 1e-10)) OVER (PARTITION BY q_key)"
 _SOFTMAX = "exp(-distance - max(-distance) OVER (PARTITION BY q_key)) / sum(exp(-distance)) OVER (PARTITION BY q_key) * exp(max(-distance) OVER (PARTITION BY q_key))"
 
 
-def _forecast_sql(history: int, future: int, weight: str, normalized: bool = True, hits: str | None = None) -> str:
+def _forecast_sql(weight: str, normalized: bool = True, hits: str | None = None, future: int = H, used: str = "hits") -> str:
+    """Up to f: q_key, step and y_hat; a query without hits has its mean at each step."""
     y = "(y - mu) / sigma" if normalized else "y"
-    return f"""{hits or _hits_sql(history, future)},
-        w AS (SELECT *, {weight} AS weight FROM hits),
-        long AS (SELECT q_key, q_mu, q_sigma, mu, sigma, weight, unnest(future_y) AS y, generate_subscripts(future_y, 1) - 1 AS step FROM w)
-        SELECT q_key AS source, step::INT AS step, round(sum(weight * ({y})) / sum(weight) * q_sigma + q_mu, 6) AS y_hat FROM long GROUP BY q_key, step, q_mu, q_sigma"""
+    return f"""{hits or _hits_sql()},
+        w AS (SELECT *, {weight} AS weight FROM {used}),
+        long AS (SELECT q_key, q_mu, q_sigma, mu, sigma, weight, unnest(future_y) AS y, generate_subscripts(future_y, 1) - 1 AS step FROM w),
+        f AS (SELECT q_key, step, sum(weight * ({y})) / sum(weight) * q_sigma + q_mu AS y_hat FROM long GROUP BY q_key, step, q_mu, q_sigma
+            UNION ALL SELECT q_key, unnest(range({future})), q_mu FROM q WHERE q_key NOT IN (SELECT q_key FROM w))"""
+
+
+_FORECAST = " SELECT q_key, step::INT AS step, round(y_hat, 6) AS y_hat FROM f"
+
+
+def _forecast_rows(asked: DataFrame, hits: DataFrame, weight, steps: int = H, normalized: bool = True) -> DataFrame:
+    fused = stage(fusion.fuse(hits.withColumn("weight", weight), "q_key", steps, normalized))
+    return _told(fusion.rescaled(fused, asked, "q_key", steps, steps))
 
 
-def _forecast_rows(asked: DataFrame, hits: DataFrame, weight, steps: int, normalized: bool = True) -> DataFrame:
-    fused = fusion.fuse(hits.withColumn("weight", weight), "q_key", steps, normalized)
-    return fusion.rescaled(fused, asked, "q_key", steps).select(F.col("q_key").alias("source"), "step", r6("y_hat", "y_hat"))
+def _told(forecast: DataFrame) -> DataFrame:
+    return forecast.select("q_key", "step", r6("y_hat", "y_hat"))
 
 
 # ---- scans and sources
@@ -131,7 +148,7 @@ def series_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return times.select("source", "n", r6("lo", "lowest"), r6("hi", "highest"), stamp("a", "first_ts"), stamp("b", "last_ts"))
 
 
-_GAPS = "SELECT event_type AS source, ts, event_id AS tie, CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 101 = 0 THEN 'nan'::DOUBLE ELSE value END AS value FROM events"
+_GAPS = "SELECT event_type AS source, ts, event_id AS tie, CASE WHEN event_id % 997 = 0 THEN NULL WHEN event_id % 1013 = 0 THEN 'nan'::DOUBLE ELSE value END AS value FROM events"
 
 
 @query(f"SELECT source, count(*) AS n, count(*) FILTER (value IS NULL OR isnan(value)) AS missing FROM ({_GAPS}) GROUP BY source")
@@ -172,7 +189,7 @@ def window_nan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_windows_sql()} SELECT source, (window_idx // 500)::BIGINT AS batch_no, count(*) AS n, min(window_idx) AS first_idx FROM ok GROUP BY 1, 2")
 def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = windows.batches(_windows(spark, sf_dir), 500, "window_idx")
+    b = windows.batches(_windows(spark, sf_dir), 500)
     return b.groupBy("source", "batch_no").agg(F.count("*").alias("n"), F.min("window_idx").alias("first_idx"))
 
 
@@ -189,16 +206,19 @@ def zscore_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("source", "window_idx", F.posexplode("z").alias("pos", "z")).select("source", "window_idx", "pos", r6("z", "z"))
 
 
-@query("SELECT event_type AS source, greatest(count(*) - 30 + 1, 0) AS n, 0::DOUBLE AS worst FROM events GROUP BY 1 HAVING count(*) >= 30")
+@query(f"SELECT event_type AS source, count(*) - {L + H} + 1 AS n, 0::DOUBLE AS worst FROM events GROUP BY 1 HAVING count(*) >= {L + H}")
 def zscore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = encode.normalized(_windows(spark, sf_dir))
     error = F.array_max(F.zip_with(V.unzscore("z", F.col("mu"), F.col("sigma")), "history_x", lambda a, b: F.abs(a - b)))
     return n.groupBy("source").agg(F.count("*").alias("n"), r6(F.max(error), "worst"))
 
 
-@query("SELECT event_type AS source, 7::DOUBLE AS mu, 1::DOUBLE AS sigma, 0::DOUBLE AS z_min, 0::DOUBLE AS z_max FROM events GROUP BY 1")
+@query("""WITH c AS (SELECT source, list_transform(range(100), lambda i: x) AS a FROM (SELECT event_type AS source, max(event_id)::DOUBLE / 8 AS x FROM events GROUP BY 1)),
+    m AS (SELECT source, a, list_avg(a) AS mu, CASE WHEN list_stddev_pop(a) < 1e-10 THEN 1::DOUBLE ELSE list_stddev_pop(a) END AS sigma FROM c)
+    SELECT source, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(list_min(list_transform(a, lambda v: (v - mu) / sigma)), 6) AS z_min, round(list_max(list_transform(a, lambda v: (v - mu) / sigma)), 6) AS z_max FROM m""")
 def zscore_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = _events(spark, sf_dir).select("source").distinct().withColumn("history_x", F.array_repeat(F.lit(7.0), 100))
+    level = _events(spark, sf_dir).groupBy("source").agg((F.max("tie").cast("double") / 8).alias("x"))
+    flat = level.select("source", F.array_repeat("x", 100).alias("history_x"))
     return encode.normalized(flat).select("source", r6("mu", "mu"), r6("sigma", "sigma"), r6(F.array_min("z"), "z_min"), r6(F.array_max("z"), "z_max"))
 
 
@@ -257,7 +277,7 @@ def _knn(spark: SparkSession, sf_dir: str, k: int = K, spec: dict | None = None,
     points = _vectors(spark, sf_dir).select("vec_id", V.l2("embedding").alias("vector"), F.when(F.col("vec_id") % 7 != 0, F.col("label")).alias("month") if nulls else F.col("label").alias("month"))
     asked = points.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_key"), F.col("vector").alias("q_vector"))
     where = filters.compile_filter(spec) if spec else None
-    return search.search(asked, points, k, "q_key", ["vec_id"], where, pair=F.col("q_key") != F.col("vec_id"), **kw)
+    return search.search(asked, points, k, "q_key", ["vec_id"], where, exclude="vec_id", **kw)
 
 
 def _knn_rows(hits: DataFrame) -> DataFrame:
@@ -316,12 +336,13 @@ def knn_filter_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH e AS (SELECT vec_id, {_E} AS v, label AS month FROM embeddings),
-    pairs AS (SELECT q.vec_id AS q_key, p.vec_id, list_cosine_similarity(q.v, p.v) AS score, p.month = 99 AS pass FROM e q JOIN e p ON q.vec_id <> p.vec_id AND q.vec_id % 20 = 0),
+    pairs AS (SELECT * FROM (SELECT q.vec_id AS q_key, p.vec_id, list_cosine_similarity(q.v, p.v) AS score, p.month = 3 AS pass FROM e q JOIN e p ON q.vec_id <> p.vec_id AND q.vec_id % 20 = 0) WHERE score >= 0.25),
     kept AS (SELECT * FROM (SELECT *, bool_or(pass) OVER (PARTITION BY q_key) AS hit FROM pairs) WHERE pass OR NOT hit),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY round(score, 9) DESC, vec_id)::INT AS rank_no FROM kept)
     SELECT q_key, rank_no, vec_id, round(score, 6) AS score, NOT hit AS fallback_used FROM ranked WHERE rank_no <= {K}""")
 def knn_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _knn(spark, sf_dir, spec={"must": [_condition(match={"value": 99})]}, fallback=True)
+    """Some queries have a hit of label 3 at that score, the others fall back to all labels."""
+    hits = _knn(spark, sf_dir, spec={"must": [_condition(match={"value": 3})]}, threshold=0.25, fallback=True)
     return hits.select("q_key", "rank_no", "vec_id", r6("score", "score"), "fallback_used")
 
 
@@ -343,7 +364,7 @@ def softmax_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir).select("q_key", "rank_no", r6(fusion.softmax_weight("q_key", F.col("score")), "weight"))
 
 
-# ---- hits of the series' last windows
+# ---- hits of every 20th window among all windows that ended before its forecast begins
 
 def _tod(ts: str) -> str:
     return _TOD.replace("(ts)", f"({ts})")
@@ -369,7 +390,7 @@ def pearson_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_hits_sql(k=20)}, l AS (SELECT {_PEARSON} AS y FROM (SELECT q_future_y AS a, future_y AS b FROM hits))
     SELECT count(*) AS n, round(min(y), 6) AS lowest, round(max(y), 6) AS highest, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS deviation, round(avg((y > 0)::INT), 6) AS positive_share FROM l""")
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, hits = _hits(spark, sf_dir, k=20)
+    _, hits = _hits(spark, sf_dir, 20)
     y = V.pearson("q_future_y", "future_y")
     return hits.select(y.alias("y")).agg(
         F.count("*").alias("n"), r6(F.min("y"), "lowest"), r6(F.max("y"), "highest"), r6(F.avg("y"), "mean"), r6(F.stddev_pop("y"), "deviation"), r6(F.avg((F.col("y") > 0).cast("double")), "positive_share")
@@ -391,50 +412,53 @@ def valid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.valid_hits(_holes(hits)).select("q_key", "rank_no", F.size("future_y").alias("n"))
 
 
-@query(f"WITH {_hits_sql()} SELECT q_key, {H} AS future_length FROM hits WHERE rank_no = 1")
+@query(f"""WITH {_hits_sql()}, c AS (SELECT q_key, len(future_y[1:(window_idx % 4)::INT])::INT AS n FROM hits WHERE rank_no = 1)
+    SELECT q.q_key, CASE WHEN c.n > 0 THEN c.n ELSE 48 END AS future_length FROM q LEFT JOIN c ON q.q_key = c.q_key""")
 def future_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, hits = _hits(spark, sf_dir)
-    return fusion.future_length(hits, "q_key", 48)
+    """Futures are cut to 0 to 3 values, so that some are empty; the first windows have no hit."""
+    asked, hits = _hits(spark, sf_dir)
+    cut = hits.withColumn("future_y", F.slice("future_y", F.lit(1), (F.col("window_idx") % 4).cast("int")))
+    return fusion.future_length(asked, cut, "q_key", 48)
 
 
-@query("WITH " + _forecast_sql(100, 48, _IDW))
+@query("WITH " + _forecast_sql(_IDW) + _FORECAST)
 def forecast_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, hits = _hits(spark, sf_dir, 100, 48)
-    return _forecast_rows(asked, hits, fusion.idw_weight("q_key"), 48)
+    points = _points(spark, sf_dir)
+    return _told(P.forecast(P.every(points, ASKS), points, K, H))
+
 
+_LAST = _hits_sql(*SHORT, asks="window_idx = (SELECT max(x.window_idx) FROM pt x WHERE x.source = pt.source)", q_key="source")
 
-@query("WITH " + _forecast_sql(L, H, _IDW))
+
+@query("WITH " + _forecast_sql(_IDW, hits=_LAST, future=SHORT[1]) + _FORECAST)
 def forecast_idw_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, hits = _hits(spark, sf_dir)
-    return _forecast_rows(asked, hits, fusion.idw_weight("q_key"), H)
+    """The forecast after the last window of each series, by short windows, so that the smallest table has hits."""
+    points = _points(spark, sf_dir, *SHORT)
+    return _told(P.forecast(P.last_windows(points), points, K, SHORT[1]))
 
 
-@query("WITH " + _forecast_sql(L, H, _IDW, normalized=False))
+@query("WITH " + _forecast_sql(_IDW, normalized=False) + _FORECAST)
 def forecast_as_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, hits = _hits(spark, sf_dir)
-    return _forecast_rows(asked, hits, fusion.idw_weight("q_key"), H, normalized=False)
+    points = _points(spark, sf_dir)
+    return _told(P.forecast(P.every(points, ASKS), points, K, H, normalized=False))
 
 
-@query("WITH " + _forecast_sql(L, H, _SOFTMAX))
+@query("WITH " + _forecast_sql(_SOFTMAX) + _FORECAST)
 def forecast_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, hits = _hits(spark, sf_dir)
-    return _forecast_rows(asked, hits, fusion.softmax_weight("q_key", -fusion.distance(F.col("score"))), H)
+    return _forecast_rows(asked, hits, fusion.softmax_weight("q_key", -fusion.distance(F.col("score"))))
 
 
-@query(f"WITH {_points_sql()}, q AS (SELECT source, mu, row_number() OVER (PARTITION BY source ORDER BY window_idx DESC) AS r FROM pt) SELECT source, unnest(range(10))::INT AS step, round(mu, 6) AS y_hat FROM q WHERE r = 1")
+@query(f"WITH {_points_sql()} SELECT source || '|' || window_idx AS q_key, unnest(range(10))::INT AS step, round(mu, 6) AS y_hat FROM pt WHERE window_idx % {ASKS} = 0")
 def forecast_no_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    asked = P.last_windows(points)
-    none = P.forecast(asked, points.where("false"), K, H, no_hit_steps=10)
-    return none.select(F.col("q_key").alias("source"), "step", r6("y_hat", "y_hat"))
+    return _told(P.forecast(P.every(points, ASKS), points.where("false"), K, H, no_hit_steps=10))
 
 
-@query(f"""WITH {_hits_sql()}, ragged AS (SELECT * FROM ({_HOLES}) WHERE len(future_y) > 0), w AS (SELECT *, {_IDW} AS weight FROM ragged),
-    long AS (SELECT q_key, q_mu, q_sigma, mu, sigma, weight, unnest(future_y) AS y, generate_subscripts(future_y, 1) - 1 AS step FROM w)
-    SELECT q_key AS source, step::INT AS step, round(sum(weight * ((y - mu) / sigma)) / sum(weight) * q_sigma + q_mu, 6) AS y_hat FROM long GROUP BY q_key, step, q_mu, q_sigma""")
+@query("WITH " + _forecast_sql(_IDW, hits=f"{_hits_sql()}, ragged AS (SELECT * FROM ({_HOLES}) WHERE len(future_y) > 0)", used="ragged") + _FORECAST)
 def forecast_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, hits = _hits(spark, sf_dir)
-    return _forecast_rows(asked, fusion.valid_hits(_holes(hits)), fusion.idw_weight("q_key"), H)
+    return _forecast_rows(asked, fusion.valid_hits(_holes(hits)), fusion.idw_weight("q_key"))
 
 
 @query(f"WITH {_hits_sql()} SELECT q_key, rank_no::INT AS rank_no, round(score, 6) AS score, (generate_subscripts(future_y, 1) - 1)::INT AS step, round(unnest(list_transform(future_y, lambda y: CASE WHEN sigma < 1e-10 THEN y ELSE y * sigma + mu END)), 4) AS y FROM hits")
@@ -443,14 +467,13 @@ def chunk_denorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("q_key", "rank_no", r6("score", "score"), F.posexplode(fusion.chunk_values("future_y", F.col("mu"), F.col("sigma"))).alias("step", "y"))
 
 
-@query(f"""WITH {_forecast_sql(L, H, _IDW).replace('SELECT q_key AS source', ', f AS (SELECT q_key AS source').replace('round(sum', '(sum').replace('q_mu, 6)', 'q_mu)')}),
-    g AS (SELECT source, count(*) AS n, min(y_hat) AS lo, max(y_hat) AS hi, avg(y_hat) AS m, regr_slope(y_hat, step) * (count(*) - 1) AS change, stddev_pop(y_hat) AS sd FROM f GROUP BY source)
-    SELECT source, n, round(lo, 6) AS lowest, round(hi, 6) AS highest, round(m, 6) AS mean, CASE WHEN change > sd THEN 'rising' WHEN change < -sd THEN 'falling' ELSE 'oscillating' END AS trend FROM g""")
+@query(f"""WITH {_forecast_sql(_IDW)},
+    g AS (SELECT q_key, count(*) AS n, min(y_hat) AS lo, max(y_hat) AS hi, avg(y_hat) AS m, regr_slope(y_hat, step) * (count(*) - 1) AS change, stddev_pop(y_hat) AS sd FROM f GROUP BY q_key)
+    SELECT q_key, n, round(lo, 6) AS lowest, round(hi, 6) AS highest, round(m, 6) AS mean, CASE WHEN change > sd THEN 'rising' WHEN change < -sd THEN 'falling' ELSE 'oscillating' END AS trend FROM g""")
 def prediction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, hits = _hits(spark, sf_dir)
-    fused = fusion.fuse(hits.withColumn("weight", fusion.idw_weight("q_key")), "q_key", H)
-    s = report.summary(fusion.rescaled(fused, asked, "q_key", H), "q_key")
-    return s.select(F.col("q_key").alias("source"), "n", r6("lowest", "lowest"), r6("highest", "highest"), r6("mean", "mean"), "trend")
+    points = _points(spark, sf_dir)
+    s = report.summary(P.forecast(P.every(points, ASKS), points, K, H), "q_key")
+    return s.select("q_key", "n", r6("lowest", "lowest"), r6("highest", "highest"), r6("mean", "mean"), "trend")
 
 
 @query(f"""WITH {_hits_sql()}, t AS (SELECT q_key, {_tod('label_ts')} AS time_of_day, isodow(label_ts) >= 6 AS we FROM hits),
@@ -461,24 +484,24 @@ def hit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.hit_context(hits, "q_key").select("q_key", "n_hits", r6("weekend_share", "weekend_share"), "time_of_day")
 
 
-_ERRORS = f"""WITH {_forecast_sql(L, H, _IDW).replace('SELECT q_key AS source', ', f AS (SELECT q_key AS source').replace('round(sum', '(sum').replace('q_mu, 6)', 'q_mu)')}),
-    t AS (SELECT source, unnest(future_y) AS y, generate_subscripts(future_y, 1) - 1 AS step FROM q), e AS (SELECT t.source, y, y_hat FROM t JOIN f ON t.source = f.source AND t.step = f.step)"""
+_ERRORS = f"""WITH {_forecast_sql(_IDW)},
+    t AS (SELECT q_key, unnest(q_future_y) AS y, generate_subscripts(q_future_y, 1) - 1 AS step FROM q), e AS (SELECT t.q_key, y, y_hat FROM t JOIN f ON t.q_key = f.q_key AND t.step = f.step)"""
 
 
-@query(_ERRORS + " SELECT source, count(*) AS n, round(avg(abs(y - y_hat)), 6) AS mae, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse FROM e GROUP BY source")
+@query(_ERRORS + " SELECT q_key, count(*) AS n, round(avg(abs(y - y_hat)), 9) AS mae, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse FROM e GROUP BY q_key")
 def backtest_mae_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    asked = P.last_windows(points)
-    return P.backtest(asked, P.forecast(asked, points, K, H)).select(F.col("q_key").alias("source"), "n", r6("mae", "mae"), r6("rmse", "rmse"))
+    asked = P.every(points, ASKS)
+    return P.backtest(asked, P.forecast(asked, points, K, H)).select("q_key", "n", F.round("mae", 9).alias("mae"), r6("rmse", "rmse"))
 
 
-@query(_ERRORS + " SELECT count(*) AS n, round(avg(abs(y - y_hat)), 6) AS mae, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse, round(1 - avg((y - y_hat) * (y - y_hat)) / var_pop(y), 6) AS r2 FROM e")
+@query(_ERRORS + " SELECT count(*) AS n, round(avg(abs(y - y_hat)), 9) AS mae, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse, round(1 - avg((y - y_hat) * (y - y_hat)) / var_pop(y), 6) AS r2 FROM e")
 def regression_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    asked = P.last_windows(points)
+    asked = P.every(points, ASKS)
     truth = asked.select("q_key", F.posexplode("q_future_y").alias("step", "y"))
     both = truth.join(P.forecast(asked, points, K, H), ["q_key", "step"])
-    return ranker.regression_errors(both, "y", "y_hat").select("n", r6("mae", "mae"), r6("rmse", "rmse"), r6("r2", "r2"))
+    return ranker.regression_errors(both, "y", "y_hat").select("n", F.round("mae", 9).alias("mae"), r6("rmse", "rmse"), r6("r2", "r2"))
 
 
 @query(f"WITH {_windows_sql()} SELECT source, window_idx FROM ok ORDER BY md5('42|' || source || '|' || window_idx), source, window_idx LIMIT 200")
@@ -491,11 +514,25 @@ def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", ranker.is_validation("vec_id").alias("held"))
 
 
-@query("""SELECT event_id, round(CASE WHEN event_id % 5 = 0 THEN value + 1000 ELSE value END, 6) AS value FROM events WHERE event_id % 2 = 0 OR event_id % 5 = 0""")
+@query("""SELECT event_id, round(CASE WHEN event_id % 5 = 0 THEN value + 1000 ELSE value END, 6) AS value FROM events
+    UNION ALL SELECT event_id + 1000000000000, round(value - 1000, 6) FROM events WHERE event_id % 3 = 0""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, every fifth with a new value, and some under new keys."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
-    fresh = e.where("event_id % 5 = 0").withColumn("value", F.col("value") + 1000)
-    return upserted(e.where("event_id % 2 = 0"), fresh, ["event_id"]).select("event_id", r6("value", "value"))
+    changed = e.where("event_id % 5 = 0").withColumn("value", F.col("value") + 1000)
+    added = e.where("event_id % 3 = 0").select((F.col("event_id") + 1000000000000).alias("event_id"), (F.col("value") - 1000).alias("value"))
+    return upserted(e, changed.unionByName(added), ["event_id"]).select("event_id", r6("value", "value"))
+
+
+@query(f"""WITH {_points_sql()} SELECT source, count(*) AS points, round(avg(mu), 6) AS mu, max(len(vector))::INT AS vector_width, count(*) FILTER (isodow(label_ts) >= 6) AS weekend FROM pt GROUP BY source""")
+def collection_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of all windows, ingested and upserted once more, read back."""
+    made = Collection(spark, f"{shared_dir(spark)}/collection-{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '-')}", L)
+    made.drop()
+    made.create()
+    P.ingest(made, _events(spark, sf_dir), L, H, tie="tie")
+    made.upsert(made.read().where(f"window_idx % {ASKS} = 0"))
+    return made.read().groupBy("source").agg(F.count("*").alias("points"), r6(F.avg("mu"), "mu"), F.max(F.size("vector")).alias("vector_width"), F.count_if("is_weekend").alias("weekend"))
 
 
 @query("SELECT count(*) AS points, count(embedding) AS vectors, max(len(embedding))::INT AS vector_width, 'ok' AS status FROM embeddings")
@@ -503,13 +540,24 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding")
 
 
-_QUESTIONS = ("weekend peak in summer", "Workday mornings", "late night in July", "anything at all", "夏季周末", "高峰 load")
+_QUESTIONS = ("weekend peak in summer", "Workday mornings", "late night in July", "anything at all", "夏季周末", "高峰 load", "purchase on weekends", "  ")
 
 
-@query("SELECT question, " + ", ".join("(" + " OR ".join(f"contains(lower(question), '{p}')" for p in ps) + f") AS rule_{i}" for i, (ps, _) in enumerate(intent.RULES)) + " FROM (VALUES " + ", ".join(f"('{q}')" for q in _QUESTIONS) + ") t(question)")
+@query(f"""WITH t(question) AS (VALUES {", ".join(f"('{q}')" for q in _QUESTIONS)}), l AS (SELECT question, lower(question) AS q FROM t),
+    weekend AS (SELECT question FROM l WHERE q LIKE '%weekend%' OR q LIKE '%周末%'), workday AS (SELECT question FROM l WHERE q LIKE '%workday%' OR q LIKE '%weekday%' OR q LIKE '%工作日%'),
+    july AS (SELECT question FROM l WHERE q LIKE '%july%' OR q LIKE '%七月%' OR q LIKE '%7月%'), peak AS (SELECT question FROM l WHERE q LIKE '%peak%' OR q LIKE '%高峰%'),
+    summer AS (SELECT question FROM l WHERE q LIKE '%summer%' OR q LIKE '%夏季%' OR q LIKE '%夏天%' UNION SELECT question FROM peak), night AS (SELECT question FROM l WHERE q LIKE '%late night%' OR q LIKE '%深夜%' OR q LIKE '%凌晨%'),
+    named AS (SELECT question FROM l WHERE q LIKE '%purchase%')
+    SELECT question, 'is_weekend' AS key, 'value' AS op, 'true' AS wanted FROM weekend UNION ALL SELECT question, 'is_weekend', 'value', 'false' FROM workday UNION ALL SELECT question, 'month', 'value', '7' FROM july
+    UNION ALL SELECT question, 'time_of_day', 'value', '"evening"' FROM peak UNION ALL SELECT question, 'month', 'gte', '6' FROM summer UNION ALL SELECT question, 'month', 'lt', '9' FROM summer
+    UNION ALL SELECT question, 'time_of_day', 'value', '"night"' FROM night UNION ALL SELECT question, 'source', 'value', '"purchase"' FROM named""")
 def intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(q,) for q in _QUESTIONS], "question string")
-    return rows.select("question", *[intent.mentions(F.col("question"), i).alias(f"rule_{i}") for i in range(len(intent.RULES))])
+    """Each bound or value that the questions' filters ask for."""
+    rows = []
+    for q in _QUESTIONS:
+        for c in intent.parse_intent(q, ("purchase", "view"))["must"]:
+            rows += [(q, c["key"], op, json.dumps(v)) for op, v in (c.get("match") or c.get("range")).items()]
+    return spark.createDataFrame(rows, "question string, key string, op string, wanted string")
 
 
 @query("SELECT event_type AS source, 'top 5 ' || CASE WHEN count(*) % 2 = 0 THEN 'with' ELSE 'without' END || ' filter: ' || count(*) || ' hits' AS message FROM events GROUP BY 1")
@@ -522,19 +570,19 @@ def status_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gbt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of a ranker trained on sampled windows' hits, for the hits of the last windows."""
-    points = _points(spark, sf_dir).persist()
-    sampled = windows.sample_windows(points, 300)
-    pairs = P.hits_of(P.as_queries(sampled, F.concat_ws("|", "source", F.col("window_idx").cast("string"))), points, 20)
-    model = ranker.train(ranker.training_set(pairs), "q_key", rounds=20)
-    weighed = ranker.weighted(P.hits_of(P.last_windows(points), points, K), "q_key", model)
+    """Weights of a ranker trained on sampled windows' hits, for the hits of every 20th window."""
+    points = _points(spark, sf_dir)
+    sampled = stage(windows.sample_windows(points, ranker.SAMPLE))
+    pairs = P.hits_of(P.as_queries(sampled, F.concat_ws("|", "source", F.col("window_idx").cast("string"))), points, ranker.SAMPLE_K)
+    model = ranker.train(stage(ranker.training_set(pairs)), "q_key")
+    weighed = ranker.weighted(P.hits_of(P.every(points, ASKS), points, K), "q_key", model)
     return weighed.select("q_key", "rank_no", "source", "window_idx", r6("weight", "weight"))
 
 
 @query()
 def agent_forecast_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    return P.agent_forecast("weekend evenings", P.last_windows(points), points, 10, H)
+    return P.agent_forecast("weekend evenings", P.last_windows(points), points, 10, H, history=L)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import encode, filters, fusion, intent, ranker, report, windows
 from ..operators.search import search
+from ..sources.staging import stage
 from ..sources.store import Collection
 
 KEYS = ["source", "window_idx"]
@@ -25,55 +27,92 @@ def ingest(collection: Collection, series: DataFrame, history: int, future: int,
     return collection.upsert(points_of(series, history, future, encoder, tie))
 
 
+def ingest_sample(collection: Collection, history_x: list[float], future_y: list[float], history: int = 100, encoder: encode.Encoder | None = None) -> int:
+    """Store one sample without a source or times, under the next free window_idx, which is returned."""
+    if len(history_x) != history or not future_y:
+        raise ValueError(f"a sample has {history} past values and one future value at least")
+    idx = collection.next_idx()
+    row = [(None, idx, list(map(float, history_x)), list(map(float, future_y)))]
+    rows = collection.spark.createDataFrame(row, "source string, window_idx bigint, history_x array<double>, future_y array<double>")
+    collection.upsert(encode.encoded(rows, encoder))
+    return idx
+
+
 def as_queries(points: DataFrame, key: Column) -> DataFrame:
     """Points as queries: q_key and all columns with q_ before their names."""
     return points.select(key.alias("q_key"), *[F.col(c).alias(f"q_{c}") for c in points.columns])
 
 
+def requests(rows: DataFrame, history: int, key: str = "q_key", encoder: encode.Encoder | None = None) -> DataFrame:
+    """Bare histories (key, history_x) as queries; one of another length than history is an error."""
+    good, _ = encode.check_length(rows.select(F.col(key).alias("_k"), "history_x"), "history_x", history, strict=True)
+    points = encode.encoded(good, encoder)
+    return points.select(F.col("_k").alias("q_key"), *[F.col(c).alias(f"q_{c}") for c in points.columns if c != "_k"])
+
+
 def last_windows(points: DataFrame) -> DataFrame:
     """The last window of each source as a query."""
-    w = Window.partitionBy("source").orderBy(F.col("window_idx").desc())
-    return as_queries(points.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"), F.col("source"))
+    last = points.groupBy("source").agg(F.max_by(F.struct(*points.columns), "window_idx").alias("_p"))
+    return as_queries(last.select("_p.*"), F.col("source"))
+
 
+def every(points: DataFrame, n: int = 20) -> DataFrame:
+    """The windows whose window_idx is divisible by n as queries."""
+    key = F.concat_ws("|", "source", F.col("window_idx").cast("string"))
+    return as_queries(points.where(F.col("window_idx") % n == 0), key)
 
-def causal(strict: bool = False) -> Column:
-    """Hits must have ended before the query's forecast begins, or before its history does."""
-    return F.col("last_ts") < F.col("q_first_ts" if strict else "q_label_ts")
 
+def hits_of(queries: DataFrame, points: DataFrame, k: int, where: Column | None = None, fallback: bool = False, threshold: float | None = None, strict: bool = False) -> DataFrame:
+    """The queries' nearest points.
 
-def hits_of(queries: DataFrame, points: DataFrame, k: int, where: Column | None = None, fallback: bool = False, pair: Column | None = None, threshold: float | None = None) -> DataFrame:
+    Where queries have times, hits must have ended before the query's forecast begins (strict: before its
+    history does, if q_first_ts tells when), so a window is no hit of its own.
+    """
     slim = points.select(*KEYS, "last_ts", "label_ts", "vector", "month", "hour", "is_weekend", "time_of_day", "mu", "sigma", "future_y")
-    asked = queries.select(*[c for c in queries.columns if c not in ("q_history_x",)])
-    return search(asked, slim, k, "q_key", KEYS, where, threshold, causal() if pair is None else pair, fallback)
+    bound = "q_first_ts" if strict else "q_label_ts"
+    asked = queries.select(*[c for c in queries.columns if c != "q_history_x"])
+    return search(asked, slim, k, "q_key", KEYS, where, threshold, before=("last_ts", bound) if bound in queries.columns else None, fallback=fallback)
+
+
+def fused_forecast(hits: DataFrame, queries: DataFrame, steps: int, model: GBTRegressionModel | None = None, normalized: bool = True, no_hit_steps: int | None = None) -> DataFrame:
+    fused = stage(fusion.fuse(ranker.weighted(hits, "q_key", model), "q_key", steps, normalized))
+    return fusion.rescaled(fused, queries, "q_key", steps, no_hit_steps)
 
 
 def forecast(queries: DataFrame, points: DataFrame, k: int = 5, steps: int = 48, model: GBTRegressionModel | None = None, spec: dict | None = None, normalized: bool = True, no_hit_steps: int | None = None) -> DataFrame:
     """q_key, step and y_hat: the fused futures of each query's k nearest windows."""
     where = filters.compile_filter(spec) if filters.is_active(spec) else None
-    hits = hits_of(queries, points, k, where, fallback=where is not None)
-    fused = fusion.fuse(ranker.weighted(hits, "q_key", model), "q_key", steps, normalized)
-    return fusion.rescaled(fused, queries, "q_key", steps, no_hit_steps or steps)
+    hits = stage(hits_of(queries, points, k, where, fallback=where is not None))
+    return fused_forecast(hits, queries, steps, model, normalized, no_hit_steps or steps)
 
 
-def agent_forecast(question: str, queries: DataFrame, points: DataFrame, k: int = 10, steps: int = 48, model: GBTRegressionModel | None = None, language_model: Callable[[str], str] | None = None) -> DataFrame:
-    """One JSON answer a query: filter, values, the hits behind them, report and message."""
+def agent_forecast(question: str, queries: DataFrame, points: DataFrame, k: int = 10, steps: int = 48, model: GBTRegressionModel | None = None, language_model: Callable[[str], str] | None = None, sources: tuple[str, ...] = (), history: int | None = None) -> DataFrame:
+    """One JSON answer a query: filter, values, the hits behind them, report and message.
+
+    sources: names of series that the question may mention. history: the length that each
+    query's history must have. A query without any hit is answered with its mean.
+    """
     if not 2 <= len(question) <= 500:
         raise ValueError("a question has 2 to 500 characters")
     if not 1 <= k <= 100:
         raise ValueError("k is 1 to 100")
-    spec = intent.parse_intent(question, model=language_model)
+    if history is not None:
+        queries, _ = encode.check_length(queries, "q_history_x", history, strict=True)
+    queries = stage(queries)
+    spec = intent.parse_intent(question, sources, language_model)
     active = filters.is_active(spec)
-    hits = hits_of(queries, points, k, filters.compile_filter(spec) if active else F.lit(True), fallback=True)
-    values = fusion.rescaled(fusion.fuse(ranker.weighted(hits, "q_key", model), "q_key", steps), queries, "q_key", steps, steps)
-    told = report.markdown(report.summary(values, "q_key"), report.hit_context(hits, "q_key"), "q_key")
-    chunk = F.struct("rank_no", *KEYS, F.round("score", 4).alias("score"), "month", "hour", "is_weekend", "time_of_day", F.transform("future_y", lambda y: F.round(y, 4)).alias("future_y"))
+    hits = stage(hits_of(queries, points, k, filters.compile_filter(spec) if active else F.lit(True), fallback=True))
+    values = stage(fused_forecast(hits, queries, steps, model, no_hit_steps=steps))
+    told = report.markdown(report.summary(values, "q_key"), report.hit_context(hits, "q_key"), "q_key", question, json.dumps(spec) if active else "no condition")
+    own = fusion.chunk_values("future_y", F.lit(0.0), F.lit(1.0))  # futures are stored on their own scale
+    chunk = F.struct("rank_no", *KEYS, F.round("score", 4).alias("score"), "month", "hour", "is_weekend", "time_of_day", own.alias("future_y"))
     chunks = hits.groupBy("q_key").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"), F.count("*").alias("n"), F.max("fallback_used").alias("fell_back"))
     series = values.groupBy("q_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "y_hat"))), lambda s: F.round(s["y_hat"], 4)).alias("values"))
-    message = intent.status_message(F.lit(k), F.lit(active) & ~F.col("fell_back"), F.col("n"))
-    import json
-
-    answer = F.to_json(F.struct(F.lit(json.dumps(spec)).alias("filter"), "values", "chunks", "report", message.alias("message")))
-    return series.join(chunks, "q_key").join(told, "q_key").select("q_key", answer.alias("answer"))
+    both = queries.select("q_key").join(series, "q_key", "left").join(chunks, "q_key", "left").join(told, "q_key", "left")
+    fell_back = F.coalesce("fell_back", F.lit(False))
+    message = intent.status_message(F.lit(k), F.lit(active) & ~fell_back, F.coalesce("n", F.lit(0)))
+    answer = F.to_json(F.struct(F.lit(json.dumps(spec)).alias("filter"), "values", "chunks", "report", fell_back.alias("fallback_used"), message.alias("message")))
+    return both.select("q_key", answer.alias("answer"))
 
 
 def backtest(queries: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -1,66 +1,66 @@
-"""A collection of points in Parquet, keyed by source and window_idx.
+"""A collection of points: a Parquet table partitioned by source, keyed by source and window_idx.
 
-Every upsert writes a new version of the table beside the old one and then moves a small
-pointer file, so readers see one or the other.
+An upsert rewrites the partitions of the sources that it touches and no others. A reader
+of such a partition that runs meanwhile may have to be started again.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import POINT
+from .staging import delete, discard, stage
+
+#: Consecutive windows of a source that go into one file, so that no task writes a whole long source.
+FILE_ROWS = 200_000
 
 
 class Collection:
     def __init__(self, spark: SparkSession, path: str, width: int, schema: T.StructType = POINT, key: tuple[str, ...] = ("source", "window_idx")) -> None:
         self.spark, self.path, self.width, self.schema, self.key = spark, path, width, schema, key
 
-    def _fs(self, name: str = ""):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def exists(self) -> bool:
-        at, fs = self._fs("current")
-        return fs.exists(at)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def create(self) -> None:
         """An empty table, or a check that the one there has this vector width."""
         if not self.exists():
-            self._write(self.spark.createDataFrame([], self.schema))
+            self.spark.createDataFrame([], self.schema).write.partitionBy("source").parquet(self.path)
         elif (found := self.info().first()["vector_width"]) not in (None, self.width):
             raise ValueError(f"the collection's vectors have {found} dimensions, not {self.width}")
 
     def drop(self) -> None:
-        at, fs = self._fs()
-        fs.delete(at, True)
+        delete(self.spark, self.path)
 
     def read(self) -> DataFrame:
-        version = self.spark.read.text(f"{self.path}/current").first()[0]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
 
     def upsert(self, rows: DataFrame) -> int:
         """Rows replace those with their keys; of several with one key the last label wins. Returns their number."""
         aligned = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
-        wrong = aligned.where(F.size("vector") != self.width)
-        if not wrong.isEmpty():
+        fresh = stage(latest(aligned, self.key))
+        if not fresh.where(~F.coalesce(F.size("vector") == self.width, F.lit(False))).isEmpty():
+            discard(fresh)
             raise ValueError(f"vectors must have {self.width} dimensions")
-        fresh = latest(aligned, self.key)
-        old = self.read().join(fresh.select(*self.key), list(self.key), "left_anti") if self.exists() else None
-        self._write(fresh if old is None else old.select(*self.schema.names).unionByName(fresh))
-        return fresh.count()
-
-    def _write(self, rows: DataFrame) -> None:
-        before = self.spark.read.text(f"{self.path}/current").first()[0] if self.exists() else None
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-        if before:
-            at, fs = self._fs(before)
-            fs.delete(at, True)
+        merged = fresh
+        if self.exists():
+            touched = fresh.select(F.col("source").alias("_s")).distinct()
+            old = self.read().join(touched, F.col("source").eqNullSafe(F.col("_s")), "left_semi")
+            merged = stage(upserted(old, fresh, list(self.key)))
+        parts = merged.repartition("source", F.floor(F.col("window_idx") / FILE_ROWS))
+        parts.write.partitionBy("source").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        n = fresh.count()
+        discard(fresh, *([merged] if merged is not fresh else []))
+        return n
+
+    def next_idx(self, source: str | None = None) -> int:
+        """The first window_idx after all of a source."""
+        own = self.read().where(F.col("source").eqNullSafe(F.lit(source)))
+        last = own.agg(F.max("window_idx")).first()[0] if self.exists() else None
+        return 0 if last is None else last + 1
 
     def count(self) -> int:
         return self.read().count()
@@ -83,5 +83,9 @@ def stats(points: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """new rows and the old ones whose key they lack."""
-    return old.join(new.select(*key), key, "left_anti").unionByName(new)
+    """new rows and the old ones whose key they lack; null keys are equal."""
+    keys = new.select(*[F.col(k).alias(f"_new_{k}") for k in key])
+    same = F.lit(True)
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"_new_{k}"))
+    return old.join(keys, same, "left_anti").unionByName(new)

@@ -23,7 +23,7 @@ def con():
 
 def cell(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 6) + 0.0
+        return "nan" if math.isnan(x) else round(x, 9) + 0.0
     return x
 
 
