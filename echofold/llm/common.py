@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import discard, shared_dir, stage  # noqa: F401
+
 #: The white space of the contracts: a space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -24,63 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="echofold-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-_written: list[str] = []
-#: Spark's setting to drop an execution's shuffle files once it has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _forget() -> None:
-    spark = SparkSession.getActiveSession()
-    while spark is not None and _written:
-        _delete(spark, _written.pop())
-
-
-atexit.register(_forget)
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back.
-
-    Lost executors then cost the tasks that were running, not the steps before. The
-    shuffle files of the write go when it has ended, the rows by discard() or when the
-    program ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    _written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(*staged: DataFrame) -> None:
-    """Delete staged rows that no later step reads."""
-    for df in staged:
-        _delete(df.sparkSession, df.staged_at)
-        _written.remove(df.staged_at)
-
-
 def texts_only(docs: DataFrame) -> DataFrame:
     """doc_id and text, whatever else the table holds; a null text is an empty one."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

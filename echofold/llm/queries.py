@@ -82,18 +82,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": r"""
-        WITH lines AS (
-            SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+        WITH units AS (
+            SELECT doc_id, text, unnest(string_split_regex(text, '[.!?\n]')) AS unit, generate_subscripts(string_split_regex(text, '[.!?\n]'), 1) AS k FROM documents),
         placed AS (
-            SELECT doc_id, k, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo,
-                trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM lines),
+            SELECT doc_id, text, k, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo,
+                trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM units),
         judged AS (
-            SELECT *, length(plain) - length(replace(plain, ' ', '')) >= 4 AS unit FROM placed),
+            SELECT *, length(plain) - length(replace(plain, ' ', '')) >= 13 AS counts, least(lo + length(unit) + 1, length(text)) AS hi FROM placed),
         ranked AS (
-            SELECT *, unit AND row_number() OVER (PARTITION BY unit, plain ORDER BY doc_id, k) > 1 AS gone FROM judged),
+            SELECT *, counts AND row_number() OVER (PARTITION BY counts, plain ORDER BY doc_id, k) > 1 AS gone FROM judged),
         told AS (
-            SELECT doc_id, count(*) FILTER (unit) AS n_units, count(*) FILTER (gone) AS n_removed,
-                coalesce(string_agg(lo || ':' || (lo + length(line)), ',' ORDER BY k) FILTER (gone), '') AS removed,
-                coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept FROM ranked GROUP BY doc_id)
+            SELECT doc_id, count(*) FILTER (counts) AS n_units, count(*) FILTER (gone) AS n_removed,
+                coalesce(string_agg(lo || ':' || hi, ',' ORDER BY k) FILTER (gone), '') AS removed,
+                coalesce(string_agg(substring(text, lo + 1, hi - lo), '' ORDER BY k) FILTER (NOT gone), '') AS kept FROM ranked GROUP BY doc_id)
         SELECT doc_id, n_units, n_removed, removed, sha256(kept) AS kept_sha256 FROM told""",
 }
