@@ -1,13 +1,15 @@
 """Personal data: plain patterns, and contextual extraction bootstrapped from what they find.
 
 Base spans come from four patterns with checks. Each is a seed: the words around it make
-lexical patterns (the two words before; the word before and the word after). All
+lexical patterns (the two words before; the word before and the word after). Tokens of
+letters and digits in long random succession are seeds of a fifth kind, secrets: they are
+no finding by themselves, but what they have in common around them is a pattern. All
 identifier-like tokens of the table are candidates with the same kind of contexts. On the
 graph of patterns and values, rounds of scoring alternate: a pattern's confidence is the
 share of known ones among its distinct values, if it has enough of them; a candidate of a
 fitting shape in a confident pattern becomes known and supports other patterns, seeded or
-not. Rounds end when nothing more becomes known. What has become known is returned beside
-the base spans.
+not. Rounds end when nothing more becomes known. What confident patterns hold is returned
+beside the base spans, as of the pattern's kind.
 
 DataFrame operations throughout. The patterns are written so that their matching is linear
 in the text: runs are possessive and start where a run of their characters starts.
@@ -24,9 +26,13 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
 from .common import discard, stage
 
 KINDS = ("email", "ip", "card", "phone")
+#: What contexts alone can find, beside more of the base kinds.
+SECRET = len(KINDS)
+NAMES = (*KINDS, "secret")
 #: Known values that a pattern needs, and their share among its values.
 SUPPORT = 3
 CONFIDENCE = 0.75
@@ -56,18 +62,33 @@ def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Matches whose places are added up together; an array that grows by one element at a time costs its length each time.
+CHUNK = 256
+
+
+def _chunks(a: Column) -> Column:
+    return F.transform(F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>")), lambda i: F.slice(a, i + 1, CHUNK))
+
+
 def matches(text: str, pattern: str, kind: int) -> Column:
     """All matches in a column with their places: what lies between them gives the offsets."""
     p = _literal(pattern)
-    return F.expr(f"""
-        aggregate(
-            zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, value) -> struct(gap, value)),
-            named_struct('at', 0, 'found', cast(array() as array<{_SPAN}>)),
-            (a, m) -> named_struct(
-                'at', a.at + length(m.gap) + coalesce(length(m.value), 0),
-                'found', if(m.value is null, a.found, concat(a.found, array(named_struct(
-                    'kind', {kind}, 'start', a.at + length(m.gap), 'end', a.at + length(m.gap) + length(m.value), 'value', m.value))))),
-            a -> a.found)""")
+    found = F.expr(f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, value) -> struct(length(gap) as gap, value))")
+
+    def within(chunk: Column, at: Column) -> Column:
+        def step(a: Column, m: Column) -> Column:
+            start = a["at"] + m["gap"]
+            own = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m["value"])).alias("end"), m["value"].alias("value"))
+            return F.struct((start + F.coalesce(F.length(m["value"]), F.lit(0))).alias("at"), F.when(m["value"].isNull(), a["found"]).otherwise(F.concat(a["found"], F.array(own))).alias("found"))
+
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("found")), step, lambda a: a["found"])
+
+    def spread(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda c: F.aggregate(c, F.lit(0), lambda n, m: n + m["gap"] + F.coalesce(F.length(m["value"]), F.lit(0))))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), within))
+
+    return let(_chunks(found), spread)
 
 
 def base_spans(text: str) -> Column:
@@ -103,27 +124,37 @@ def _ordered(spans: Column) -> Column:
     return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
 
 
-_SIGNS = r"[.!?*#$%&|=\[\]{}]+"
+_SIGNS = ".!?*#$%&|=[]{}"
 
 
 def _candidates(text: str) -> Column:
-    """Identifier-like tokens: an @, or four digits at least; without signs around them."""
+    """Identifier-like tokens: an @, four digits at least, or eight letters and digits; without signs around them."""
     nothing = F.expr(f"cast(array() as array<{_SPAN}>)")
     found = F.when(F.col(text).rlike("[0-9@]"), matches(text, _CANDIDATE, -1)).otherwise(nothing)
 
     def trim(s: Column) -> Column:
-        left = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], "^" + _SIGNS, ""))
-        value = F.regexp_replace(s["value"], f"^{_SIGNS}|{_SIGNS}$", "")
+        value = F.ltrim(s["value"], F.lit(_SIGNS))
+        left = F.length(s["value"]) - F.length(value)
+        value = F.rtrim(value, F.lit(_SIGNS))
         return F.struct((s["start"] + left).alias("start"), F.lit(-1).alias("kind"), (s["start"] + left + F.length(value)).alias("end"), value.alias("value"))
 
-    return F.filter(F.transform(found, trim), lambda s: F.contains(s["value"], F.lit("@")) | (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 4))
+    def identifies(s: Column) -> Column:
+        v = s["value"]
+        return F.contains(v, F.lit("@")) | (F.length(F.regexp_replace(v, "[^0-9]", "")) >= 4) | (v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.length(v) >= 8))
+
+    return F.filter(F.transform(found, trim), identifies)
+
+
+def _plain(context: Column) -> Column:
+    """A context without case, and with its digits equal and its quotes and brackets blank."""
+    return F.translate(F.lower(context), "0123456789\"'`()<>,;", "0000000000")
 
 
 def _with_contexts(text: str, spans: Column) -> Column:
     def words(s: Column) -> Column:
         lo = F.greatest(s["start"] - 48, F.lit(0))
-        before = F.regexp_replace(F.lower(F.substring(F.col(text), lo + 1, s["start"] - lo)), "[0-9]", "0")
-        after = F.regexp_replace(F.lower(F.substring(F.col(text), s["end"] + 1, F.lit(24))), "[0-9]", "0")
+        before = _plain(F.substring(F.col(text), lo + 1, s["start"] - lo))
+        after = _plain(F.substring(F.col(text), s["end"] + 1, F.lit(24)))
         two, one, right = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1), F.regexp_extract(before, r"(\S+)\s*$", 1), F.regexp_extract(after, r"^\s*(\S+)", 1)
         patterns = F.array(F.when(two != "", F.concat(F.lit("L "), two)), F.when((one != "") & (right != ""), F.concat(F.lit("B "), one, F.lit(" _ "), right)))
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
@@ -139,16 +170,31 @@ def _fits(kind: Column, value: Column) -> Column:
         F.when(kind == 0, value.rlike(r"^[^@]+@[^@]+$"))
         .when(kind == 1, value.rlike(r"^[0-9]+(\.[0-9]+){3}$"))
         .when(kind == 2, plain & digits.between(12, 19))
-        .otherwise(plain & digits.between(7, 15))
+        .when(kind == 3, plain & digits.between(7, 15))
+        .otherwise(value.rlike(r"^[A-Za-z0-9+/_=.~-]{8,}$") & value.rlike("[A-Za-z]") & value.rlike("[0-9]"))
     )
 
 
+def _is_seed(value: Column) -> Column:
+    """Whether a candidate looks random: 20 letters and digits or more that alternate four times at least."""
+    return value.rlike(r"^[A-Za-z0-9+/_=-]{20,}+$") & value.rlike(r"^(?:[^0-9]*+[0-9]++[^0-9A-Za-z]*+[A-Za-z]){4}")
+
+
+def _meets(parts: Column, c: Column) -> Column:
+    """Whether a candidate overlaps one of the spans, which come in order and in parts; only parts around it are looked through."""
+    def near(part: Column) -> Column:
+        return (F.element_at(part, 1)["start"] < c["end"]) & (c["start"] < F.array_max(F.transform(part, lambda s: s["end"])))
+
+    return F.exists(parts, lambda part: F.when(near(part), F.exists(part, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))).otherwise(False))
+
+
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
-    """rid, doc_id, kept columns, base (spans with contexts) and free (candidates beside them with contexts)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *[c for c in keep])
+    """rid, doc_id, kept (a struct of the kept columns), base (spans with contexts) and free (candidates beside them with contexts)."""
+    kept = F.struct(*keep) if keep else F.lit(None)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), kept.alias("kept"))
     rows = rows.select("*", base_spans("text").alias("_base"))
-    free = F.filter(_candidates("text"), lambda c: ~F.exists(F.col("_base"), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    return rows.select("rid", "doc_id", *keep, _with_contexts("text", F.col("_base")).alias("base"), _with_contexts("text", free).alias("free"))
+    free = let(_chunks(F.col("_base")), lambda parts: F.filter(_candidates("text"), lambda c: ~_meets(parts, c)))
+    return rows.select("rid", "doc_id", "kept", _with_contexts("text", F.col("_base")).alias("base"), _with_contexts("text", free).alias("free"))
 
 
 def discovered(scanned: DataFrame) -> DataFrame:
@@ -157,7 +203,8 @@ def discovered(scanned: DataFrame) -> DataFrame:
     free = scanned.select("rid", F.explode("free").alias("s")).select("rid", "s.*")
     edges = base.unionByName(free).select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
     edges = stage(edges)
-    known = stage(edges.where("kind >= 0").select("value", "kind").distinct())
+    seeds = edges.where((F.col("kind") < 0) & _is_seed(F.col("value"))).select("value", F.lit(SECRET).alias("kind"))
+    known = stage(edges.where("kind >= 0").select("value", "kind").unionByName(seeds).distinct())
     values = edges.select("pattern", "value").distinct()
     # a pattern of fewer values than SUPPORT can't become confident, whatever becomes known
     totals = stage(values.groupBy("pattern").agg(F.count("*").alias("all")).where(F.col("all") >= SUPPORT))
@@ -177,17 +224,20 @@ def discovered(scanned: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, *keep: str) -> DataFrame:
-    """rid, doc_id, kept columns, base and spans: arrays of (start, kind, end, value), spans with the discovered ones."""
+    """doc_id, kept columns, base and spans: arrays of (start, kind, end, value), spans with the discovered ones."""
+    if clash := {"doc_id", "base", "spans"} & set(keep):
+        raise ValueError(f"columns that the result has itself: {sorted(clash)}")
     scanned = stage(scan(docs, *keep))
     more = discovered(scanned).groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end", "value")).alias("more"))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    joined = scanned.join(more, "rid", "left").withColumn("base", plain)
-    return joined.select("rid", "doc_id", *keep, "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
+    joined = scanned.withColumn("base", plain).join(more, "rid", "left")
+    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
+    return joined.select("doc_id", *[F.col("kept")[c].alias(c) for c in keep], "base", spans.alias("spans"))
 
 
 def told(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -199,7 +249,7 @@ def mask(docs: DataFrame) -> DataFrame:
     """docs with each span of text replaced by its kind in brackets; where spans overlap, the first is replaced to the end of all."""
     columns = docs.columns
     found = find(docs.select("doc_id", "text", F.struct(*columns).alias("_row")), "_row")
-    names = F.array(*map(F.lit, [f"[{k.upper()}]" for k in KINDS]))
+    names = F.array(*map(F.lit, [f"[{k.upper()}]" for k in NAMES]))
     text = F.coalesce(F.col("_row")["text"], F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

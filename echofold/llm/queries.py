@@ -42,7 +42,7 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     counts = [pii.count_kind("base", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(pii.told("base"), 256).alias("base_sha256"), pii.told("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.told("base"), 256).alias("base_sha256"), pii.told("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each text operator against its plain version, on the smallest tables and on odd rows."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -253,6 +254,89 @@ def test_pii_discovers_over_several_hops(spark, tmp_path):
     assert {number(hop, 0) for hop in range(7)} <= found
 
 
+def test_pii_finds_secrets_by_context(spark, tmp_path):
+    rng = np.random.default_rng(2)
+
+    def code(n):
+        return "".join(rng.choice(list("0123456789abcdef"), n))
+
+    texts = [f'the deploy token = "{code(40)}" of {w}' for w in "ab cd ef gh ij kl mn op".split()] + ['my own token = "x7kq92mz" here', f"the part {code(40)} is in stock", "a token of thanks 2024abcd", f"number token = {'9' * 16} no"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    out = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find(spark.read.parquet(str(tmp_path / "d")), "text").collect()}
+    assert all(len(out[i]) == 1 and out[i][0][0] == pii.SECRET for i in range(8)) and out[8] == [(pii.SECRET, "x7kq92mz")]
+    assert out[9] == out[10] == out[11] == []
+    masked = {r.doc_id: r.text for r in pii.mask(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert masked[8] == 'my own token = "[SECRET]" here' and masked[9] == texts[9]
+
+
+def plain_discovery(texts):
+    """The rounds of scoring in plain loops over one table of (pattern, value) pairs."""
+    def plain(x):
+        return re.sub("[0-9]", "0", re.sub("[\"'`()<>,;]", "", x.lower()))
+
+    def contexts(t, s, e):
+        before, after = plain(t[max(0, s - 48) : s]), plain(t[e : e + 24])
+        two, one, right = re.search(r"(\S+\s+\S+)\s*$", before, re.A), re.search(r"(\S+)\s*$", before, re.A), re.match(r"\s*(\S+)", after, re.A)
+        return ([f"L {two[1]}"] if two else []) + ([f"B {one[1]} _ {right[1]}"] if one and right else [])
+
+    def fits(k, v):
+        n = sum(c in "0123456789" for c in v)
+        flat = re.fullmatch(r"[0-9().+-]+", v)
+        return bool([re.fullmatch("[^@]+@[^@]+", v), re.fullmatch(r"[0-9]+(\.[0-9]+){3}", v), flat and 12 <= n <= 19, flat and 7 <= n <= 15, re.fullmatch("[A-Za-z0-9+/_=.~-]{8,}", v) and re.search("[A-Za-z]", v) and n][k])
+
+    found, known, free = defaultdict(set), set(), []
+    for i, t in enumerate(texts):
+        base = brute.base_spans(t)
+        for s, k, e, v in base:
+            known.add((v, k))
+            for c in contexts(t, s, e):
+                found[c].add(v)
+        for m in re.finditer("[^\\s,;:\"'()<>]+", t, re.A):
+            v = m[0].lstrip(pii._SIGNS)
+            s = m.end() - len(v)
+            v = v.rstrip(pii._SIGNS)
+            n = sum(c in "0123456789" for c in v)
+            if not ("@" in v or n >= 4 or n and re.search("[A-Za-z]", v) and len(v) >= 8) or any(a < s + len(v) and s < b for a, _, b, _ in base):
+                continue
+            free.append((i, s, v, contexts(t, s, s + len(v))))
+            for c in free[-1][3]:
+                found[c].add(v)
+            if re.fullmatch("[A-Za-z0-9+/_=-]{20,}", v) and re.match("(?:[^0-9]*[0-9]+[^0-9A-Za-z]*[A-Za-z]){4}", v):
+                known.add((v, pii.SECRET))
+    while True:
+        sure = {(c, k) for c, vs in found.items() for k in range(5) if (n := sum((v, k) in known for v in vs)) >= pii.SUPPORT and n >= pii.CONFIDENCE * len(vs)}
+        grown = known | {(v, k) for c, k in sure for v in found[c] if fits(k, v)}
+        if grown == known:
+            break
+        known = grown
+    out = defaultdict(list)
+    for i, s, v, cs in free:
+        if kinds := [k for c, k in sure if c in cs and fits(k, v)]:
+            out[i].append((s, min(kinds), s + len(v)))
+    return out
+
+
+def test_pii_discovery_is_that_of_plain_loops(spark, docs, tmp_path):
+    texts = [t or "" for _, t in texts_of(docs)] + [f"please call me at +1 (743) 555-38{i:02d} today friend" for i in range(9)] + ["please call me at 743-555-3899 today friend"] * 2
+    texts += [f"reach u{i} by mail@host{i}.org now" for i in range(5)] + ["reach u9 by mail@host now", "server 10.0.0.1 up", "server 10.0.0.2 up", "server 10.0.0.3 up", "server 910.0.0.7 up"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    want = plain_discovery(texts)
+    assert sum(map(len, want.values())) > 3
+    for r in pii.find(spark.read.parquet(str(tmp_path / "d"))).collect():
+        base = [(s, k, e) for s, k, e, _ in brute.base_spans(texts[r.doc_id])]
+        assert sorted(base + want[r.doc_id]) == sorted((s.start, s.kind, s["end"]) for s in r.spans), texts[r.doc_id][:200]
+
+
+def test_pii_of_very_long_tokens(spark, tmp_path):
+    n = 1_000_000
+    k = n // 10
+    texts = ["a" + "=" * n + "b12345", "." * n + "9999" + "!" * n, "7" * k, "1 " * (k // 4), "98765 x " * (k // 8), "+1" + "-" * k, "a@" * (k // 2), "ab1" * k]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    began = time.time()
+    assert pii.find(spark.read.parquet(str(tmp_path / "d"))).count() == len(texts)
+    assert time.time() - began < 90
+
+
 def test_pii_mask_keeps_columns(any_docs):
     out = pii.mask(any_docs)
     assert out.columns == any_docs.columns
