@@ -3,13 +3,16 @@
 Two equal windows of `length` bytes hold the same q-grams, so they hold the same least one
 (by hash): it is enough to bucket the suffixes at those positions, one byte in about 85. An
 anchor's initial bucket is its q-gram. Buckets with a single member hold no repeat and are
-dropped. The others are refined by later offsets: a bucket of what all windows of a piece
-have in common splits by the identifier of what they span together. Members whose span is
-shared are repeats as a whole; a bucket that didn't split is settled; in the others one
-member of each refined bucket goes on to the next step, where a piece is a thirteenth of
-the one before: 169 windows, 13, 1. A single window is both its common part and its span,
-so the last step is exact. Identifiers are built by prefix doubling: that of 2n bytes comes
-from those of its two halves of n bytes.
+dropped. The others are refined by the bucket identifiers of later offsets. A place's
+identifier over 2n bytes is made of those over n bytes at the place and n places on, so
+each doubling reuses what the one before has named, from single bytes up to 256; a stretch
+of n to 2n bytes is named by the identifiers at its beginning and n bytes before its end.
+
+A bucket of what all windows of a piece have in common splits by the identifier of what they
+span together. Members whose span is shared are repeats as a whole; a bucket that didn't
+split is settled; in the others one member of each refined bucket goes on to the next step,
+where a piece is a thirteenth of the one before: 169 windows, 13, 1. A single window is both
+its common part and its span, so the last step is exact, up to identifiers of 128 bits.
 
 All refinement steps are grouped counts and equi-joins; no bucket is ever gathered in one
 task, however many members it has.
@@ -24,12 +27,11 @@ rows. The table must be one whose scan gives the same rows in the same order eac
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +46,27 @@ STRETCH = 1 << 23
 WINDOWS = SIDE * SIDE
 assert LENGTH - Q + 1 == WINDOWS
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+#: Two independent names of each byte; the first alone names q-grams.
+_BYTES = mix64(np.arange(1, 513, dtype=np.uint64)).reshape(2, 256)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The most bytes of a stretch of text around anchors, and of stretches that are named together.
+PART, NAMED = 1 << 20, 1 << 21
 
 
-def qgram_ids(text: np.ndarray) -> np.ndarray:
-    """Identifiers of the q-gram at each place, by doubling."""
-    ids, n = _BYTE[text], 1
-    while n < Q:
-        a, b = ids[:-n], ids[n:]
-        ids = a * np.uint64(0x9E3779B97F4A7C15) + b
+def identifiers(text: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+    """Identifiers of the n bytes (a power of two) from each place on, by doubling."""
+    ids, m = _BYTES[lane][text], 1
+    while m < n:
+        ids = ids[:-m] * _STEP + ids[m:]
         ids ^= ids >> np.uint64(29)
-        n *= 2
+        m *= 2
     return ids * np.uint64(0xD6E8FEB86659FD93)
 
 
+def qgram_ids(text: np.ndarray) -> np.ndarray:
+    return identifiers(text, Q)
+
+
 def least_places(ids: np.ndarray) -> np.ndarray:
     """For each window of WINDOWS consecutive places, the first place of its least identifier.
 
@@ -99,15 +108,6 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[new], g[new], (o[end] >> 8) << 8 | (o[new] & 255)
 
 
-def _key(data: bytes, seed: int) -> bytes:
-    return xxhash.xxh3_128_digest(data, seed)
-
-
-def _halves(keys: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    two = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-    return pa.array(two[:, 0]), pa.array(two[:, 1])
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """rid (the row's place), doc_id and the text's bytes."""
     return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -132,7 +132,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: list[list[int]] = []
             for x in sorted(a["x"] for a in at):
                 lo, hi = max(0, x - WINDOWS + 1), min(len(t), x + LENGTH)
-                if own and lo <= own[-1][1]:
+                if own and lo <= own[-1][1] and hi - own[-1][0] <= PART:
                     own[-1][1] = hi
                 else:
                     own.append([lo, hi])
@@ -141,53 +141,70 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(b, "rid"), pa.array(sizes, pa.int32()), pa.array(parts, kind), column(b, "anchors")], ["rid", "size", "parts", "anchors"])
 
 
-class _Stretches:
-    def __init__(self, parts: list[dict]) -> None:
-        self.at = [p["at"] for p in parts]
-        self.bytes = [p["bytes"] for p in parts]
+_ROW = "rid bigint, x int, o int, piece int, i bigint, u1 bigint, u2 bigint"
 
-    def cut(self, lo: int, hi: int, near: int) -> bytes:
-        i = np.searchsorted(self.at, near, "right") - 1
-        return self.bytes[i][lo - self.at[i] : hi - self.at[i]]
 
+def _lists(col: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+    """The elements of a list column, and the row of each."""
+    sizes = np.diff(np.asarray(col.offsets))
+    return col.flatten(), np.repeat(np.arange(len(col)), sizes)
 
-_ROW = "rid bigint, x int, o int, piece int, i bigint, u1 bigint, u2 bigint"
+
+def _pieces(step: int, o: np.ndarray, piece: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the anchors' windows (offsets o): anchor, number, nearest and farthest offset of each piece."""
+    least, most, width = o >> 8, o & 255, (WINDOWS, SIDE, 1)[step]
+    if step == 2:
+        least, most = np.maximum(least, piece * SIDE), np.minimum(most, piece * SIDE + SIDE - 1)
+    first, last = least // width, most // width
+    n = np.maximum(last - first + 1, 0)
+    of = np.repeat(np.arange(len(o)), n)
+    p = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    return of, p, p * width, p * width + width - 1
 
 
 def _level(step: int):
     """Rows of step 0 (whole anchors), 1 (pieces of 13 windows) or 2 (windows), with common part i and span u."""
+    n = 256 if step == 0 else 128
+    bits = np.uint64(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                c = b.slice(k, 256)
-                out: list[tuple[int, int, int, int]] = []
-                commons: list[int] = []
-                spans: list[bytes] = []
-                for rid, size, parts, at in zip(*(column(c, n).to_pylist() for n in ("rid", "size", "parts", "anchors")), strict=True):
-                    text = _Stretches(parts)
-                    for a in at:
-                        x, o = a["x"], a["o"]
-                        if step == 0:
-                            pieces = [(0, 0, WINDOWS - 1)]
-                        elif step == 1:
-                            pieces = [(p, p * SIDE, p * SIDE + SIDE - 1) for p in range((o >> 8) // SIDE, (o & 255) // SIDE + 1)]
-                        else:
-                            pieces = [(p, p, p) for p in range(max(o >> 8, a["piece"] * SIDE), min(o & 255, a["piece"] * SIDE + SIDE - 1) + 1)]
-                        for p, near, far in pieces:
-                            lo, hi = x - far, x - near + LENGTH
-                            inside = lo >= 0 and hi <= size
-                            spans.append(_key(text.cut(lo, hi, x) if inside else struct.pack("<qqq", rid, x, p), step * 256 + p + (1 << 20) * (not inside)))
-                            if step == 0:
-                                commons.append(a["g"])
-                            elif step == 1:
-                                commons.append(xxhash.xxh3_64_intdigest(text.cut(x - near, x - far + LENGTH, x), p))
-                            out.append((rid, x, o, p))
-                if out:
-                    c4 = np.array(out, np.int64).T
-                    u1, u2 = _halves(spans)
-                    i = pa.array(np.array(commons, np.uint64 if step else np.int64).view(np.int64)) if step < 2 else u1
-                    yield pa.RecordBatch.from_arrays([pa.array(c4[0]), *(pa.array(v.astype(np.int32)) for v in c4[1:]), i, u1, u2], ["rid", "x", "o", "piece", "i", "u1", "u2"])
+            rid, size = column(b, "rid").to_numpy(), column(b, "size").to_numpy()
+            parts, own = _lists(column(b, "parts"))
+            anchors, of = _lists(column(b, "anchors"))
+            if not len(anchors):
+                continue
+            at, data = parts.field("at").to_numpy().astype(np.int64), parts.field("bytes")
+            cut = np.r_[0, np.cumsum(pc.binary_length(data).to_numpy().astype(np.int64))]
+            x, o = (anchors.field(f).to_numpy().astype(np.int64) for f in ("x", "o"))
+            more = anchors.field("piece" if step else "g").to_numpy()
+            # the stretch that holds all of an anchor's windows begins at the first of them or before
+            part = np.searchsorted((own << 40) + at, (of << 40) + np.maximum(x - WINDOWS + 1, 0), "right") - 1
+            order = np.argsort(part, kind="stable")
+            group = cut[:-1] // NAMED
+            for g in np.unique(group[part]):
+                lo_part, hi_part = np.searchsorted(group, [g, g + 1])
+                a = order[np.searchsorted(part[order], lo_part) : np.searchsorted(part[order], hi_part)]
+                text = np.frombuffer(b"".join(data.slice(lo_part, hi_part - lo_part).to_pylist()) + bytes(2 * n), np.uint8)
+                place = cut[part[a]] - cut[lo_part] + x[a] - at[part[a]]
+                who, p, near, far = _pieces(step, o[a], more[a] if step else None)
+                w = a[who]
+                lo, hi, here = x[w] - far, x[w] - near + LENGTH, place[who]
+                inside = (lo >= 0) & (hi <= size[of[w]])
+                start, end = np.where(inside, here - far, 0), np.where(inside, here - near + LENGTH, n)
+                # a piece that reaches beyond its text is like no other
+                alone = mix64((rid[of[w]].view(np.uint64) * _STEP + x[w].astype(np.uint64)) * _STEP + p.astype(np.uint64))
+                salt = mix64(p.astype(np.uint64) + np.uint64(step * 256 + 1))
+                u, common = [], None
+                for lane in (0, 1):
+                    ids = identifiers(text, n, lane)
+                    named = mix64((ids[start] * _STEP + ids[end - n]) * _STEP + salt)
+                    u.append(np.where(inside, named, mix64(alone + np.uint64(lane) + (np.uint64(1) << bits))).view(np.int64))
+                    if lane == 0 and step == 1:
+                        common = mix64((ids[here - near] * _STEP + ids[here - far + LENGTH - n]) * _STEP + salt).view(np.int64)
+                i = more[w] if step == 0 else common if step == 1 else u[0]
+                arrays = [rid[of[w]], x[w].astype(np.int32), o[w].astype(np.int32), p.astype(np.int32), i, *u]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), ["rid", "x", "o", "piece", "i", "u1", "u2"])
 
     return run
 
