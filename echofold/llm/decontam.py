@@ -1,40 +1,45 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Every text is cut into windows of as many word shingles as an item has. A window whose
-fingerprint is within the radius of an item's is a candidate: the items' fingerprints are
-indexed by the blocks of their bits, one more than the radius, so that one block at least
-is equal. Candidates are verified exactly, by the weighted Jaccard similarity of their
-shingles' counts. Windows that share too few shingles with the items of their size to
-reach the similarity are passed over before fingerprinting; that loses no match.
+Every text is cut into windows of as many word shingles as an item has. One pass over the
+texts keeps the windows that share enough shingles with the items as a whole to reach the
+similarity (by a bit filter of bounded size; that loses no match) and fingerprints them.
+Windows and items are then joined on the blocks of their fingerprints' bits, one more than
+the radius, so that all pairs within the radius meet. Such candidates are verified exactly,
+by the weighted Jaccard similarity of their shingles' counts. Windows at the similarity can
+differ by more bits than any radius that prunes, so texts and items that are not settled
+yet and share enough shingles of their own are verified too: no match depends on the radius.
 
 Words are compared in lower case and without signs, so decorated copies are found too.
+Items stay a table: only the filter and the items' sizes go to the executors.
 
 Defined results: a null or empty text or item matches nothing. Items of fewer words than a
 shingle are one shingle of all their words. A text shorter than an item is one window.
-Repeated rows and items are reported each. Empty tables give no rows.
+Repeated rows and items are reported each. Empty tables give no rows. The table of texts
+must be one whose scan gives the same rows in the same order each time.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, column, mix64, raw, small_batches
+from .common import WordIds, column, discard, mix64, raw, small_batches, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Fingerprints of windows at the similarity differ in 10 of 64 bits on average; 20 is beyond four deviations.
-RADIUS = 20
-#: The most bytes of items' text that go to the executors at once; more items take more passes.
-ITEM_BYTES = 8_000_000
+#: Differing bits up to which blocks of eight bits find all pairs; three random pairs in a hundred agree on a block.
+RADIUS = 7
+#: Bits of the filter for each shingle of the items, and in all; beyond that it lets more windows through.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 27
+#: Windows that are fingerprinted together.
+WINDOWS = 4096
 
 _SIGNS = re.compile(r"[\W_]+")
 
@@ -71,125 +76,194 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    both = sum((a & b).values())
-    return both / (sum(a.values()) + sum(b.values()) - both)
+def simhashes(h: np.ndarray, first: int, n: int, width: int) -> np.ndarray:
+    """Fingerprints of the n windows of that width from the first on."""
+    out = []
+    for s in range(first, first + n, WINDOWS):
+        k = min(WINDOWS, first + n - s)
+        bits = np.unpackbits(h[s : s + k + width - 1].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.zeros((len(bits) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        out.append(np.packbits(2 * (sums[width:] - sums[: k]) > width, axis=1, bitorder="little").view("<u8").ravel())
+    return np.concatenate(out)
 
 
-class Index:
-    """Items by shingle size and number of shingles, with their fingerprints by blocks of bits."""
+_ITEM = "iid bigint, item_id bigint, k int, m int, fp bigint, hashes array<bigint>"
 
-    def __init__(self, items: list[tuple[int, bytes]], k: int, radius: int) -> None:
-        self.radius = radius
-        edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-        self.blocks = [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-        self.items: dict[int, list[tuple[int, Counter, int]]] = defaultdict(list)  # by shingle size: id, counts, fingerprint
-        self.near: dict[tuple[int, int, int, int], list[int]] = defaultdict(list)
-        known: dict[int, list[np.ndarray]] = defaultdict(list)
-        words = Words()
-        for item_id, text in items:
-            (w,) = words.of([text])
-            w = w[w != 0]
-            if not len(w):
-                continue
-            size = min(k, len(w))
-            h = shingles(w, size)
-            n, fp = len(self.items[size]), simhash(h)
-            self.items[size].append((item_id, Counter(h.tolist()), fp))
-            for i, (lo, mask) in enumerate(self.blocks):
-                self.near[size, len(h), i, fp >> lo & mask].append(n)
-            known[size].append(np.c_[h, np.full(len(h), len(h), np.uint64)])
-        self.known, self.sizes, self.maybe = {}, {}, {}
-        for size, parts in known.items():
-            both = np.unique(np.concatenate(parts), axis=0)
-            self.known[size], first = np.unique(both[:, 0], return_index=True)
-            ends = np.r_[first[1:], len(both)]
-            self.sizes[size] = [both[a:b, 1].astype(int).tolist() for a, b in zip(first, ends, strict=True)]
-            self.maybe[size] = np.zeros(1 << 20, bool)
-            self.maybe[size][(self.known[size] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of shingles that some item has, and their numbers among the known."""
-        at = np.flatnonzero(self.maybe[size][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        known = self.known[size]
-        n = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-        ok = known[n] == h[at]
-        return at[ok], n[ok]
-
-    def matches(self, words: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int, float]]:
-        """(item_id, first word, words, differing bits, similarity): the best window of each run that matches."""
-        for size, items in self.items.items():
-            h = shingles(words, size)
-            if not len(h):
-                continue
-            at, n = self.hits(h, size)
-            if not len(at):
-                continue
-            by_length: dict[int, list[int]] = defaultdict(list)
-            for a, k in zip(at.tolist(), n.tolist(), strict=True):
-                for m in self.sizes[size][k]:
-                    by_length[m].append(a)
-            for m, places in by_length.items():
-                width = min(m, len(h))
-                found = np.zeros(len(h) + 1, np.int64)
-                found[np.array(places) + 1] = 1
-                found = np.cumsum(found)
-                inside = found[width:] - found[: len(found) - width]
-                best: dict[int, tuple[int, int, float]] = {}
-                for s in np.flatnonzero(inside >= least * m - 1e-9).tolist():
-                    window = h[s : s + width]
-                    fp = simhash(window)
-                    near = {j for i, (lo, mask) in enumerate(self.blocks) for j in self.near.get((size, m, i, fp >> lo & mask), ())}
-                    counts = Counter(window.tolist()) if near else None
-                    for j in near:
-                        item_id, own, item_fp = items[j]
-                        bits = (fp ^ item_fp).bit_count()
-                        if bits > self.radius or (sim := similarity(counts, own)) < least:
-                            continue
-                        if (b := best.get(j)) and s - b[0] >= width:
-                            yield item_id, b[0], width + size - 1, b[1], b[2]
-                            b = None
-                        if not b or sim > b[2]:
-                            best[j] = s, bits, sim
-                for j, (s, bits, sim) in best.items():
-                    yield items[j][0], s, width + size - 1, bits, sim
 
+def item_shingles(items: DataFrame, k: int) -> DataFrame:
+    """iid (the row's place), item_id, shingle size k, number m of shingles, fingerprint and the shingles, repeats included."""
 
-def _held(docs: DataFrame, items: DataFrame) -> list:
-    """The items in parts of about ITEM_BYTES, each sent to the executors for a pass of its own."""
-    items = items.select("item_id", "text").where("text is not null")
-    parts = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES
-    own = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) for i in range(parts))
-    return [docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in x.collect()]) for x in own]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in small_batches(batches, 512):
+            rows = []
+            for iid, item_id, w in zip(column(b, "iid").to_pylist(), column(b, "item_id").to_pylist(), words.of(raw(b)), strict=True):
+                if len(w := w[w != 0]):
+                    h = shingles(w, min(k, len(w)))
+                    rows.append((iid, item_id, min(k, len(w)), len(h), int(np.array([simhash(h)], np.uint64).view(np.int64)[0]), h.view(np.int64)))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["iid", "item_id", "k", "m", "fp", "hashes"])
+
+    rows = items.where("text is not null").select(F.monotonically_increasing_id().alias("iid"), F.col("item_id").cast("bigint").alias("item_id"), "text")
+    return rows.mapInArrow(run, _ITEM)
+
+
+def shingle_filter(known: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each slot that a shingle of an item falls into, packed, and the number of slots: FILTER_BITS at most."""
+    n = known.agg(F.sum("m")).first()[0] or 0
+    slots = min(FILTER_BITS, 1 << max(16, (FILTER_SHARE * n).bit_length()))
+    at = F.explode("hashes").alias("h")
+    place = F.col("h").bitwiseAND(slots - 1) + 1  # Spark's bitmaps count from one
+    rows = known.select(at).groupBy(F.bitmap_bucket_number(place).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(slots // 8, np.uint8)
+    for r in rows:
+        lo = (r["no"] - 1) * 4096
+        part = np.frombuffer(r["bits"], np.uint8)[: len(out) - lo]
+        out[lo : lo + len(part)] = part
+    return out, slots
+
+
+_WINDOWS = "rid bigint, k int, m int, n int, starts array<int>, fps array<bigint>, places array<int>, hashes array<bigint>"
+
+
+def windows(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """For each text (rid) and item size (k, m): the starts of the windows that may match, their
+    fingerprints, and the shingles in them that pass the filter, with their places. n: the text's shingles."""
+    bits, slots = shingle_filter(known)
+    sizes: dict[int, list[int]] = {}
+    for r in known.select("k", "m").distinct().orderBy("k", "m").collect():
+        sizes.setdefault(r["k"], []).append(r["m"])
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = Words(), held.value
+        for b in small_batches(batches, 512):
+            rows = []
+            for rid, w in zip(column(b, "rid").to_pylist(), words.of(raw(b)), strict=True):
+                w = w[w != 0]
+                for k, lengths in sizes.items():
+                    h = shingles(w, k)
+                    slot = (h & np.uint64(slots - 1)).astype(np.int64)
+                    hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+                    upto = np.r_[0, np.cumsum(hit)]
+                    for m in lengths:
+                        if upto[-1] < least * m - 1e-9:
+                            break
+                        width = min(m, len(h))
+                        starts = np.flatnonzero(upto[width:] - upto[: len(h) - width + 1] >= least * m - 1e-9)
+                        if not len(starts):
+                            continue
+                        cut = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
+                        runs = [(int(starts[i]), int(j - i)) for i, j in zip(cut, [*cut[1:], len(starts)], strict=True)]
+                        fps = np.concatenate([simhashes(h, s, n, width) for s, n in runs])
+                        inside = np.zeros(len(h) + 1, np.int64)
+                        for s, n in runs:
+                            inside[s] += 1
+                            inside[s + n - 1 + width] -= 1
+                        at = np.flatnonzero(hit & (np.cumsum(inside)[:-1] > 0))
+                        rows.append((rid, k, m, len(h), starts, fps.view(np.int64), at, h[at].view(np.int64)))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["rid", "k", "m", "n", "starts", "fps", "places", "hashes"])
+
+    return docs.where("text is not null").select("rid", "text").mapInArrow(run, _WINDOWS)
+
+
+def _blocks(radius: int) -> list[tuple[int, int]]:
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def within_radius(found: DataFrame, known: DataFrame, radius: int) -> DataFrame:
+    """rid and iid of all windows and items of one size within the radius, by equal blocks of bits."""
+    def dealt(rows: DataFrame, fp: str) -> DataFrame:
+        parts: list[Column] = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit(mask).cast("bigint")) for lo, mask in _blocks(radius)]
+        return rows.select("*", F.posexplode(F.array(*parts)).alias("block", "bits"))
+
+    near = dealt(found.select("rid", "k", "m", F.explode("fps").alias("fp")).distinct(), "fp")
+    own = dealt(known.select("iid", "k", "m", F.col("fp").alias("item_fp")), "item_fp")
+    both = near.join(own, ["k", "m", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    return both.select("rid", "iid").distinct()
+
+
+def sharing(found: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """rid and iid of texts and items of one size of which the text holds enough of the item's shingles."""
+    own = stage(known.select("iid", "k", "m", F.explode("hashes").alias("h")).groupBy("iid", "k", "m", "h").agg(F.count("*").alias("c")))
+    near = stage(found.select("rid", "k", "m", F.explode(F.array_distinct("hashes")).alias("h")))
+    both = near.join(own, ["k", "m", "h"]).groupBy("rid", "iid", "m").agg(F.sum("c").alias("c"))
+    return both.where(F.col("c") >= least * F.col("m") - 1e-9).select("rid", "iid")
+
+
+def best_windows(starts: list[int], places: list[int], hashes: list[int], n: int, own: list[int], least: float) -> Iterator[tuple[int, float]]:
+    """Number of the window and its similarity: the best of each run of windows that reach the similarity and overlap."""
+    want, have = Counter(own), Counter()
+    m = len(own)
+    width = min(m, n)
+    lo = hi = both = 0
+    best: tuple[int, float] | None = None
+    for i, s in enumerate(starts):
+        while hi < len(places) and places[hi] < s + width:
+            h = hashes[hi]
+            both += have[h] < want[h]
+            have[h] += 1
+            hi += 1
+        while lo < hi and places[lo] < s:
+            h = hashes[lo]
+            have[h] -= 1
+            both -= have[h] < want[h]
+            lo += 1
+        if (sim := both / (width + m - both)) >= least:
+            if best and s - starts[best[0]] >= width:
+                yield best
+                best = None
+            if not best or sim > best[1]:
+                best = i, sim
+    if best:
+        yield best
+
+
+def verified(pairs: DataFrame, found: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """rid, iid, item_id and the place, length, differing bits and similarity of each match of the pairs."""
+    own = known.select("iid", "item_id", "k", "m", F.col("fp").alias("item_fp"), F.col("hashes").alias("own"))
+    rows = pairs.join(own, "iid").join(found, ["rid", "k", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 256):
+            out = []
+            for r in b.to_pylist():
+                for i, sim in best_windows(r["starts"], r["places"], r["hashes"], r["n"], r["own"], least):
+                    differ = ((r["fps"][i] ^ r["item_fp"]) & ((1 << 64) - 1)).bit_count()
+                    out.append((r["rid"], r["iid"], r["item_id"], r["starts"][i], min(r["m"], r["n"]) + r["k"] - 1, differ, sim))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["rid", "iid", "item_id", "first_word", "n_words", "bits", "similarity"])
+
+    return rows.mapInArrow(run, "rid bigint, iid bigint, item_id bigint, first_word bigint, n_words bigint, bits int, similarity double")
+
+
+def matches(docs: DataFrame, items: DataFrame, k: int, least: float, radius: int) -> DataFrame:
+    """rid and the matches of docs (rid, text)."""
+    known = stage(item_shingles(items, k))
+    found = stage(windows(docs, known, least))
+    near = stage(verified(within_radius(found, known, radius), found, known, least))
+    rest = sharing(found, known, least).join(near.select("rid", "iid").distinct(), ["rid", "iid"], "left_anti")
+    out = stage(near.unionByName(verified(rest, found, known, least)))
+    discard(known, found, near)
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, first_word, n_words (words with signs alone don't count), bits and similarity of each match."""
-    types = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id bigint, first_word bigint, n_words bigint, bits int, similarity double"
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
-
-    def of(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, words = Index(held.value, k, radius), Words()
-            for b in small_batches(batches, 512):
-                rows = [(i, *m) for i, w in enumerate(words.of(raw(b))) for m in index.matches(w[w != 0], least)]
-                if rows:
-                    c = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([column(b, "doc_id").take(pa.array(c[0])), *map(pa.array, c[1:], kinds)], ["doc_id", "item_id", "first_word", "n_words", "bits", "similarity"])
-
-        return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, types)
-
-    return reduce(DataFrame.unionByName, map(of, _held(docs, items)))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    found = matches(rows, items, k, least, radius)
+    return rows.select("rid", "doc_id").join(found, "rid").select("doc_id", "item_id", "first_word", "n_words", "bits", "similarity")
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, that match no item."""
-    for held in _held(docs, items):
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, words = Index(held.value, k, radius), Words()
-            for b in small_batches(batches, 512):
-                yield b.filter(pa.array([next(index.matches(w[w != 0], least), None) is None for w in words.of(raw(b))], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
+    found = matches(rows.select("rid", F.col("row")["text"].alias("text")), items, k, least, radius)
+    left = rows.join(found.select("rid").distinct(), "rid", "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
