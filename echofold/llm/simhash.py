@@ -37,6 +37,8 @@ SEED = 42
 #: Bands of min-hashes: of pairs at a similarity of 0.8, 1 in 60,000 agrees on none of them.
 BANDS, ROWS = 60, 8
 _STEPS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+#: Fingerprints of a bucket whose trie one task walks.
+BUCKET = 50_000
 #: Rounds of hubs before the texts of buckets with several components are compared by their rarest shingles.
 HUB_ROUNDS = 4
 
@@ -119,6 +121,10 @@ def trie_links(fps: np.ndarray, bucket: np.ndarray, radius: int, room: int = 400
         parts = [(a0, am, b0, bm, d), (am, a1, bm, b1, d), (a0, am, bm, b1, d + 1), tuple(x[~same] for x in (am, a1, b0, bm, d + 1))]
         a0, a1, b0, b1, d = (np.concatenate(x) for x in zip(*parts, strict=True))
         keep = (d <= radius) & (a0 < a1) & (b0 < b1) & ~((a0 == b0) & (a1 - a0 < 2))
+        if todo and keep.any():  # nodes that are of one group already need no more links
+            a0, a1, b0, b1, d = (x[keep] for x in (a0, a1, b0, b1, d))
+            turns = np.r_[0, np.cumsum(label[1:] != label[:-1])]
+            keep = (label[a0] != label[b0]) | (turns[a1 - 1] != turns[a0]) | (turns[b1 - 1] != turns[b0])
         if keep.any():
             todo.append((bit - 1, *(x[keep] for x in (a0, a1, b0, b1, d))))
     return label
@@ -135,19 +141,60 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def closer(used: int, radius: int) -> list[int]:
+    """Masks that add to used two of radius + 2 blocks of its other bits: two fingerprints within the radius agree on one such mask."""
+    free = [i for i in range(64) if not used >> i & 1]
+    n = radius + 2
+    blocks = [sum(1 << i for i in free[len(free) * j // n : len(free) * (j + 1) // n]) for j in range(n)]
+    return [used | a | b for a, b in combinations(blocks, 2)]
+
+
+def dealt(rows: DataFrame, choices: dict[int, list[int]]) -> DataFrame:
+    """Each fingerprint (fp, used) once for each choice of bits that must agree, with its own bits there."""
+    masks = F.lit(None).cast("array<bigint>")
+    for used, more in choices.items():
+        masks = F.when(F.col("used") == F.lit(_signed(used)).cast("bigint"), F.array(*(F.lit(_signed(m)).cast("bigint") for m in more))).otherwise(masks)
+    return rows.select("fp", F.explode(masks).alias("used")).withColumn("part", F.col("fp").bitwiseAND(F.col("used")))
+
+
+def buckets(distinct: DataFrame, radius: int, count: int) -> DataFrame:
+    """fp, used and part: fingerprints with the buckets in which all their links lie.
+
+    A bucket of more than BUCKET fingerprints (a large family that agrees on these bits) is a
+    node of the tries that is dealt out again by more bits, until it is small or has so few
+    bits left that it must be.
+    """
+    keyed = dealt(distinct.select("fp", F.lit(0).cast("bigint").alias("used")), {0: agreeing_blocks(block_count(count, radius), radius)})
+    done = []
+    while True:
+        large = stage(keyed.groupBy("used", "part").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("used", "part"))
+        masks = [r["used"] % (1 << 64) for r in large.select("used").distinct().collect()]  # as many as there are choices of blocks
+        choices = {m: closer(m, radius) for m in masks if 64 - m.bit_count() > 16}
+        if not choices:
+            break
+        again = stage(large.where(F.col("used").isin([_signed(m) for m in choices])))
+        done.append(keyed.join(again, ["used", "part"], "left_anti").select("fp", "used", "part"))
+        keyed = stage(dealt(keyed.join(again, ["used", "part"], "left_semi"), choices))
+    for x in done:
+        keyed = keyed.unionByName(x)
+    return keyed
+
+
 def links(distinct: DataFrame, radius: int, count: int) -> DataFrame:
     """A spanning forest (src > dst) in each bucket of the links within the radius."""
-    masks = agreeing_blocks(block_count(count, radius), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("mask", "part"))
-    tasks = max(8, count * len(masks) // 200_000)
-    keyed = keyed.withColumn("slot", F.pmod(F.xxhash64("mask", "part"), F.lit(tasks * 32)))
+    keyed = buckets(distinct, radius, count)
+    tasks = max(8, count * len(agreeing_blocks(block_count(count, radius), radius)) // 200_000)
+    keyed = keyed.withColumn("slot", F.pmod(F.xxhash64("used", "part"), F.lit(tasks * 32)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        fps, mask, part = rows["fp"].to_numpy().view(np.uint64), rows["mask"].to_numpy(), rows["part"].to_numpy()
-        order = np.lexsort((fps, part, mask))
-        fps, mask, part = fps[order], mask[order], part[order]
-        bucket = np.cumsum(np.r_[0, (mask[1:] != mask[:-1]) | (part[1:] != part[:-1])])
+        fps, used, part = rows["fp"].to_numpy().view(np.uint64), rows["used"].to_numpy(), rows["part"].to_numpy()
+        order = np.lexsort((fps, part, used))
+        fps, used, part = fps[order], used[order], part[order]
+        bucket = np.cumsum(np.r_[0, (used[1:] != used[:-1]) | (part[1:] != part[:-1])])
         label = trie_links(fps, bucket, radius)
         linked = label != np.arange(len(label))
         return pd.DataFrame({"src": fps[linked].view(np.int64), "dst": fps[label[linked]].view(np.int64)})
