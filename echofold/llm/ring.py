@@ -10,8 +10,9 @@ Only the counts per arc, shards * virtual nodes of them, come to the driver to s
 takes how many keys of which arc; keys are told by their rank within their arc.
 
 Defined results: a null key or text counts as one (size 16 with a null text). Rows with
-equal keys fall into one arc and are ranked by size and checksum, the order of fully equal
-rows being free as they can't be told apart. An empty table gives no rows.
+equal keys fall into one arc, where a hash of the key, the size, the checksum and the row's
+place in the table ranks them. An empty table gives no rows. The table must be one whose
+scan gives the same rows in the same order each time.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 SHARDS = 40
 VIRTUAL = 64
+#: Rows of an arc that are ranked together.
+CELL = 50_000
 
 
 def _place(shard: int, node: int) -> int:
@@ -47,7 +52,8 @@ def arc_of(hashed: Column, places: list[int]) -> Column:
     first = [bisect.bisect_left(places, e) for e in edges]
     stretches = F.lit(json.dumps([{"n": lo, "p": places[lo:hi]} for lo, hi in zip(first, first[1:], strict=False)]))
     table = F.from_json(stretches, "array<struct<n:int,p:array<bigint>>>")  # a constant, folded once
-    at = table[(F.shiftrightunsigned(hashed, 64 - bits)).cast("int")]
+    from_least = hashed.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))  # the ring begins at the least signed number
+    at = table[F.shiftrightunsigned(from_least, 64 - bits).cast("int")]
     below = at["n"] + F.size(F.filter(at["p"], lambda p: p < hashed))
     return F.pmod(below, F.lit(len(places)))
 
@@ -84,15 +90,22 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, virtual:
     """Columns: key, size, text_crc32, shard, slot, ring_shard (the shard before any overflow)."""
     nodes = ring(shards, virtual)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(key, (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     hashed = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = rows.withColumn("arc", arc_of(hashed, [p for p, _ in nodes])).withColumn("h", hashed)
+    rows = docs.select(F.col(key), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), arc_of(hashed, [p for p, _ in nodes]).alias("arc"), F.monotonically_increasing_id().alias("_row"))
+    rows = stage(rows)  # so that a row's place is fixed
     counts = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}
     takes = settle(counts, nodes, shards)
     plan = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(("arc", "lo", "hi", "shard", "base"), t, strict=True)) for t in takes])), "array<struct<arc:int,lo:bigint,hi:bigint,shard:int,base:bigint>>")))
-    owner = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"arc": i, "ring_shard": s} for i, (_, s) in enumerate(nodes)])), "array<struct<arc:int,ring_shard:int>>")))
-    plan = plan.join(F.broadcast(owner), "arc")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("h", key, "size", "text_crc32")).cast("long") - 1)
+    arcs = [{"arc": i, "ring_shard": s, "cells": counts.get(i, 0) // CELL + 1} for i, (_, s) in enumerate(nodes)]
+    owner = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(arcs)), "array<struct<arc:int,ring_shard:int,cells:bigint>>")))
+    plan = plan.join(F.broadcast(owner.drop("cells")), "arc")
+    # a rank in an arc is the rows of the cells before and the rank in the row's own cell, so no task ranks a whole crowded arc
+    spread = F.xxhash64(key, "size", "text_crc32", "_row")
+    rows = rows.join(F.broadcast(owner.drop("ring_shard")), "arc").withColumn("_spread", spread).withColumn("_cell", F.pmod("_spread", "cells"))
+    before = Window.partitionBy("arc").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("arc", "_cell").agg(F.count("*").alias("_n")).select("arc", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("arc", "_cell").orderBy("_spread", "_row")).cast("long") - 1)
+    ranked = ranked.join(offsets, ["arc", "_cell"]).withColumn("rank", F.col("_offset") + F.col("_r"))
     # the plan has a row for each arc and for each overflow: a bounded number, whatever the table
     taken = ranked.alias("r").join(F.broadcast(plan.alias("p")), (F.col("r.arc") == F.col("p.arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return taken.select(f"r.{key}", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), "ring_shard")

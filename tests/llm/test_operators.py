@@ -132,8 +132,9 @@ def test_simhash(any_docs, shingle):
     assert Counter((10**9 if r.doc_id is None else r.doc_id, r.fp % (1 << 64), r.component_id) for r in out) == expected
 
 
-@pytest.mark.parametrize("radius", [2, 4, 7])
-def test_trie_join_finds_all_links(spark, radius):
+@pytest.mark.parametrize("radius,bucket", [(2, 50_000), (4, 50_000), (7, 50_000), (2, 30), (4, 30)])
+def test_trie_join_finds_all_links(spark, monkeypatch, radius, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)  # small: nearly all buckets are dealt out again
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     fps = set(seeds.tolist())
@@ -405,6 +406,21 @@ def test_ring(any_docs, shards):
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_ring_against_plain_places(spark, monkeypatch):
+    monkeypatch.setattr(ring, "CELL", 30)
+    rows = [(i if i % 3 else 7, "t" * (i % 5)) for i in range(900)]  # a key on a third of the rows
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = ring.assign(docs, shards=5, virtual=4).collect()
+    nodes = ring.ring(5, 4)
+    place = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    own = {d: next((s for p, s in nodes if p >= h), nodes[0][1]) for d, h in place.items()}
+    assert all(r.ring_shard == own[r.doc_id] for r in out)
+    wanted = Counter(own[d] for d, _ in rows)
+    stay = Counter(r.shard for r in out if r.shard == r.ring_shard)
+    assert all(stay[s] == min(wanted[s], 180) for s in range(5))  # a shard serves its own keys first, up to its quota
+    assert {s: sorted(r.slot for r in out if r.shard == s) for s in range(5)} == {s: list(range(180)) for s in range(5)}
+
+
 def test_ring_moves_little(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     a, b = ({r.doc_id: r.shard for r in ring.assign(docs, shards=n).collect()} for n in (10, 11))
@@ -428,6 +444,24 @@ def test_decontamination(spark, docs, sf_dir):
     assert decontam.clean(docs, items).count() == docs.count() - len({d for d, _ in found})
 
 
+def test_decontamination_does_not_depend_on_the_radius(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 4000, n))) for i, n in enumerate([1, 3, 9, 9, 13, 40, 80])]
+    texts = []
+    for i, t in items:
+        for _ in range(12):
+            w = t.split()
+            for at in rng.integers(0, len(w), int(rng.integers(0, 2 + len(w) // 30))):
+                w[at] = f"x{rng.integers(0, 99)}"
+            texts.append(" ".join([f"y{x}" for x in rng.integers(0, 99, int(rng.integers(0, 30)))] + w + [f"z{x}" for x in rng.integers(0, 99, int(rng.integers(0, 30)))]))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    df, given = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(d, i) for d, t in enumerate(texts) for i, x in items if brute.leaks(t, x) >= 0.8}
+    for radius in (1, 7):
+        assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, given, radius=radius).collect()} == want
+    assert {r.doc_id for r in decontam.clean(df, given).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_decontamination_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "A"), (4, LONG.upper()), (4, "one two, three! four five six")], "item_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, items).collect()}
