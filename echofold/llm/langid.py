@@ -14,7 +14,7 @@ languages are not learnt. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,14 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, mix64, raw
+from .common import column, mix64, raw, small_batches, stage
 
 N = 4
-#: An n-gram belongs to a language if it is at least this share of its n-grams, ...
+#: An n-gram belongs to a language if it is at least this share of its n-grams
+#: (with more than MEMBERS * FLOOR languages a larger one, in proportion to them), ...
 FLOOR = 2e-6
 #: ... and at least this part of the share it has in the language where it is most frequent.
 RELATIVE = 0.05
 HASHES = 3
+#: The most n-grams of all languages together, which bounds what comes to the driver and is broadcast.
+MEMBERS = 10_000_000
+#: Bytes whose n-grams are counted at a time.
+PIECE = 1 << 20
 
 #: Bytes that count as letters stay, all others become spaces.
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -39,15 +44,49 @@ def has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Codes of the byte n-grams of the text's lower-case words, each with a space around."""
-    t = b" " + b" ".join(text.decode("utf-8", "replace").lower().encode().translate(_LETTERS).split()) + b" "
+def words(text: bytes) -> bytes:
+    """The text's words of lower-case letters, each with a space behind."""
+    return b"".join(w + b" " for w in text.decode("utf-8", "replace").lower().encode().translate(_LETTERS).split())
+
+
+def spaced(words: bytes) -> bytes:
+    """The words with a space before as well, N bytes at least."""
+    return (b" " + words).ljust(N)
+
+
+def grams(t: bytes) -> np.ndarray:
+    """Codes of the byte n-grams of spaced words."""
     b = np.frombuffer(t, np.uint8).astype(np.uint32)
-    if len(b) < N:
-        b = np.r_[b, np.full(N - len(b), 32, np.uint32)]
     return b[:-3] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:]
 
 
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.r_[a[0], b[0]], return_inverse=True)
+    return code, np.bincount(at, np.r_[a[1], b[1]], len(code)).astype(np.int64)
+
+
+def counted(t: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the n-grams and how often each occurs, piece by piece, so that long texts need little more room than short ones."""
+    out = np.unique(grams(t[: PIECE + N - 1]), return_counts=True)
+    for i in range(PIECE, len(t) - N + 1, PIECE):
+        out = merged(out, np.unique(grams(t[i : i + PIECE + N - 1]), return_counts=True))
+    return out
+
+
+def joined(texts: Iterable[bytes]) -> Iterator[bytes]:
+    """The spaced words of the texts, short texts joined to strings of about a piece."""
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        held.append(words(t))
+        size += len(held[-1])
+        if size >= PIECE:
+            yield spaced(b"".join(held))
+            held, size = [], 0
+    if size:
+        yield spaced(b"".join(held))
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
@@ -66,17 +105,13 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
             held.clear()
 
-        for b in batches:
+        for b in small_batches(batches):
             by: dict[str, list[bytes]] = {}
             for lang, t in zip(column(b, "lang").to_pylist(), raw(b), strict=True):
                 by.setdefault(lang, []).append(t)
             for lang, texts in by.items():
-                for i in range(0, len(texts), 256):
-                    code, n = np.unique(grams(b" ".join(texts[i : i + 256])), return_counts=True)
-                    if lang in held:
-                        code, at = np.unique(np.r_[held[lang][0], code], return_inverse=True)
-                        n = np.bincount(at, np.r_[held[lang][1], n]).astype(np.int64)
-                    held[lang] = code, n
+                for t in joined(texts):
+                    held[lang] = merged(held[lang], counted(t)) if lang in held else counted(t)
             if sum(len(c) for c, _ in held.values()) > 2_000_000:
                 yield from give()
         yield from give()
@@ -86,10 +121,11 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """The filter of all languages in labelled (text, lang). A language has 1 / FLOOR members at most."""
-    counts = count_grams(labelled)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= FLOOR)
+    """The filter of all languages in labelled (text, lang), with MEMBERS n-grams at most."""
+    counts = stage(count_grams(labelled))
+    totals = stage(counts.groupBy("lang").agg(F.sum("n").alias("total")))
+    floor = max(FLOOR, totals.count() / MEMBERS)
+    share = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= floor)
     most = F.max("share").over(Window.partitionBy("gram"))
     kept = share.withColumn("most", most).where(F.col("share") >= RELATIVE * F.col("most")).select("lang", "gram").toPandas()
     languages = sorted(kept["lang"].unique())
@@ -114,7 +150,7 @@ def slots_of(codes: np.ndarray, size: int) -> list[np.ndarray]:
 def decide(model: Model, text: bytes) -> tuple[str, float]:
     if not model.languages or not has_letter(text):
         return "und", 0.0
-    code, n = np.unique(grams(text), return_counts=True)
+    code, n = counted(spaced(words(text)))
     a, *rest = slots_of(code, len(model.slots))
     masks = model.slots[a]
     for b in rest:
@@ -130,7 +166,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 64 * members of the largest language bytes a word of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             found = [decide(shared.value, t) for t in raw(b)]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
