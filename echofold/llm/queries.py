@@ -12,6 +12,10 @@ from . import decontam, fertility, langid, lines, packing, pii, quality, ring, s
 from .common import documents, table
 
 
+#: The vocabularies that op6 measures with: one with byte fallback and one of bytes for many languages.
+VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
+
+
 def _remainder(n: int) -> Column:
     """crc32 of doc_id as text, modulo n."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
@@ -46,8 +50,8 @@ def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fertility.verdicts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *fertility.MEASURES)
+    out = fertility.verdicts(documents(spark, sf_dir), [public_tokenizers.path(v) for v in VOCABULARIES])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *fertility.measure_names(len(VOCABULARIES)))
 
 
 def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
