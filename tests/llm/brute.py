@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,3 +137,92 @@ def shingle_set(text, k):
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def language_scores(labelled, text, n=4, floor=2e-6, relative=0.05):
+    """The share of the text's n-grams that each language holds, by plain sets of members; None without a letter."""
+
+    def grams(t):
+        low = (t or "").lower().encode()
+        w = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in low).split()
+        t = (b" " + b"".join(x + b" " for x in w)).ljust(n)
+        return [t[i : i + n] for i in range(len(t) - n + 1)]
+
+    key = tuple(labelled)
+    if key not in _MEMBERS:
+        counts = defaultdict(Counter)
+        for t, lang in labelled:
+            counts[lang].update(grams(t))
+        share = {lang: {g: k / c.total() for g, k in c.items()} for lang, c in counts.items()}
+        most = Counter()
+        for s in share.values():
+            for g, x in s.items():
+                most[g] = max(most[g], x)
+        _MEMBERS[key] = {lang: {g for g, x in s.items() if x >= floor and x >= relative * most[g]} for lang, s in share.items()}
+    if not any(c.isalpha() for c in text or ""):
+        return None
+    own = grams(text)
+    return {lang: sum(g in held for g in own) / len(own) for lang, held in _MEMBERS[key].items()}
+
+
+_MEMBERS: dict = {}
+
+
+def preference_weights(x, y, pairs, reg):
+    """Bradley-Terry weights by Newton's method: x and y are the features of the two labels, pairs their places and which comes first."""
+    d = np.array([(x[g] - y[b]) * (1 if first else -1) for first, g, b in pairs])
+    label = np.array([first for first, _, _ in pairs], float)
+    std = d.std(0, ddof=1)
+    used = std > 0
+    z = d[:, used] / std[used]
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        grad = z.T @ (p - label) / len(z) + reg * w
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(z) + reg * np.eye(len(w)), grad)
+    out = np.zeros(d.shape[1])
+    out[used] = w / std[used]
+    return out
+
+
+def fertility_verdicts(rows, encoders, width=5.0, group=30):
+    """kept of each (doc_id, lang, text), by plain loops over bands; encoders give a word's (token, is byte) list."""
+    told = []
+    for d, lang, t in rows:
+        words = SPLIT.findall(t or "")
+        measures = []
+        for encode in encoders:
+            tokens = [x for w in words for x in encode(w)]
+            n = len(tokens)
+            p = np.array(list(Counter(x for x, _ in tokens).values())) / max(n, 1)
+            h = float(-(p * np.log2(p)).sum())
+            measures += [sum(map(len, words)) / n, sum(b for _, b in tokens) / n, h / np.log2(n) if n > 1 else 1.0] if n else [None] * 3
+            if encode is encoders[0]:
+                octave = int(np.floor(2 * np.log2(max(n, 1))))
+        c = base_counts(t)
+        told.append((d, lang or "", t or "", octave, measures, c[0] < 50 or 100 * c[4] > 50 * c[0], c[0] >= 50))
+    texts = {(lang, o, t): m for _, lang, t, o, m, _, judged in told if judged}
+    floors = (0.08, 0.02, 0.03) * len(encoders)
+
+    def band(lang, o):
+        for same in (True, False):
+            at = [(abs(k[1] - o), m) for k, m in texts.items() if k[0] == lang or not same]
+            for reach in sorted({a for a, _ in at}):
+                near = [m for a, m in at if a <= reach]
+                if len(near) >= group:
+                    return near
+        return list(texts.values())
+
+    def quartile(values, share):
+        return sorted(values)[max(int(np.ceil(share * len(values))) - 1, 0)]
+
+    out = []
+    for d, lang, _, o, m, failed, _ in told:
+        near = band(lang, o)
+        inside = bool(near) and m[0] is not None
+        for i, least in enumerate(floors):
+            if inside:
+                lo, mid, hi = (quartile([x[i] for x in near], q) for q in (0.25, 0.5, 0.75))
+                inside = abs(m[i] - mid) <= max(least, width * (hi - lo) / 2)
+        out.append((d, not failed and inside))
+    return out

@@ -1,5 +1,6 @@
 """Each text operator against its plain version, on the smallest tables and on odd rows."""
 
+import base64
 import re
 import time
 import zlib
@@ -9,15 +10,19 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from echofold.llm import decontam, fertility, langid, lines, packing, pii, quality, queries, ring, simhash, substring
+from echofold.llm.common import WordIds
 from echofold.llm.components import components
 
 from . import brute
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, shard int, rid string, kind string, spans string"
+VOCABULARIES = [public_tokenizers.path(v) for v in queries.VOCABULARIES]
 LONG = "lorem ipsum dolor sit amet consectetur " * 9
 ODD = [
     None, "", " \n\t ", "a", "..!!", "x" * 30_000, "Und " * 300, LONG, LONG, LONG + "tail", "head " + LONG, "ß" * 250, "É" * 99 + "ñ" * 300,
@@ -347,7 +352,7 @@ def test_pii_mask_keeps_columns(any_docs):
 
 
 def test_fertility_counts(any_docs):
-    out = fertility.verdicts(any_docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    out = fertility.verdicts(any_docs, VOCABULARIES).collect()
     expected = Counter()
     for d, t in texts_of(any_docs):
         n = brute.base_counts(t)
@@ -356,6 +361,33 @@ def test_fertility_counts(any_docs):
     assert not any(r.kept and r.base_failed for r in out)
 
 
+def plain_encoders():
+    """How each vocabulary of op6 tells a word's tokens and which of them are bytes, word by word."""
+    piece = sentencepiece.SentencePieceProcessor(model_file=VOCABULARIES[0])
+    with open(VOCABULARIES[1], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    sequences = {b: a for a, b in ranks.items()}
+    coder = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def in_bytes(w):
+        found = coder.encode_ordinary(" " + w[:512]) + [x for i in range(512, len(w), 512) for x in coder.encode_ordinary(w[i : i + 512])]
+        return [(x, len(sequences[x]) == 1 and sequences[x] >= b"\x80") for x in found]
+
+    return [lambda w: [(x, piece.is_byte(x)) for x in piece.encode(w)], in_bytes]
+
+
+def test_fertility_verdicts_are_those_of_plain_loops(any_docs):
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in any_docs.select("doc_id", "lang", "text").collect()]
+    expected = Counter(brute.fertility_verdicts(rows, plain_encoders()))
+    assert Counter((r.doc_id, r.kept) for r in fertility.verdicts(any_docs, VOCABULARIES).collect()) == expected
+
+
+def test_fertility_of_a_very_long_word(spark, tmp_path):
+    began = time.time()
+    fertility_of(spark, tmp_path / "d", [(1, "en", "x" * 1_000_000), (2, "en", "é#" * 400_000)])
+    assert time.time() - began < 60
+
+
 def prose(docs, rng, n):
     """Texts of 100 to 125 words drawn from those of the table's English ones."""
     words = sorted({w for r in docs.where("lang = 'en'").collect() for w in (r.text or "").split() if w.isascii() and w.isalpha()})[:800]
@@ -364,7 +396,7 @@ def prose(docs, rng, n):
 
 def fertility_of(spark, tmp_path, texts):
     spark.createDataFrame(texts, "doc_id bigint, lang string, text string").write.parquet(str(tmp_path))
-    out = fertility.verdicts(spark.read.parquet(str(tmp_path)), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    out = fertility.verdicts(spark.read.parquet(str(tmp_path)), VOCABULARIES).collect()
     return {r.doc_id: (r.base_failed, r.band_failed, r.kept) for r in out}
 
 
@@ -506,6 +538,34 @@ def test_quality(spark, docs, sf_dir):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_quality_is_that_of_plain_preferences(spark, docs, sf_dir):
+    """The weights of a plain Newton fit over the same pairs give nearly the same scores."""
+    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    found = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labelled)).collect()}
+    x = {d: quality.features((t or "").encode(), WordIds()) for d, t in texts_of(docs)}
+    order = [r.doc_id for r in docs.join(labelled, "doc_id", "left_semi").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    label = {r.doc_id: r.label for r in labelled.collect()}
+    good, bad = ([x[d] for d in order if label[d] == v] for v in (1, 0))
+    n = 3 * max(len(good), len(bad))
+    pairs = [(i % 2, i % len(good), (i * 7919 + i // len(good)) % len(bad)) for i in range(n)]
+    w = brute.preference_weights(good, bad, pairs, 1e-3)
+    cut = np.quantile([v @ w for v in good + bad], len(bad) / len(order))
+    plain = {d: 1 / (1 + np.exp(-np.clip(v @ w - cut, -500, 500))) for d, v in x.items()}
+    assert np.mean([abs(plain[d] - found[d]) for d in found]) < 0.05
+    assert np.mean([(plain[d] >= 0.5) == (found[d] >= 0.5) for d in found]) >= 0.97
+
+
+def test_quality_of_a_repeated_document(spark):
+    """A labelled doc_id on any number of rows leaves the sample bounded."""
+    rows = [(7, f"word {i} " * 20) for i in range(300)] + [(i, "#%$ " * i) for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labelled = spark.createDataFrame([(7, 1), *((i, 0) for i in range(100, 140))], "doc_id bigint, label int")
+    a, b = (quality.fit(docs, labelled, bound=100) for _ in range(2))
+    assert np.array_equal(a.weights, b.weights) and a.cut == b.cut
+    out = {(r.doc_id, r.score >= 0.5) for r in quality.score(docs, a).collect()}
+    assert (7, True) in out and len([1 for d, up in out if d != 7 and up]) < 5
+
+
 def test_quality_without_pairs(odd, empty):
     labelled = odd.select("doc_id", F.lit(1).alias("label"))
     model = quality.fit(odd, labelled)
@@ -520,6 +580,29 @@ def test_language(spark, sf_dir):
     assert np.mean([r.lang_pred == r.lang for r in out]) >= 0.9
 
 
+@pytest.mark.parametrize("piece", [langid.PIECE, 50])
+def test_language_is_that_of_plain_sets(spark, docs, monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    labelled = [(t, lang) for d, t, lang in rows if lang is not None and d % 3]
+    model = langid.fit(spark.createDataFrame(labelled, "text string, lang string"))
+    for d, t, _ in rows:
+        lang, score = langid.decide(model, (t or "").encode())
+        plain = brute.language_scores(labelled, t)
+        if plain is None:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        assert abs(score - plain[lang]) < 0.05 and plain[lang] >= max(plain.values()) - 0.05
+
+
+def test_language_members_are_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "MEMBERS", 4000)
+    model = langid.fit(docs.select("text", "lang"))
+    assert 2 < len(model.languages) and len(model.slots) <= 1 << 15
+    out = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'").collect()
+    assert np.mean([r.lang_pred == r.lang for r in out]) > 0.9
+
+
 def test_language_odd(odd, empty):
     model = langid.fit(odd.select("text", "lang"))
     out = langid.predict(odd, model).collect()
