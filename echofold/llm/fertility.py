@@ -82,7 +82,7 @@ def vocabulary(file: str) -> tuple[Callable[[list[str]], list[list[int]]], np.nd
     is_byte[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] >= 128]] = True
 
     def encode(words: list[str]) -> list[list[int]]:
-        found = coder.encode_ordinary_batch([" " + w[:LONG_WORD] for w in words], num_threads=1)
+        found = [coder.encode_ordinary(" " + w[:LONG_WORD]) for w in words]
         for tokens, w in zip(found, words, strict=True):
             for i in range(LONG_WORD, len(w), LONG_WORD):
                 tokens += coder.encode_ordinary(w[i : i + LONG_WORD])
