@@ -21,7 +21,7 @@ representative unless its component has no other. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ SEED = 42
 #: Bands of min-hashes: of pairs at a similarity of 0.8, 1 in 60,000 agrees on none of them.
 BANDS, ROWS = 60, 8
 _STEPS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+#: Shingles that are joined and hashed together.
+PIECE = 8_192
 #: Fingerprints of a bucket whose trie one task walks.
 BUCKET = 50_000
 #: Rounds of hubs before the texts of buckets with several components are compared by their rarest shingles.
@@ -47,8 +49,14 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     w = text.lower().split()
     if not w:
         return np.zeros(0, np.uint64)
-    grams = [b" ".join(x) for x in zip(*(w[i:] for i in range(k)), strict=False)] if len(w) > k else [b" ".join(w)]
-    return np.fromiter(map(xxhash.xxh64_intdigest, grams, [SEED] * len(grams)), np.uint64, len(grams))
+    if len(w) <= k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)], np.uint64)
+    out = np.empty(len(w) - k + 1, np.uint64)
+    for i in range(0, len(out), PIECE):  # the shingles of a very long text are never all held as strings
+        part = w[i : i + PIECE + k - 1]
+        grams = map(b" ".join, zip(*(part[j:] for j in range(k)), strict=False))
+        out[i : i + PIECE] = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(part) - k + 1)
+    return out
 
 
 def fingerprint(text: bytes, k: int) -> int:
