@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting to drop an execution's shuffle files once it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's bound for the bytes of a batch of rows that goes to Python, and ours for staged steps: long rows make smaller batches.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _written: list[str] = []
 
 
@@ -48,12 +50,15 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    own = {_CLEANUP: "true", _BATCH: BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
