@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten large-scale text operators and their queries.
+"""Operators of a training-data pipeline: large-scale operators on texts and vectors, and their queries.
 
 Nothing outside this package imports it.
 """

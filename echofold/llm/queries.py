@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, langid, lines, packing, pii, quality, ring, simhash, substring
-from .common import documents, table
+from . import bpe, codes, decontam, fertility, langid, lexical, lines, packing, pii, quality, ring, simhash, substring
+from .common import discard, documents, stage, table
 
 
 #: The vocabularies that op6 measures with: one with byte fallback and one of bytes for many languages.
@@ -76,15 +76,71 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, entries = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.told(entries)).alias("codebooks_sha256"))
+
+
+def op12_bpe_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_heap_merge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = stage(lexical.build_index(documents(spark, sf_dir)))
+    found = lexical.search(index, table(spark, sf_dir, "benchmark"))
+    discard(index)
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bradley_terry_quality, op2_suffix_bucket_dedup, op3_minimum_bin_slack, op4_simhash_trie, op5_contextual_pii,
         op6_tokeniser_fertility, op7_bounded_ring, op8_simhash_decontamination, op9_line_dedup, op10_language_bitmask,
+        op11_hamerly_codes, op12_bpe_queue, op13_heap_merge_search,
     )
 }
 
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Product codes by plain rounds: all distances of all parts, in integers."""
+    def assigned(n: int) -> str:
+        return f"""
+        d{n} AS (SELECT r, p, e, sum((x - c) * (x - c)) AS d FROM part JOIN book{n} USING (p, j) GROUP BY r, p, e),
+        a{n} AS MATERIALIZED (SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM d{n} GROUP BY r, p)"""
+
+    def moved(n: int) -> str:
+        return f"""
+        s{n} AS (SELECT p, e, j, sum(x) AS s, count(*) AS n FROM part JOIN a{n} USING (r, p) GROUP BY p, e, j),
+        book{n + 1} AS MATERIALIZED (SELECT b.p, b.e, b.j, CASE WHEN s.n IS NULL THEN b.c ELSE ((s.s - (((s.s % s.n) + s.n) % s.n)) // s.n)::BIGINT END AS c FROM book{n} b LEFT JOIN s{n} s USING (p, e, j))"""
+
+    steps = ",".join(assigned(n) + "," + moved(n) for n in range(rounds))
+    return f"""
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        flat AS (SELECT r, len(v) // 16 AS w, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM kept),
+        part AS MATERIALIZED (SELECT r, i // w AS p, i % w AS j, x FROM flat),
+        book0 AS MATERIALIZED (SELECT p, r AS e, j, x AS c FROM part WHERE r < 64),{steps},{assigned(rounds)},
+        coded AS (SELECT r, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+        told AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM book{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r) CROSS JOIN told"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_hamerly_codes": _codes_sql(),
+    "op13_heap_merge_search": r"""
+        WITH words AS (SELECT k, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM (SELECT row_number() OVER () AS k, * FROM documents)),
+        asked AS (SELECT DISTINCT k AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM (SELECT row_number() OVER () AS k, * FROM benchmark)),
+        tf AS (SELECT k, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        size AS (SELECT k, sum(tf)::BIGINT AS n FROM tf GROUP BY k),
+        whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM size),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+        m AS (SELECT k, 10 + (90 * n * docs) // tokens AS m FROM size, whole),
+        scored AS (SELECT item, item_id, doc_id, k, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
     "op9_line_dedup": r"""
         WITH units AS (
             SELECT doc_id, text, unnest(string_split_regex(text, '[.!?\n]')) AS unit, generate_subscripts(string_split_regex(text, '[.!?\n]'), 1) AS k FROM documents),
