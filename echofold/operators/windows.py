@@ -1,10 +1,11 @@
 """Sliding (history, future) windows over long series.
 
-A window frame over a whole series would put it into one task. Rows are numbered by time
-first: counts per source and time bucket add up to each bucket's offset, and a row's place
-is its offset and its rank in its bucket. Blocks of consecutive places, each with copies
-of the rows that its last windows reach into, are then gathered as arrays of a bounded
-length and cut apart from each other.
+A window frame over a whole series would put it into one task. So rows are dealt out by
+ranges of source and time first and get their place from counts: those of the earlier ranges
+of their source and their own rank in their range. A range is about a task's share of all
+rows, however densely a source's rows lie in time. Blocks of consecutive places, each with
+copies of the rows that its last windows reach into, are then gathered as arrays of a bounded
+length; windows are cut from these, all of them or only those that are wanted.
 """
 
 from __future__ import annotations
@@ -13,33 +14,94 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import let
+from ..sources.staging import stage
 
 #: Windows that start in one block.
 BLOCK = 4_000
+#: Counts of so many ranges and sources are broadcast; more are joined by a shuffle.
+COUNTS = 200_000
 
 
-def positions(series: DataFrame, bucket: str = "day", tie: str | None = None) -> DataFrame:
-    """series with window_idx, the 0-based place of a row by time in its source. A row without a time has no place and goes."""
-    order = ["ts", *([tie] if tie else [])]
-    rows = series.where("ts is not null and source is not null").withColumn("_bucket", F.date_trunc(bucket, "ts"))
-    counts = rows.groupBy("source", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(*order)))
-    return ranked.join(offsets, ["source", "_bucket"]).withColumn("window_idx", F.col("_offset") + F.col("_r") - 1).drop("_bucket", "_offset", "_r")
+def positions(series: DataFrame, tie: str | None = None) -> DataFrame:
+    """series with window_idx, the 0-based place of a row by time in its source. A row without a time has no place and goes.
 
+    Equal times go by tie, then by value. The ranged rows are staged, as ranges are drawn anew whenever they are computed.
+    """
+    order = ["source", "ts", *([tie] if tie else []), "value"]
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = series.where("ts is not null and source is not null").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    held = stage(rows.withColumn("_id", F.monotonically_increasing_id()))  # the partition in the upper 31 bits, the row's rank in the lower 33
+    part = F.shiftright("_id", 33)
+    counts = held.groupBy("source", part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stage(counts.select("source", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    offsets = F.broadcast(offsets) if offsets.count() <= COUNTS else offsets
+    return held.withColumn("_part", part).join(offsets, ["source", "_part"]).withColumn("window_idx", F.col("_id") + F.col("_shift")).drop("_part", "_id", "_shift")
+
+
+def _dealt(series: DataFrame, span: int, tie: str | None, block: int) -> DataFrame:
+    """The rows of each block of block places and of the span - 1 places behind it, by source and _block."""
+    placed = positions(series, tie).select("source", "ts", "value", "window_idx")
+    own = F.floor(F.col("window_idx") / block)
+    reach = -(-(span - 1) // block)
+    blocks = F.sequence(F.greatest(own - reach, F.lit(0)), own)
+    return placed.withColumn("_block", F.explode(blocks)).where(F.col("window_idx") < (F.col("_block") + 1) * block + span - 1)
+
+
+def series_blocks(series: DataFrame, history: int, future: int, tie: str | None = None, block: int = BLOCK) -> DataFrame:
+    """The series themselves, in blocks from which windows can be cut and searched: source, block, first, size, ts and values.
+
+    first is the place of the block's first row; windows start at its first size places. Each
+    value is held once, but for the history + future - 1 rows that two blocks share.
+    """
+    rows = _dealt(series, history + future, tie, block)
+    held = rows.groupBy("source", "_block").agg(F.array_sort(F.collect_list(F.struct("window_idx", "ts", "value"))).alias("_rows"))
+    return held.select(
+        "source", F.col("_block").alias("block"), (F.col("_block") * block).alias("first"), F.greatest(F.least(F.size("_rows") - (history + future - 1), F.lit(block)), F.lit(0)).alias("size"),
+        F.transform("_rows", lambda r: r["ts"]).alias("ts"), F.transform("_rows", lambda r: r["value"]).alias("values"),
+    )
+
+
+def _cut(blocks: DataFrame, starts: Column, history: int, future: int) -> DataFrame:
+    """Windows at the given 0-based places within each block, those with a missing value left out."""
+    span = history + future
+
+    def window(b: Column, i: Column) -> Column:
+        h, f = F.slice(b["values"], i + 1, history), F.slice(b["values"], i + (history + 1), future)
+        return F.struct((b["first"] + i).alias("window_idx"), F.get(b["ts"], i + history).alias("label_ts"), F.get(b["ts"], i + (span - 1)).alias("last_ts"), h.alias("history_x"), f.alias("future_y"))
 
-def sliding_windows(series: DataFrame, history: int, future: int, bucket: str = "day", tie: str | None = None, block: int = BLOCK, complete: bool = True) -> DataFrame:
+    every = let(F.struct("first", "ts", "values"), lambda b: F.transform(starts, lambda i: window(b, i)))
+    found = blocks.select("source", F.inline(every))
+    gap = lambda c: F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    return found.where(~gap("history_x") & ~gap("future_y"))
+
+
+def every_window(blocks: DataFrame, n: int, history: int, future: int) -> DataFrame:
+    """The windows whose window_idx is divisible by n."""
+    ahead = F.pmod(-F.col("first"), F.lit(n)).cast("int")
+    starts = F.when(ahead < F.col("size"), F.sequence(ahead, F.col("size") - 1, F.lit(n))).otherwise(F.array().cast("array<int>"))
+    return _cut(blocks, starts, history, future)
+
+
+def wanted_windows(blocks: DataFrame, wanted: DataFrame, history: int, future: int, block: int = BLOCK) -> DataFrame:
+    """The windows at the wanted (source, window_idx), once each, however often they are wanted.
+
+    A block comes together with the list of its wanted places, which is no longer than the block.
+    """
+    own = F.floor(F.col("window_idx") / block).alias("block")
+    lists = wanted.select("source", own, "window_idx").distinct().groupBy("source", "block").agg(F.collect_list("window_idx").alias("_wanted"))
+    both = blocks.join(lists, ["source", "block"])
+    starts = F.filter(F.transform("_wanted", lambda i: (i - F.col("first")).cast("int")), lambda i: i < F.col("size"))
+    return _cut(both, starts, history, future)
+
+
+def sliding_windows(series: DataFrame, history: int, future: int, tie: str | None = None, block: int = BLOCK, complete: bool = True) -> DataFrame:
     """source, window_idx, label_ts (first future row), last_ts, history_x and future_y at stride 1.
 
     complete drops windows with a missing value (null or not a number).
     """
     span = history + future
-    placed = positions(series, bucket, tie).select("source", "ts", "value", "window_idx")
-    own = F.floor(F.col("window_idx") / block)
-    reach = -(-(span - 1) // block)
-    blocks = F.sequence(F.greatest(own - reach, F.lit(0)), own)
-    rows = placed.withColumn("_block", F.explode(blocks)).where(F.col("window_idx") < (F.col("_block") + 1) * block + span - 1)
+    rows = _dealt(series, span, tie, block)
     # windows are some hundred times their rows: the rows are dealt out by blocks into a fixed number of parts, not merged into a few by their own size
     rows = rows.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_block")
     missing = (F.col("value").isNull() | F.isnan("value")).cast("int")

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import encode, filters, fusion, intent, ranker, report, windows
+from ..operators import encode, filters, fusion, intent, profile, ranker, report, windows
 from ..operators.search import search
 from ..sources.staging import stage
 from ..sources.store import Collection
@@ -74,6 +74,26 @@ def hits_of(queries: DataFrame, points: DataFrame, k: int, where: Column | None
     return search(asked, slim, k, "q_key", KEYS, where, threshold, before=("last_ts", bound) if bound in queries.columns else None, fallback=fallback)
 
 
+def asked_windows(blocks: DataFrame, n: int, history: int, future: int) -> DataFrame:
+    """The windows of series blocks whose window_idx is divisible by n, as queries."""
+    points = encode.encoded(windows.every_window(blocks, n, history, future))
+    return as_queries(points, F.concat_ws("|", "source", F.col("window_idx").cast("string")))
+
+
+def hits_in_series(queries: DataFrame, blocks: DataFrame, k: int, history: int, future: int, threshold: float | None = None) -> DataFrame:
+    """hits_of() for z-scored histories, searched in the series themselves; only the hits' windows are cut."""
+    found = stage(profile.nearest(queries, blocks, k, history, future, before="q_label_ts" if "q_label_ts" in queries.columns else None, threshold=threshold))
+    cut = encode.encoded(windows.wanted_windows(blocks, found, history, future)).drop("history_x", "vector")
+    asked = queries.drop("q_history_x", "q_vector")
+    return found.join(cut, KEYS).join(asked, "q_key")
+
+
+def forecast_in_series(queries: DataFrame, blocks: DataFrame, k: int = 5, history: int = 100, steps: int = 48, model: GBTRegressionModel | None = None, normalized: bool = True, no_hit_steps: int | None = None) -> DataFrame:
+    """forecast() without a filter, from series blocks in place of points."""
+    hits = stage(hits_in_series(queries, blocks, k, history, steps))
+    return fused_forecast(hits, queries, steps, model, normalized, no_hit_steps or steps)
+
+
 def fused_forecast(hits: DataFrame, queries: DataFrame, steps: int, model: GBTRegressionModel | None = None, normalized: bool = True, no_hit_steps: int | None = None) -> DataFrame:
     fused = stage(fusion.fuse(ranker.weighted(hits, "q_key", model), "q_key", steps, normalized))
     return fusion.rescaled(fused, queries, "q_key", steps, no_hit_steps)
