@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +39,18 @@ def parse_intent(question: str, sources: tuple[str, ...] = (), model: Callable[[
     return found
 
 
+def filters_of(question: Column | str, sources: tuple[str, ...] = ()) -> Column:
+    """parse_intent() by the rules, for a column of questions: the filters as JSON, null for a question that asks for no condition."""
+    low = F.lower(question)
+    words = F.split(F.regexp_replace(low, ",", " "), r"\s+")
+    asked = [(reduce(or_, (F.contains(low, F.lit(p)) for p in phrases)), conditions) for phrases, conditions in RULES]
+    asked += [(F.array_contains(words, s.lower()), ({"key": "source", "match": {"value": s}},)) for s in sources]
+    none = F.array().cast("array<string>")
+    lists = [F.when(F.coalesce(said, F.lit(False)), F.array(*(F.lit(json.dumps(c)) for c in conditions))).otherwise(none) for said, conditions in asked]
+    must = F.array_distinct(F.concat(*lists))
+    return F.when(F.size(must) > 0, F.concat(F.lit('{"must": ['), F.array_join(must, ", "), F.lit('], "should": [], "must_not": []}')))
+
+
 def status_message(k: Column, filtered: Column, n: Column) -> Column:
     found = F.format_string("top %d %s filter: %d hits", k, F.when(filtered, "with").otherwise("without"), n)
     return F.when(n > 0, found).otherwise(F.lit("no similar window was found; the forecast is the mean of the history"))

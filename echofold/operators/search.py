@@ -1,16 +1,15 @@
 """Exact nearest neighbours by cosine, with payload filters applied before ranking.
 
-The points stay where they are: each task multiplies its batches of points with a block of
-query vectors as matrices and gives, for each query, only those that can be among its k
-best of the task so far. Spark then ranks these few. A block of queries is at most
-QUERY_BYTES of vectors, whatever the tables' sizes; more queries take more passes, whose
-results are staged one after the other.
+Few queries are sent to the points, which stay where they are: each task multiplies its
+batches of points with the query vectors as matrices and gives, for each query, only those
+that can be among its k best of the task so far. Spark then ranks these few. That holds for
+at most QUERY_BYTES of query vectors; more queries meet the points by the metric index of
+cells.py, where neither table is sent anywhere whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -20,9 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.staging import discard, stage
+from . import filters
 
-#: The most bytes of query vectors that go to the executors at once.
+#: The most bytes of query vectors that go to the executors.
 QUERY_BYTES = 64 << 20
 #: Scores that a task holds at once.
 TILE = 1 << 21
@@ -33,6 +32,7 @@ class Block(NamedTuple):
     keys: pa.Array
     vectors: np.ndarray
     before: np.ndarray | None
+    specs: list[str | None] | None
 
 
 def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
@@ -69,10 +69,13 @@ class Best:
         return row, col
 
 
-def candidates(block, points: DataFrame, k: int, query_key: str, key_type: str, keys: list[str], threshold: float | None, exclude: str | None, before: str | None, passing: str | None) -> DataFrame:
-    """For each query of the block the points that can be among its k best (of those that pass and of the others)."""
-    given = [c for c in points.columns if c != "vector"]
-    schema = T.StructType([T.StructField(query_key, T._parse_datatype_string(key_type)), *(points.schema[c] for c in given), T.StructField("score", T.DoubleType()), T.StructField("_rounded", T.DoubleType())])
+def candidates(block, points: DataFrame, k: int, query_key: str, key_type: str, keys: list[str], threshold: float | None, exclude: str | None, before: str | None, passing: str | None, fallback: bool) -> DataFrame:
+    """For each query of the block the points that can be among its k best, with _pass: of those that pass its filter and, for the fallback, of the others.
+
+    passing: the points' column that tells whether they pass. Filters of the queries' own are in the block.
+    """
+    given = [c for c in points.columns if c not in ("vector", passing)]
+    schema = T.StructType([T.StructField(query_key, T._parse_datatype_string(key_type)), *(points.schema[c] for c in given), T.StructField("score", T.DoubleType()), T.StructField("_rounded", T.DoubleType()), T.StructField("_pass", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = block.value
@@ -80,30 +83,35 @@ def candidates(block, points: DataFrame, k: int, query_key: str, key_type: str,
         for b in batches:
             table = pa.Table.from_batches([b])
             table = table.filter(pc.is_valid(table["vector"])).sort_by([(c, "ascending") for c in keys]).combine_chunks()
-            for flag in (True, False):
-                part = table if passing is None else table.filter(pc.equal(table[passing], flag))
-                if not len(part) or (passing is None and not flag):
-                    continue
-                x = _matrix(part["vector"].combine_chunks(), q.vectors.shape[1])
-                times = None if before is None else _micros(part[before].combine_chunks())
-                size = max(1, TILE // len(x))
-                for lo in range(0, len(q.vectors), size):
-                    s = x @ q.vectors[lo : lo + size].T
-                    rounded = np.round(s, PLACES)
-                    if times is not None:
-                        rounded[times[:, None] >= q.before[None, lo : lo + size]] = -np.inf
-                    if exclude is not None:
-                        same = pc.index_in(part[exclude].combine_chunks(), q.keys.slice(lo, size))
-                        at = np.flatnonzero(np.asarray(pc.is_valid(same)))
-                        rounded[at, np.asarray(same.drop_null())] = -np.inf
-                    if threshold is not None:
-                        rounded[s < threshold] = -np.inf
-                    row, col = best[flag].take(lo, rounded)
-                    good = rounded[row, col] > -np.inf
-                    row, col = row[good], col[good]
+            if not len(table):
+                continue
+            x = _matrix(table["vector"].combine_chunks(), q.vectors.shape[1])
+            times = None if before is None else _micros(table[before].combine_chunks())
+            payload = pa.StructArray.from_arrays([table[c].combine_chunks() for c in given], given)
+            own = None if passing is None else np.asarray(table[passing].combine_chunks())
+            size = max(1, TILE // len(x))
+            for lo in range(0, len(q.vectors), size):
+                s = x @ q.vectors[lo : lo + size].T
+                rounded = np.round(s, PLACES)
+                if times is not None:
+                    rounded[times[:, None] >= q.before[None, lo : lo + size]] = -np.inf
+                if exclude is not None:
+                    same = pc.index_in(table[exclude].combine_chunks(), q.keys.slice(lo, size))
+                    at = np.flatnonzero(np.asarray(pc.is_valid(same)))
+                    rounded[at, np.asarray(same.drop_null())] = -np.inf
+                if threshold is not None:
+                    rounded[s < threshold] = -np.inf
+                good = np.ones(s.shape, bool) if q.specs is None else filters.passing(payload, q.specs[lo : lo + size])
+                if own is not None:
+                    good &= own[:, None]
+                for flag in (True, False) if fallback else (True,):
+                    of_flag = np.where(good == flag, rounded, -np.inf)
+                    row, col = best[flag].take(lo, of_flag)
+                    keep = of_flag[row, col] > -np.inf
+                    row, col = row[keep], col[keep]
                     if len(row):
-                        own = part.select(given).take(pa.array(row)).combine_chunks().to_batches()[0]
-                        yield pa.RecordBatch.from_arrays([q.keys.take(pa.array(lo + col)), *own.columns, pa.array(s[row, col]), pa.array(rounded[row, col])], schema.names)
+                        taken = payload.take(pa.array(row)).flatten()
+                        yield pa.RecordBatch.from_arrays([q.keys.take(pa.array(lo + col)), *taken, pa.array(s[row, col]), pa.array(rounded[row, col]), pa.array(np.full(len(row), flag))], schema.names)
 
     return points.mapInArrow(run, schema)
 
@@ -114,44 +122,48 @@ def top_k(found: DataFrame, k: int, query_key: str, keys: list[str]) -> DataFram
     return found.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k)
 
 
-def search(queries: DataFrame, points: DataFrame, k: int, query_key: str, keys: list[str], where: Column | None = None, threshold: float | None = None, exclude: str | None = None, before: tuple[str, str] | None = None, fallback: bool = False) -> DataFrame:
+def search(queries: DataFrame, points: DataFrame, k: int, query_key: str, keys: list[str], where: Column | None = None, threshold: float | None = None, exclude: str | None = None, before: tuple[str, str] | None = None, fallback: bool = False, spec: str | None = None) -> DataFrame:
     """Hits of each query: the points' columns without vector, the queries' without q_vector, score and rank_no.
 
     Vectors must be unit vectors; a null one is no point and no query. where filters the
-    points. exclude: the points' column that must differ from the query's key. before: the
-    points' time that must come before the queries' time (a missing one does not). fallback:
-    a query without a hit under the filter takes its hits without it.
+    points; spec is the queries' column of filters of their own, as JSON. exclude: the points'
+    column that must differ from the query's key. before: the points' time that must come
+    before the queries' time (a missing one does not). fallback: a query without a hit under
+    the filters takes its hits without them.
     """
     if k < 1:
         raise ValueError("k is at least 1")
     asked = queries.where("q_vector is not null")
     width = asked.agg(F.count("*").alias("n"), F.max(F.size("q_vector")).alias("width")).first()
-    blocks = -(-(width["n"] * (width["width"] or 1) * 8) // QUERY_BYTES) or 1
-    if where is not None:
-        points = points.withColumn("_pass", F.coalesce(where, F.lit(False))) if fallback else points.where(where)
-    elif fallback:
-        points = points.withColumn("_pass", F.lit(True))
-    slim = asked.select(F.col(query_key), "q_vector", *([F.col(before[1]).alias("_before")] if before else []))
-    part = F.pmod(F.xxhash64(query_key), F.lit(blocks))
-    key_type = dict(queries.dtypes)[query_key]
-    passes = []
-    for i in range(blocks):
-        held = slim.where(part == i).toArrow() if blocks > 1 else slim.toArrow()
-        block = Block(held[query_key].combine_chunks(), _matrix(held["q_vector"].combine_chunks(), width["width"] or 1), _micros(held["_before"].combine_chunks()) if before else None)
-        shared = queries.sparkSession.sparkContext.broadcast(block)
-        found = candidates(shared, points, k, query_key, key_type, keys, threshold, exclude, before and before[0], "_pass" if fallback else None)
-        if fallback:  # the best k with and without the filter are few rows; which of them count is settled after that
-            both = Window.partitionBy(query_key, "_pass").orderBy(F.col("_rounded").desc(), *keys)
-            best = found.withColumn("_r", F.row_number().over(both)).where(F.col("_r") <= k)
-            best = best.withColumn("_hit", F.max("_pass").over(Window.partitionBy(query_key)))
-            found = best.where(F.col("_pass") | ~F.col("_hit")).withColumn("fallback_used", ~F.col("_hit")).drop("_pass", "_r", "_hit")
-        ranked = top_k(found, k, query_key, keys).drop("_rounded")
-        passes.append(stage(ranked) if blocks > 1 else ranked)
-        if blocks > 1:
-            shared.destroy()
-    hits = reduce(DataFrame.unionByName, passes)
-    if blocks > 1:
-        hits = stage(hits)
-        discard(*passes)
+    if width["n"] * (width["width"] or 1) * 8 > QUERY_BYTES:
+        return _in_cells(queries, points, k, query_key, keys, where, threshold, exclude, before, fallback, spec)
+    passing = "_pass" if fallback and where is not None else None
+    if passing:
+        points = points.withColumn(passing, F.coalesce(where, F.lit(False)))
+    elif where is not None:
+        points = points.where(where)
+    held = asked.select(F.col(query_key), "q_vector", *([F.col(before[1]).alias("_before")] if before else []), *([F.col(spec).alias("_spec")] if spec else [])).toArrow()
+    block = Block(held[query_key].combine_chunks(), _matrix(held["q_vector"].combine_chunks(), width["width"] or 1), _micros(held["_before"].combine_chunks()) if before else None, held["_spec"].to_pylist() if spec else None)
+    shared = queries.sparkSession.sparkContext.broadcast(block)
+    found = candidates(shared, points, k, query_key, dict(queries.dtypes)[query_key], keys, threshold, exclude, before and before[0], passing, fallback)
+    if fallback:  # the best k with and without the filter are few rows; which of them count is settled after that
+        both = Window.partitionBy(query_key, "_pass").orderBy(F.col("_rounded").desc(), *keys)
+        best = found.withColumn("_r", F.row_number().over(both)).where(F.col("_r") <= k)
+        best = best.withColumn("_hit", F.max("_pass").over(Window.partitionBy(query_key)))
+        found = best.where(F.col("_pass") | ~F.col("_hit")).withColumn("fallback_used", ~F.col("_hit")).drop("_r", "_hit")
+    hits = top_k(found.drop("_pass"), k, query_key, keys).drop("_rounded")
     more = [c for c in queries.columns if c not in (query_key, "q_vector")]
     return hits.join(asked.select(query_key, *more), query_key) if more else hits
+
+
+def _in_cells(queries: DataFrame, points: DataFrame, k: int, query_key: str, keys: list[str], where: Column | None, threshold: float | None, exclude: str | None, before: tuple[str, str] | None, fallback: bool, spec: str | None) -> DataFrame:
+    from . import cells
+
+    if where is None:
+        return cells.search(queries, cells.build(points, keys), k, query_key, threshold, exclude, before, spec, fallback)
+    hits = cells.search(queries, cells.build(points.where(where), keys), k, query_key, threshold, exclude, before, spec)
+    if not fallback:
+        return hits
+    left = queries.join(hits.select(F.col(query_key).alias("_q")).distinct(), F.col(query_key).eqNullSafe(F.col("_q")), "left_anti")
+    rest = cells.search(left, cells.build(points, keys), k, query_key, threshold, exclude, before)
+    return hits.withColumn("fallback_used", F.lit(False)).unionByName(rest.withColumn("fallback_used", F.lit(True)))

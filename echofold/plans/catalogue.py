@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.timefeat import time_features
-from ..operators import encode, filters, fusion, intent, ranker, report, search, windows
+from ..operators import cells, encode, filters, fusion, intent, ranker, report, search, windows
 from ..sources import series as S
 from ..sources.staging import shared_dir, stage
 from ..sources.store import Collection, stats, upserted
@@ -77,10 +77,15 @@ def _points(spark: SparkSession, sf_dir: str, history: int = L, future: int = H)
     return stage(P.points_of(_events(spark, sf_dir), history, future, tie="tie"))
 
 
+def _asked(spark: SparkSession, sf_dir: str, history: int = L, future: int = H) -> tuple[DataFrame, DataFrame]:
+    """Every 20th window as a query, and the series that it is searched in."""
+    blocks = stage(windows.series_blocks(_events(spark, sf_dir), history, future, tie="tie"))
+    return stage(P.asked_windows(blocks, ASKS, history, future)), blocks
+
+
 def _hits(spark: SparkSession, sf_dir: str, k: int = K) -> tuple[DataFrame, DataFrame]:
-    points = _points(spark, sf_dir)
-    asked = P.every(points, ASKS)
-    return asked, stage(P.hits_of(asked, points, k))
+    asked, blocks = _asked(spark, sf_dir)
+    return asked, stage(P.hits_in_series(asked, blocks, k, L, H))
 
 
 def _windows_sql(history: int = L, future: int = H, source: str = "SELECT event_type AS source, ts, event_id AS tie, value FROM events") -> str:
@@ -276,8 +281,8 @@ def validate_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _knn(spark: SparkSession, sf_dir: str, k: int = K, spec: dict | None = None, nulls: bool = False, **kw) -> DataFrame:
     points = _vectors(spark, sf_dir).select("vec_id", V.l2("embedding").alias("vector"), F.when(F.col("vec_id") % 7 != 0, F.col("label")).alias("month") if nulls else F.col("label").alias("month"))
     asked = points.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_key"), F.col("vector").alias("q_vector"))
-    where = filters.compile_filter(spec) if spec else None
-    return search.search(asked, points, k, "q_key", ["vec_id"], where, exclude="vec_id", **kw)
+    asked = asked.withColumn("spec", F.lit(json.dumps(spec) if spec else None).cast("string"))
+    return cells.search(asked, cells.build(points, ["vec_id"]), k, "q_key", exclude="vec_id", spec="spec", **kw)
 
 
 def _knn_rows(hits: DataFrame) -> DataFrame:
@@ -346,6 +351,34 @@ def knn_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("q_key", "rank_no", "vec_id", r6("score", "score"), "fallback_used")
 
 
+_ASKED_FOR = ("on weekends", "workday load", "late night", "peak hours", "summer nights", "in July")
+
+
+@query(f"""WITH e AS (SELECT vec_id, {_E} AS v, label + 1 AS month, vec_id % 24 AS hour, vec_id % 7 >= 5 AS is_weekend, CASE WHEN vec_id % 24 < 6 THEN 'night' WHEN vec_id % 24 < 12 THEN 'morning' WHEN vec_id % 24 < 18 THEN 'afternoon' ELSE 'evening' END AS time_of_day FROM embeddings),
+    n AS (SELECT count(*) AS n FROM embeddings),
+    asked AS (SELECT conv_id AS q_key, conv_id % n AS vec_id, lower(text || ' ' || list_extract({list(_ASKED_FOR)}, (conv_id % 6 + 1)::INT)) AS q FROM conversations, n WHERE turn = 0),
+    rules AS (SELECT *, q LIKE '%weekend%' OR q LIKE '%周末%' AS we, q LIKE '%workday%' OR q LIKE '%weekday%' OR q LIKE '%工作日%' AS wd, q LIKE '%july%' OR q LIKE '%七月%' OR q LIKE '%7月%' AS july,
+        q LIKE '%peak%' OR q LIKE '%高峰%' AS peak, q LIKE '%summer%' OR q LIKE '%夏季%' OR q LIKE '%夏天%' OR q LIKE '%peak%' OR q LIKE '%高峰%' AS summer, q LIKE '%late night%' OR q LIKE '%深夜%' OR q LIKE '%凌晨%' AS late FROM asked),
+    pairs AS (SELECT q_key, p.vec_id, list_cosine_similarity(s.v, p.v) AS score,
+        (NOT we OR p.is_weekend) AND (NOT wd OR NOT p.is_weekend) AND (NOT july OR p.month = 7) AND (NOT peak OR p.time_of_day = 'evening') AND (NOT summer OR (p.month >= 6 AND p.month < 9)) AND (NOT late OR p.time_of_day = 'night') AS pass
+        FROM rules r JOIN e s ON r.vec_id = s.vec_id JOIN e p ON p.vec_id <> q_key),
+    kept AS (SELECT * FROM (SELECT *, bool_or(pass) OVER (PARTITION BY q_key) AS hit FROM pairs WHERE score >= 0.2) WHERE pass OR NOT hit),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY round(score, 9) DESC, vec_id)::INT AS rank_no FROM kept)
+    SELECT q_key, rank_no, vec_id, round(score, 6) AS score, NOT hit AS fallback_used FROM ranked WHERE rank_no <= {K}""")
+def knn_filter_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation asks with a vector and the filter that its question names; those without a hit under it fall back."""
+    e = _vectors(spark, sf_dir)
+    hour = F.col("vec_id") % 24
+    tod = F.when(hour < 6, "night").when(hour < 12, "morning").when(hour < 18, "afternoon").otherwise("evening")
+    points = e.select("vec_id", V.l2("embedding").alias("vector"), (F.col("label") + 1).alias("month"), hour.alias("hour"), (F.col("vec_id") % 7 >= 5).alias("is_weekend"), tod.alias("time_of_day"))
+    said = F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, _ASKED_FOR)), (F.col("conv_id") % len(_ASKED_FOR) + 1).cast("int")))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
+    asks = turns.select(F.col("conv_id").alias("q_key"), (F.col("conv_id") % F.lit(e.count())).alias("_vec"), intent.filters_of(said).alias("spec"))
+    asked = asks.join(points.select(F.col("vec_id").alias("_vec"), F.col("vector").alias("q_vector")), "_vec").drop("_vec")
+    hits = cells.search(asked, cells.build(points, ["vec_id"]), K, "q_key", threshold=0.2, exclude="vec_id", spec="spec", fallback=True)
+    return hits.select("q_key", "rank_no", "vec_id", r6("score", "score"), "fallback_used")
+
+
 _KNN_HITS = _knn_sql().replace("round(score, 6) AS score", "score")
 
 
@@ -423,8 +456,8 @@ def future_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _forecast_sql(_IDW) + _FORECAST)
 def forecast_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    return _told(P.forecast(P.every(points, ASKS), points, K, H))
+    asked, blocks = _asked(spark, sf_dir)
+    return _told(P.forecast_in_series(asked, blocks, K, L, H))
 
 
 _LAST = _hits_sql(*SHORT, asks="window_idx = (SELECT max(x.window_idx) FROM pt x WHERE x.source = pt.source)", q_key="source")
@@ -439,8 +472,8 @@ def forecast_idw_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _forecast_sql(_IDW, normalized=False) + _FORECAST)
 def forecast_as_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    return _told(P.forecast(P.every(points, ASKS), points, K, H, normalized=False))
+    asked, blocks = _asked(spark, sf_dir)
+    return _told(P.forecast_in_series(asked, blocks, K, L, H, normalized=False))
 
 
 @query("WITH " + _forecast_sql(_SOFTMAX) + _FORECAST)
@@ -471,8 +504,8 @@ def chunk_denorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT q_key, count(*) AS n, min(y_hat) AS lo, max(y_hat) AS hi, avg(y_hat) AS m, regr_slope(y_hat, step) * (count(*) - 1) AS change, stddev_pop(y_hat) AS sd FROM f GROUP BY q_key)
     SELECT q_key, n, round(lo, 6) AS lowest, round(hi, 6) AS highest, round(m, 6) AS mean, CASE WHEN change > sd THEN 'rising' WHEN change < -sd THEN 'falling' ELSE 'oscillating' END AS trend FROM g""")
 def prediction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    s = report.summary(P.forecast(P.every(points, ASKS), points, K, H), "q_key")
+    asked, blocks = _asked(spark, sf_dir)
+    s = report.summary(P.forecast_in_series(asked, blocks, K, L, H), "q_key")
     return s.select("q_key", "n", r6("lowest", "lowest"), r6("highest", "highest"), r6("mean", "mean"), "trend")
 
 
@@ -490,17 +523,15 @@ _ERRORS = f"""WITH {_forecast_sql(_IDW)},
 
 @query(_ERRORS + " SELECT q_key, count(*) AS n, round(avg(abs(y - y_hat)), 9) AS mae, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse FROM e GROUP BY q_key")
 def backtest_mae_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    asked = P.every(points, ASKS)
-    return P.backtest(asked, P.forecast(asked, points, K, H)).select("q_key", "n", F.round("mae", 9).alias("mae"), r6("rmse", "rmse"))
+    asked, blocks = _asked(spark, sf_dir)
+    return P.backtest(asked, P.forecast_in_series(asked, blocks, K, L, H)).select("q_key", "n", F.round("mae", 9).alias("mae"), r6("rmse", "rmse"))
 
 
 @query(_ERRORS + " SELECT count(*) AS n, round(avg(abs(y - y_hat)), 9) AS mae, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse, round(1 - avg((y - y_hat) * (y - y_hat)) / var_pop(y), 6) AS r2 FROM e")
 def regression_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    asked = P.every(points, ASKS)
+    asked, blocks = _asked(spark, sf_dir)
     truth = asked.select("q_key", F.posexplode("q_future_y").alias("step", "y"))
-    both = truth.join(P.forecast(asked, points, K, H), ["q_key", "step"])
+    both = truth.join(P.forecast_in_series(asked, blocks, K, L, H), ["q_key", "step"])
     return ranker.regression_errors(both, "y", "y_hat").select("n", F.round("mae", 9).alias("mae"), r6("rmse", "rmse"), r6("r2", "r2"))
 
 
