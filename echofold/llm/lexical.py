@@ -43,7 +43,8 @@ from .common import WordIds, column, discard, raw, small_batches, stage
 SHARD_BYTES = 32 << 20
 #: Bytes of items that are searched at once.
 ITEM_BYTES = 4 << 20
-#: Bytes of text that are cut into terms at once.
+#: Postings that are compressed at once, and bytes of text that are cut into terms at once.
+POSTINGS = 1 << 18
 PIECE = 1 << 22
 #: Terms by their characters, as in the contract, and the same by UTF-8 bytes: signs are blanks and A-Z small letters.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -112,7 +113,7 @@ class Shard:
         if counts:
             self.ids.append(doc_id)
             self.lengths.append(counts.total())
-            self.found.append(np.fromiter(counts.keys(), np.int64, len(counts)))
+            self.found.append(np.fromiter(counts.keys(), np.int32, len(counts)))
             self.times.append(np.fromiter(counts.values(), np.int64, len(counts)))
 
     def rows(self, number: int, id_type: pa.DataType, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -124,22 +125,30 @@ class Shard:
         head = [[number], [None], [len(order)], [int(lengths.sum())], [pack(lengths)[0]], pa.array([ids.take(pa.array(order)).to_pylist()], pa.list_(id_type))]
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(head, schema, strict=True)], schema=schema)
         term, tf = np.concatenate(self.found), np.concatenate(self.times)
-        doc = np.repeat(place, [len(x) for x in self.found])
+        doc = np.repeat(place.astype(np.int32), [len(x) for x in self.found])
+        self.found.clear(), self.times.clear()
         by = np.lexsort((doc, term))
         term, tf, doc = term[by], tf[by], doc[by]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1])
-        gap = np.diff(doc, prepend=0)
-        gap[first] = doc[first]
-        data, ends = pack(np.stack([gap, tf], 1).reshape(-1))
-        df = np.diff(first, append=len(term))
-        stops = ends[2 * (first + df) - 1]
-        strings = pa.array([self.words.words[t] for t in term[first].tolist()], pa.binary()).cast(pa.string(), safe=False)
-        postings = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.array(np.concatenate([[0], stops]), pa.int32()).buffers()[1], pa.py_buffer(data)])
-        tokens = np.add.reduceat(tf, first)
-        for at in range(0, len(first), 65536):
-            n = min(65536, len(first) - at)
-            cols = [pa.array(np.full(n, number)), strings.slice(at, n), pa.array(df[at : at + n]), pa.array(tokens[at : at + n]), postings.slice(at, n), pa.nulls(n, pa.list_(id_type))]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        del by
+        first = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1, [len(term)]])
+        at = 0
+        while at < len(first) - 1:  # terms of so many postings at a time, one term at least
+            to = max(at + 1, int(np.searchsorted(first, first[at] + POSTINGS, "right")) - 1)
+            yield self._terms(number, term, tf, doc, first[at : to + 1], id_type, schema)
+            at = to
+
+    def _terms(self, number: int, term: np.ndarray, tf: np.ndarray, doc: np.ndarray, first: np.ndarray, id_type: pa.DataType, schema: pa.Schema) -> pa.RecordBatch:
+        """Rows of the terms whose postings begin at first; its last is the end."""
+        own = slice(first[0], first[-1])
+        start, df = first[:-1] - first[0], np.diff(first)
+        gap = np.diff(doc[own], prepend=0).astype(np.int64)
+        gap[start] = doc[own][start]
+        data, ends = pack(np.stack([gap, tf[own]], 1).reshape(-1))
+        stops = ends[2 * (start + df) - 1]
+        strings = pa.array([self.words.words[t] for t in term[first[:-1]].tolist()], pa.binary()).cast(pa.string(), safe=False)
+        postings = pa.BinaryArray.from_buffers(pa.binary(), len(df), [None, pa.array(np.concatenate([[0], stops]), pa.int32()).buffers()[1], pa.py_buffer(data)])
+        cols = [pa.array(np.full(len(df), number)), strings, pa.array(df), pa.array(np.add.reduceat(tf[own], start)), postings, pa.nulls(len(df), pa.list_(id_type))]
+        return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
 def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
