@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.timefeat import time_features
+from ..schema import DEFAULTS
 
 
 class Encoder(Protocol):
@@ -32,8 +33,8 @@ class ProjectionEncoder:
     """A seeded random projection of the z-scored history onto width dimensions."""
 
     length: int
-    width: int = 320
-    seed: int = 42
+    width: int = DEFAULTS.encoder_width
+    seed: int = DEFAULTS.seed
 
     def encode(self, windows: DataFrame) -> DataFrame:
         rows = np.random.default_rng(self.seed).standard_normal((self.width, self.length)) / np.sqrt(self.width)
@@ -46,8 +47,8 @@ class OnnxEncoder:
     """A sequence model in ONNX: zeros at the head up to length, run, mean over time, unit length."""
 
     path: str
-    length: int = 512
-    width: int = 320
+    length: int = DEFAULTS.encoder_length
+    width: int = DEFAULTS.encoder_width
 
     def encode(self, windows: DataFrame) -> DataFrame:
         path, length, width = self.path, self.length, self.width

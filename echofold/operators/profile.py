@@ -7,6 +7,7 @@ a matrix product with the block's overlapping windows or, for long histories, a
 Fourier transforms; means and deviations come from prefix sums. Windows that may be among a
 query's best by these figures, and windows that are too quiet for prefix sums to be exact, are
 then scored again from their own values, so that the hits are those of the stored vectors.
+Queries may have payload filters of their own, tested on the windows' payload as it is cut.
 
 Packs and blocks meet by a shuffle: each pack goes to every group of blocks, and a block is in
 one group. Blocks that begin too late for every query of a pack are left out. What a task
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from ..schema import NORM_FLOOR, SIGMA_FLOOR
 from ..sources.staging import stage
+from . import filters
 from .search import PLACES, top_k
 
 #: Queries that go together.
@@ -41,12 +43,12 @@ SLACK = 1e-7
 AGAIN = 20_000
 
 
-def packs(queries: DataFrame, key: str, before: str | None, pack: int = PACK) -> DataFrame:
-    """Rows of at most pack queries: keys, their vectors one after another, their times and the latest of these."""
+def packs(queries: DataFrame, key: str, before: str | None, spec: str | None = None, pack: int = PACK) -> DataFrame:
+    """Rows of at most pack queries: keys, their vectors one after another, their times, the latest of these, and their filters."""
     kind, time = queries.schema[key].dataType, F.lit(None).cast("timestamp_ntz") if before is None else F.col(before)
     clock = T.TimestampNTZType() if before is None else queries.schema[before].dataType
-    schema = T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("vectors", T.ArrayType(T.DoubleType())), T.StructField("before", T.ArrayType(clock)), T.StructField("latest", clock)])
-    slim = queries.where("q_vector is not null").select(F.col(key).alias("key"), "q_vector", time.alias("time"))
+    schema = T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("vectors", T.ArrayType(T.DoubleType())), T.StructField("before", T.ArrayType(clock)), T.StructField("latest", clock), T.StructField("specs", T.ArrayType(T.StringType()))])
+    slim = queries.where("q_vector is not null").select(F.col(key).alias("key"), "q_vector", time.alias("time"), (F.col(spec) if spec else F.lit(None)).cast("string").alias("spec"))
     if before is not None:  # queries of about the same time go together, so that late blocks are left out for whole packs; without a time there is no hit
         slim = slim.where("time is not null").repartitionByRange(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "time")
 
@@ -57,7 +59,8 @@ def packs(queries: DataFrame, key: str, before: str | None, pack: int = PACK) ->
             t = pa.Table.from_batches(held)
             times = t["time"].combine_chunks()
             lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (t["key"].combine_chunks(), t["q_vector"].combine_chunks().flatten(), times)]
-            return pa.RecordBatch.from_arrays([*lists, pa.array([pc.max(times)], times.type)], schema.names)
+            specs = t["spec"].combine_chunks()
+            return pa.RecordBatch.from_arrays([*lists, pa.array([pc.max(times)], times.type), pa.ListArray.from_arrays([0, len(specs)], specs)], schema.names)
 
         for b in batches:
             while b.num_rows:
@@ -105,6 +108,19 @@ class Stretch:
     def windows(self, at: np.ndarray) -> np.ndarray:
         return np.lib.stride_tricks.sliding_window_view(self.values, self.history)[at]
 
+    def payload(self, source: str, times: pa.Array, future: int) -> pa.StructArray:
+        """The payload of all windows, as encode.encoded() gives it; times are the rows'."""
+        label = times.slice(self.history, self.size)
+        hour = pc.hour(label)
+        quarter = pa.array(["night", "morning", "afternoon", "evening"]).take(pc.divide(hour, 6))
+        held = np.lib.stride_tricks.sliding_window_view(self.values, self.history)[: self.size]
+        sigma = held.std(1)
+        cols = {
+            "source": pa.array([source] * self.size, pa.string()), "month": pc.month(label), "hour": hour, "is_weekend": pc.greater_equal(pc.day_of_week(label), 5), "time_of_day": quarter,
+            "mu": pa.array(held.mean(1)), "sigma": pa.array(np.where(sigma < SIGMA_FLOOR, 1.0, sigma)),
+        }
+        return pa.StructArray.from_arrays(list(cols.values()), list(cols))
+
     def products(self, vectors: np.ndarray, fourier: int) -> np.ndarray:
         """Scores of all windows (rows) with the queries, but for quiet windows."""
         if self.history < fourier:
@@ -124,12 +140,15 @@ class Stretch:
         return out
 
 
-def best(stretch: Stretch, vectors: np.ndarray, open_: np.ndarray, k: int, least: np.ndarray, fourier: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(stretch: Stretch, vectors: np.ndarray, open_: np.ndarray, k: int, least: np.ndarray, fourier: int, passing: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query, window and exact score of each query's k best windows of a block, equal scores (to 9 places) by place.
 
-    open_: how many windows from the first on a query may have. least: scores below which a query's hits don't count.
+    open_: how many windows from the first on a query may have. least: scores below which a query's
+    hits don't count. passing: which windows (rows) pass a query's filter.
     """
     s = stretch.scores(vectors, fourier)
+    if passing is not None:
+        s[~passing] = -np.inf
     s[np.arange(stretch.size)[:, None] >= open_[None]] = -np.inf
     kk = min(k, stretch.size)
     kth = np.partition(s, stretch.size - kk, axis=0)[stretch.size - kk]
@@ -145,12 +164,13 @@ def best(stretch: Stretch, vectors: np.ndarray, open_: np.ndarray, k: int, least
     return query[rank < k], window[rank < k], score[rank < k]
 
 
-def nearest(queries: DataFrame, blocks: DataFrame, k: int, history: int, future: int, key: str = "q_key", before: str | None = "q_label_ts", threshold: float | None = None, fourier: int = FOURIER) -> DataFrame:
+def nearest(queries: DataFrame, blocks: DataFrame, k: int, history: int, future: int, key: str = "q_key", before: str | None = "q_label_ts", threshold: float | None = None, spec: str | None = None, fourier: int = FOURIER) -> DataFrame:
     """key, source, window_idx, score and rank_no of each query's k nearest windows.
 
     queries have q_vector, the unit vector of a z-scored history of this length. blocks are a
     staged series_blocks(). before: the queries' time that a hit's last row must come before; a
-    query without one has no hit. A query's own windows are hits like any other.
+    query without one has no hit. A query's own windows are hits like any other. spec: the
+    queries' column of payload filters as JSON.
     """
     if k < 1:
         raise ValueError("k is at least 1")
@@ -162,7 +182,7 @@ def nearest(queries: DataFrame, blocks: DataFrame, k: int, history: int, future:
         F.pmod(F.xxhash64("source", "block"), F.lit(groups)).alias("_group"), "source", "first", "size", "values",
         F.col("ts").alias("times"), F.get("ts", F.lit(span - 1)).alias("_earliest"),
     )
-    numbered = stage(packs(queries, key, before)).withColumn("_pack", F.monotonically_increasing_id())
+    numbered = stage(packs(queries, key, before, spec)).withColumn("_pack", F.monotonically_increasing_id())
     meet = numbered.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
     pairs = meet.join(own, (meet["_group"] == own["_group"]) & (F.lit(True) if before is None else F.col("_earliest") < F.col("latest")))
 
@@ -170,7 +190,7 @@ def nearest(queries: DataFrame, blocks: DataFrame, k: int, history: int, future:
         at, least = None, np.zeros(0)
         for b in batches:
             for row in range(b.num_rows):
-                keys, flat, times, pack, source, first, size, values, stamps = (b.column(i)[row] for i in range(9))
+                keys, flat, times, specs, pack, source, first, size, values, stamps = (b.column(i)[row] for i in range(10))
                 vectors = flat.values.to_numpy().reshape(len(keys), -1)
                 if vectors.shape[1] != history:
                     raise ValueError(f"vectors must have {history} dimensions")
@@ -180,7 +200,8 @@ def nearest(queries: DataFrame, blocks: DataFrame, k: int, history: int, future:
                 open_ = np.full(len(keys), size.as_py())
                 if before is not None:
                     open_ = np.searchsorted(_numbers(stamps)[span - 1 : span - 1 + size.as_py()], _numbers(times), "left")
-                query, window, score = best(stretch, vectors, open_, k, least, fourier)
+                good = None if spec is None else filters.passing(stretch.payload(source.as_py(), stamps.values, future), specs.as_py())
+                query, window, score = best(stretch, vectors, open_, k, least, fourier, good)
                 if threshold is not None:
                     good = score >= threshold
                     query, window, score = query[good], window[good], score[good]
@@ -192,5 +213,5 @@ def nearest(queries: DataFrame, blocks: DataFrame, k: int, history: int, future:
                     n = len(query)
                     yield pa.RecordBatch.from_arrays([keys.values.take(pa.array(query)), pa.array([source.as_py()] * n, pa.string()), pa.array(first.as_py() + window), pa.array(score), pa.array(np.round(score, PLACES))], schema.names)
 
-    slim = pairs.select("keys", "vectors", "before", "_pack", "source", "first", "size", "values", "times")
+    slim = pairs.select("keys", "vectors", "before", "specs", "_pack", "source", "first", "size", "values", "times")
     return top_k(slim.mapInArrow(run, schema), k, key, ["source", "window_idx"]).drop("_rounded")

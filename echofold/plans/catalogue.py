@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.timefeat import time_features
 from ..operators import cells, encode, filters, fusion, intent, ranker, report, search, windows
+from ..schema import DEFAULTS
 from ..sources import series as S
 from ..sources.staging import shared_dir, stage
 from ..sources.store import Collection, stats, upserted
 from . import forecasting as P
 
-#: Past and future values of a window, and hits of a query.
-L, H, K = 100, 48, 5
+#: Past and future values of a window, and hits of a query.
+L, H, K = DEFAULTS.history, DEFAULTS.future, DEFAULTS.top_k
 #: Every so many windows or vectors one asks; all answer.
 ASKS = 20
 #: Past and future values in the flagship query, which runs on the smallest table.
@@ -476,6 +477,48 @@ def forecast_as_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(P.forecast_in_series(asked, blocks, K, L, H, normalized=False))
 
 
+def _questioned(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """Queries with the first turn of a conversation, and a phrase, as their question; conversations are taken in turns."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
+    phrase = F.element_at(F.array(*map(F.lit, _ASKED_FOR)), (F.col("conv_id") % len(_ASKED_FOR) + 1).cast("int"))
+    said = turns.select("conv_id", F.concat_ws(" ", F.substring("text", 1, 400), phrase).alias("q_question"))
+    own = F.floor(F.col("q_window_idx") / ASKS) % F.lit(turns.agg(F.max("conv_id") + 1).first()[0])
+    return asked.withColumn("conv_id", own).join(said, "conv_id").drop("conv_id")
+
+
+def _asked_hits_sql() -> str:
+    """Hits under the filter of each query's question; those without one under none."""
+    base = _points_sql()
+    return base + f""",
+        said AS (SELECT conv_id, lower(substring(text, 1, 400) || ' ' || list_extract({list(_ASKED_FOR)}, (conv_id % 6 + 1)::INT)) AS t FROM conversations WHERE turn = 0),
+        rules AS (SELECT conv_id, t LIKE '%weekend%' OR t LIKE '%周末%' AS we, t LIKE '%workday%' OR t LIKE '%weekday%' OR t LIKE '%工作日%' AS wd, t LIKE '%july%' OR t LIKE '%七月%' OR t LIKE '%7月%' AS july,
+            t LIKE '%peak%' OR t LIKE '%高峰%' AS peak, t LIKE '%summer%' OR t LIKE '%夏季%' OR t LIKE '%夏天%' OR t LIKE '%peak%' OR t LIKE '%高峰%' AS summer, t LIKE '%late night%' OR t LIKE '%深夜%' OR t LIKE '%凌晨%' AS late FROM said),
+        q AS MATERIALIZED (SELECT source || '|' || window_idx AS q_key, mu AS q_mu, sigma AS q_sigma, label_ts AS q_label_ts, future_y AS q_future_y, vector AS q_vector, rules.* FROM pt JOIN rules ON (window_idx // {ASKS}) % (SELECT max(conv_id) + 1 FROM conversations) = conv_id WHERE window_idx % {ASKS} = 0),
+        pairs AS (SELECT q_key, source, window_idx, list_inner_product(q_vector, vector) AS score,
+            (NOT we OR isodow(label_ts) >= 6) AND (NOT wd OR isodow(label_ts) < 6) AND (NOT july OR month(label_ts) = 7) AND (NOT peak OR hour(label_ts) >= 18) AND (NOT summer OR month(label_ts) BETWEEN 6 AND 8) AND (NOT late OR hour(label_ts) < 6) AS pass
+            FROM q JOIN pt ON last_ts < q_label_ts),
+        kept AS (SELECT * FROM (SELECT *, bool_or(pass) OVER (PARTITION BY q_key) AS hit FROM pairs) WHERE pass OR NOT hit),
+        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY round(score, 9) DESC, source, window_idx) AS rank_no FROM kept) WHERE rank_no <= {K}),
+        hits AS MATERIALIZED (SELECT q.* EXCLUDE (q_vector), p.source, p.window_idx, p.label_ts, p.mu, p.sigma, p.future_y, score, rank_no, NOT hit AS fallback_used, CASE WHEN score <= 1 THEN 1 - score ELSE 0 END AS distance
+            FROM top JOIN q ON top.q_key = q.q_key JOIN pt p ON top.source = p.source AND top.window_idx = p.window_idx)"""
+
+
+@query(f"WITH {_asked_hits_sql()} SELECT q_key, rank_no::INT AS rank_no, source, window_idx, round(score, 6) AS score, fallback_used FROM hits")
+def hits_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each asking window has the question of a conversation, whose filter is its own."""
+    asked, blocks = _asked(spark, sf_dir)
+    own = stage(_questioned(spark, sf_dir, asked).withColumn("q_spec", intent.filters_of("q_question")))
+    hits = P.hits_in_series(own, blocks, K, L, H, spec="q_spec", fallback=True)
+    return hits.select("q_key", "rank_no", "source", "window_idx", r6("score", "score"), "fallback_used")
+
+
+@query("WITH " + _forecast_sql(_IDW, hits=_asked_hits_sql()) + _FORECAST)
+def forecast_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, blocks = _asked(spark, sf_dir)
+    own = stage(_questioned(spark, sf_dir, asked).withColumn("q_spec", intent.filters_of("q_question")))
+    return _told(P.forecast_in_series(own, blocks, K, L, H, spec="q_spec"))
+
+
 @query("WITH " + _forecast_sql(_SOFTMAX) + _FORECAST)
 def forecast_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, hits = _hits(spark, sf_dir)
@@ -574,21 +617,21 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUESTIONS = ("weekend peak in summer", "Workday mornings", "late night in July", "anything at all", "夏季周末", "高峰 load", "purchase on weekends", "  ")
 
 
-@query(f"""WITH t(question) AS (VALUES {", ".join(f"('{q}')" for q in _QUESTIONS)}), l AS (SELECT question, lower(question) AS q FROM t),
-    weekend AS (SELECT question FROM l WHERE q LIKE '%weekend%' OR q LIKE '%周末%'), workday AS (SELECT question FROM l WHERE q LIKE '%workday%' OR q LIKE '%weekday%' OR q LIKE '%工作日%'),
-    july AS (SELECT question FROM l WHERE q LIKE '%july%' OR q LIKE '%七月%' OR q LIKE '%7月%'), peak AS (SELECT question FROM l WHERE q LIKE '%peak%' OR q LIKE '%高峰%'),
-    summer AS (SELECT question FROM l WHERE q LIKE '%summer%' OR q LIKE '%夏季%' OR q LIKE '%夏天%' UNION SELECT question FROM peak), night AS (SELECT question FROM l WHERE q LIKE '%late night%' OR q LIKE '%深夜%' OR q LIKE '%凌晨%'),
-    named AS (SELECT question FROM l WHERE q LIKE '%purchase%')
-    SELECT question, 'is_weekend' AS key, 'value' AS op, 'true' AS wanted FROM weekend UNION ALL SELECT question, 'is_weekend', 'value', 'false' FROM workday UNION ALL SELECT question, 'month', 'value', '7' FROM july
-    UNION ALL SELECT question, 'time_of_day', 'value', '"evening"' FROM peak UNION ALL SELECT question, 'month', 'gte', '6' FROM summer UNION ALL SELECT question, 'month', 'lt', '9' FROM summer
-    UNION ALL SELECT question, 'time_of_day', 'value', '"night"' FROM night UNION ALL SELECT question, 'source', 'value', '"purchase"' FROM named""")
+@query(f"""WITH l AS (SELECT conv_id, lower(text || ' ' || list_extract({list(_QUESTIONS)}, (conv_id % {len(_QUESTIONS)} + 1)::INT)) AS q FROM conversations WHERE turn = 0),
+    weekend AS (SELECT conv_id FROM l WHERE q LIKE '%weekend%' OR q LIKE '%周末%'), workday AS (SELECT conv_id FROM l WHERE q LIKE '%workday%' OR q LIKE '%weekday%' OR q LIKE '%工作日%'),
+    july AS (SELECT conv_id FROM l WHERE q LIKE '%july%' OR q LIKE '%七月%' OR q LIKE '%7月%'), peak AS (SELECT conv_id FROM l WHERE q LIKE '%peak%' OR q LIKE '%高峰%'),
+    summer AS (SELECT conv_id FROM l WHERE q LIKE '%summer%' OR q LIKE '%夏季%' OR q LIKE '%夏天%' UNION SELECT conv_id FROM peak), night AS (SELECT conv_id FROM l WHERE q LIKE '%late night%' OR q LIKE '%深夜%' OR q LIKE '%凌晨%'),
+    named AS (SELECT conv_id FROM l WHERE list_contains(regexp_split_to_array(replace(q, ',', ' '), '\\s+'), 'purchase'))
+    SELECT conv_id, 'is_weekend' AS key, 'value' AS op, 'true' AS wanted FROM weekend UNION ALL SELECT conv_id, 'is_weekend', 'value', 'false' FROM workday UNION ALL SELECT conv_id, 'month', 'value', '7' FROM july
+    UNION ALL SELECT conv_id, 'time_of_day', 'value', '"evening"' FROM peak UNION ALL SELECT conv_id, 'month', 'gte', '6' FROM summer UNION ALL SELECT conv_id, 'month', 'lt', '9' FROM summer
+    UNION ALL SELECT conv_id, 'time_of_day', 'value', '"night"' FROM night UNION ALL SELECT conv_id, 'source', 'value', '"purchase"' FROM named""")
 def intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each bound or value that the questions' filters ask for."""
-    rows = []
-    for q in _QUESTIONS:
-        for c in intent.parse_intent(q, ("purchase", "view"))["must"]:
-            rows += [(q, c["key"], op, json.dumps(v)) for op, v in (c.get("match") or c.get("range")).items()]
-    return spark.createDataFrame(rows, "question string, key string, op string, wanted string")
+    """Each bound or value that the filter of a conversation's question asks for; a question is its first turn and a phrase."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
+    said = F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, _QUESTIONS)), (F.col("conv_id") % len(_QUESTIONS) + 1).cast("int")))
+    spec = F.from_json(intent.filters_of(said, ("purchase", "view")), "must array<struct<key string, match map<string, string>, range map<string, string>>>")
+    each = turns.select("conv_id", F.explode(spec["must"]).alias("c")).select("conv_id", "c.key", F.explode(F.coalesce("c.match", "c.range")).alias("op", "wanted"))
+    return each.select("conv_id", "key", "op", F.when(F.col("key").isin("time_of_day", "source"), F.concat(F.lit('"'), "wanted", F.lit('"'))).otherwise(F.col("wanted")).alias("wanted"))
 
 
 @query("SELECT event_type AS source, 'top 5 ' || CASE WHEN count(*) % 2 = 0 THEN 'with' ELSE 'without' END || ' filter: ' || count(*) || ' hits' AS message FROM events GROUP BY 1")
@@ -612,8 +655,9 @@ def gbt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def agent_forecast_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th window asks, each with the question of a conversation."""
     points = _points(spark, sf_dir)
-    return P.agent_forecast("weekend evenings", P.last_windows(points), points, 10, H, history=L)
+    return P.agent_forecast(None, _questioned(spark, sf_dir, P.every(points, ASKS)), points, DEFAULTS.agent_top_k, H, history=L)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

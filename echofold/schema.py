@@ -18,11 +18,15 @@ class Config:
     encoder_length: int = 512
     encoder_width: int = 320
     seed: int = 42
+    most_k: int = 100
 
     def to_json(self, path: str) -> None:
         Path(path).write_text(json.dumps(asdict(self), indent=2))
 
 
+#: The settings that the engine's ends start from.
+DEFAULTS = Config()
+
 #: Below these a deviation or norm counts as none; guards of the weight and ratio denominators.
 SIGMA_FLOOR = 1e-10
 NORM_FLOOR = 1e-10

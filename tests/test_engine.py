@@ -352,6 +352,16 @@ def test_agent_forecast(points):
         P.agent_forecast("a question", asked, points, 4, 6, history=23)
 
 
+def test_agent_forecast_of_own_questions(points):
+    asked = P.last_windows(points).withColumn("q_question", F.when(F.col("q_key") == "a", "workday load of b").otherwise("late night in july"))
+    out = {r.q_key: json.loads(r.answer) for r in P.agent_forecast(None, asked, points, 4, 6, sources=("a", "b")).collect()}
+    assert json.loads(out["a"]["filter"]) == intent.parse_intent("workday load of b", ("a", "b")) and not out["a"]["fallback_used"]
+    assert {c["source"] for c in out["a"]["chunks"]} == {"b"} and "workday load of b" in out["a"]["report"]
+    assert out["b"]["fallback_used"] and "without filter" in out["b"]["message"] and "late night" in out["b"]["report"]
+    with pytest.raises(Exception, match="2 to 500 characters"):
+        P.agent_forecast(None, asked.withColumn("q_question", F.lit("x")), points, 4, 6).collect()
+
+
 def test_agent_forecast_without_hits(points):
     asked = P.last_windows(points)
     out = P.agent_forecast("a question", asked, points.where("false"), 4, 6).collect()

@@ -29,7 +29,7 @@ def shapes(n=400):
 @pytest.mark.parametrize("block,pack,fourier", [(4000, 256, 400), (37, 5, 400), (90, 7, 1)])
 def test_hits_in_series_are_those_of_vectors(spark, monkeypatch, block, pack, fourier):
     """Periodic and flat series give many equal scores, which go by key; a quiet half after a loud one tests the prefix sums."""
-    monkeypatch.setattr(profile.packs, "__defaults__", (pack,))
+    monkeypatch.setattr(profile.packs, "__defaults__", (None, pack))
     monkeypatch.setattr(profile.nearest, "__defaults__", (*profile.nearest.__defaults__[:-1], fourier))
     monkeypatch.setattr(windows.wanted_windows, "__defaults__", (block,))
     history, future, k = 24, 6, 7
@@ -81,3 +81,32 @@ def test_places_are_those_of_row_number(spark, dense):
     assert {(r.source, r.tie): r.window_idx for r in placed.collect()} == expected
     parts = placed.where("source = 'a'").groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) >= 3 and max(r["count"] for r in parts) < 1500
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_filters_of_queries_in_series(spark, fallback):
+    specs = [
+        None, '{"must": [{"key": "is_weekend", "match": {"value": true}}]}', '{"must": [{"key": "source", "match": {"any": ["walk", "steps"]}}, {"key": "mu", "range": {"gte": 0}}]}', '{"must": [{"key": "month", "match": {"value": 7}}]}',
+        '{"should": [{"key": "hour", "match": {"value": 3}}, {"key": "time_of_day", "match": {"value": "evening"}}], "must_not": [{"key": "sigma", "range": {"lt": 0.8}}]}',
+    ]
+    df = series(spark, shapes())
+    blocks = stage(windows.series_blocks(df, 24, 6, tie="tie", block=90))
+    points = stage(P.points_of(df, 24, 6, tie="tie"))
+    spec = F.element_at(F.array(*(F.lit(s) for s in specs)), (F.floor(F.col("q_window_idx") / 10) % len(specs) + 1).cast("int"))
+    asked = stage(P.every(points, 10).withColumn("spec", spec))
+    columns = ["q_key", "rank_no", "source", "window_idx", "label_ts"] + ["fallback_used"] * fallback
+    told = lambda d: sorted((*[str(r[c]) for c in columns], round(r["score"], 7)) for r in d.collect())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(windows.wanted_windows, "__defaults__", (90,))
+        found = told(P.hits_in_series(asked, blocks, 4, 24, 6, spec="spec", fallback=fallback))
+    assert found == told(P.hits_of(asked, points, 4, spec="spec", fallback=fallback))
+    assert not fallback or {x[-2] for x in found} == {"True", "False"}
+
+
+def test_limits_of_k(spark):
+    df = spark.createDataFrame([("q", [0.0])], "q_key string, q_vector array<double>")
+    for k in (0, 101, 1_000_000):
+        with pytest.raises(ValueError, match="1 to 100"):
+            P.forecast(df, df, k)
+        with pytest.raises(ValueError, match="1 to 100"):
+            P.forecast_in_series(df, df, k)
