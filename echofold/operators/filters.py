@@ -41,27 +41,28 @@ def _checked(key: str, value: Any) -> Any:
 
 
 def condition(c: dict[str, Any], keys: tuple[str, ...] = KEYS) -> Column:
+    """What the condition says; null or false for a missing value. Left bare, so that it can reach the scan."""
     if (key := c.get("key")) not in keys:
         raise ValueError(f"unknown filter key {key!r}")
     col = F.col(key)
     if "match" in c:
         wanted = [_checked(key, v) for v in (c["match"]["any"] if "any" in c["match"] else [c["match"]["value"]])]
-        return F.coalesce(col.isin(wanted), F.lit(False)) if wanted else F.lit(False)
+        return col.isin(wanted) if wanted else F.lit(False)
     if "range" in c:
         if unknown := set(c["range"]) - set(_RANGE):
             raise ValueError(f"unknown bounds {sorted(unknown)}")
-        return F.coalesce(reduce(and_, (_RANGE[op](col, _checked(key, v)) for op, v in c["range"].items()), F.lit(True) & col.isNotNull()), F.lit(False))
+        return reduce(and_, (_RANGE[op](col, _checked(key, v)) for op, v in c["range"].items()), col.isNotNull())
     raise ValueError(f"a condition needs match or range: {c}")
 
 
 def compile_filter(spec: dict[str, list] | None, keys: tuple[str, ...] = KEYS) -> Column:
-    """All of must, one of should if there are any, none of must_not."""
+    """All of must, one of should if there are any, none of must_not; null counts as false."""
     spec = spec or {}
     must, should, must_not = ([condition(c, keys) for c in spec.get(k) or []] for k in LISTS)
     out = reduce(and_, must, F.lit(True))
     if should:
         out &= reduce(or_, should)
-    return reduce(and_, (~c for c in must_not), out)
+    return reduce(and_, (~F.coalesce(c, F.lit(False)) for c in must_not), out)
 
 
 def _holds(points: pa.StructArray, c: dict[str, Any], keys: tuple[str, ...]) -> np.ndarray:

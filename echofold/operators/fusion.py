@@ -51,6 +51,27 @@ def fuse(hits: DataFrame, query_key: str, steps: int, normalized: bool = True) -
     return grid.join(fused, [query_key, "step"], "left").select(query_key, "step", F.coalesce("fused", F.lit(0.0)).alias("fused"))
 
 
+def bands(hits: DataFrame, query_key: str, steps: int, normalized: bool = True, shares: tuple[float, float, float] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """query_key, step, lo, mid and hi: weighted quantiles of the hits' futures at each step, on the query's scale.
+
+    A quantile is the least future at which the weights of all futures up to it reach the share
+    of the weights present at the step; nothing is interpolated. Steps that no hit reaches are left out.
+    """
+    future = V.zscore("future_y", F.col("mu"), F.col("sigma")) if normalized else F.col("future_y")
+    long = valid_hits(hits).select(query_key, "q_mu", "q_sigma", "rank_no", "weight", F.posexplode(F.slice(future, 1, steps)).alias("step", "y"))
+    step = Window.partitionBy(query_key, "step")
+    upto = step.orderBy("y", "rank_no").rowsBetween(Window.unboundedPreceding, 0)
+    reached = long.withColumn("_w", F.sum("weight").over(upto) / F.sum("weight").over(step))
+    scaled = F.col("y") * F.col("q_sigma") + F.col("q_mu")
+    at = [F.min(F.when(F.col("_w") >= p - 1e-9, scaled)).alias(n) for n, p in zip(("lo", "mid", "hi"), shares, strict=True)]
+    return reached.groupBy(query_key, "step").agg(*at)
+
+
+def agreement(of_steps: DataFrame, query_key: str) -> DataFrame:
+    """query_key, width (the mean width of the bands) and movement (the deviation of their middles over the steps)."""
+    return of_steps.groupBy(query_key).agg(F.avg(F.col("hi") - F.col("lo")).alias("width"), F.stddev_pop("mid").alias("movement"))
+
+
 def rescaled(fused: DataFrame, queries: DataFrame, query_key: str, steps: int, no_hit_steps: int | None = None) -> DataFrame:
     """y_hat on the query's own scale; a query without any hit gets its mean for no_hit_steps steps."""
     own = queries.select(query_key, F.col("q_mu"), F.col("q_sigma"))

@@ -471,6 +471,19 @@ def forecast_idw_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(P.forecast(P.last_windows(points), points, K, SHORT[1]))
 
 
+@query(f"""WITH {_hits_sql()}, w AS (SELECT *, {_IDW} AS weight FROM hits),
+    long AS (SELECT q_key, q_mu, q_sigma, rank_no, mu, sigma, weight, unnest(future_y) AS y0, generate_subscripts(future_y, 1) - 1 AS step FROM w),
+    z AS (SELECT *, (y0 - mu) / sigma AS y FROM long),
+    c AS (SELECT *, sum(weight) OVER (PARTITION BY q_key, step ORDER BY y, rank_no ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY q_key, step) AS reached FROM z)
+    SELECT q_key, step::INT AS step, round(min(CASE WHEN reached >= 0.1 - 1e-9 THEN y * q_sigma + q_mu END), 6) AS lo, round(min(CASE WHEN reached >= 0.5 - 1e-9 THEN y * q_sigma + q_mu END), 6) AS mid,
+        round(min(CASE WHEN reached >= 0.9 - 1e-9 THEN y * q_sigma + q_mu END), 6) AS hi FROM c GROUP BY q_key, step""")
+def forecast_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted quantiles of the hits' futures at each step."""
+    _, hits = _hits(spark, sf_dir)
+    b = fusion.bands(ranker.weighted(hits, "q_key"), "q_key", H)
+    return b.select("q_key", "step", r6("lo", "lo"), r6("mid", "mid"), r6("hi", "hi"))
+
+
 @query("WITH " + _forecast_sql(_IDW, normalized=False) + _FORECAST)
 def forecast_as_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, blocks = _asked(spark, sf_dir)
@@ -598,14 +611,14 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserted(e, changed.unionByName(added), ["event_id"]).select("event_id", r6("value", "value"))
 
 
-@query(f"""WITH {_points_sql()} SELECT source, count(*) AS points, round(avg(mu), 6) AS mu, max(len(vector))::INT AS vector_width, count(*) FILTER (isodow(label_ts) >= 6) AS weekend FROM pt GROUP BY source""")
+@query(f"""WITH {_points_sql()} SELECT source, count(*) AS points, round(avg(mu + (window_idx % {ASKS} = 0)::INT), 6) AS mu, max(len(vector))::INT AS vector_width, count(*) FILTER (isodow(label_ts) >= 6) AS weekend FROM pt GROUP BY source""")
 def collection_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection of all windows, ingested and upserted once more, read back."""
+    """A collection of all windows, every 20th upserted with another mean, read back."""
     made = Collection(spark, f"{shared_dir(spark)}/collection-{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '-')}", L)
     made.drop()
     made.create()
     P.ingest(made, _events(spark, sf_dir), L, H, tie="tie")
-    made.upsert(made.read().where(f"window_idx % {ASKS} = 0"))
+    made.upsert(made.read().where(f"window_idx % {ASKS} = 0").withColumn("mu", F.col("mu") + 1))
     return made.read().groupBy("source").agg(F.count("*").alias("points"), r6(F.avg("mu"), "mu"), F.max(F.size("vector")).alias("vector_width"), F.count_if("is_weekend").alias("weekend"))
 
 

@@ -40,7 +40,7 @@ def ingest_sample(collection: Collection, history_x: list[float], future_y: list
     idx = collection.next_idx()
     row = [(None, idx, list(map(float, history_x)), list(map(float, future_y)))]
     rows = collection.spark.createDataFrame(row, "source string, window_idx bigint, history_x array<double>, future_y array<double>")
-    collection.upsert(encode.encoded(rows, encoder))
+    collection.upsert(encode.encoded(rows, encoder), new=True)
     return idx
 
 
@@ -147,7 +147,8 @@ def agent_forecast(question: str | None, queries: DataFrame, points: DataFrame,
     queries = stage(queries.withColumn("q_spec", asked_for))
     hits = stage(hits_of(queries, points, k, fallback=True, spec="q_spec"))
     values = stage(fused_forecast(hits, queries, steps, model, no_hit_steps=steps))
-    told = report.markdown(report.summary(values, "q_key"), report.hit_context(hits, "q_key"), queries.select("q_key", "q_question", "q_spec"), "q_key")
+    agreed = fusion.agreement(fusion.bands(ranker.weighted(hits, "q_key", model), "q_key", steps), "q_key")
+    told = report.markdown(report.summary(values, "q_key"), report.hit_context(hits, "q_key"), queries.select("q_key", "q_question", "q_spec"), agreed, "q_key")
     own = fusion.chunk_values("future_y", F.lit(0.0), F.lit(1.0))  # futures are stored on their own scale
     chunk = F.struct("rank_no", *KEYS, F.round("score", 4).alias("score"), "month", "hour", "is_weekend", "time_of_day", own.alias("future_y"))
     chunks = hits.groupBy("q_key").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"), F.count("*").alias("n"), F.max("fallback_used").alias("fell_back"))

@@ -1,7 +1,11 @@
-"""A collection of points: a Parquet table partitioned by source, keyed by source and window_idx.
-
-An upsert rewrites the partitions of the sources that it touches and no others. A reader
-of such a partition that runs meanwhile may have to be started again.
+"""A collection of points: a Parquet table partitioned by source and slab, keyed by source and window_idx.
+
+A slab is a stretch of consecutive places of a source. An upsert rewrites the slabs that it
+touches and no others, so its cost goes with the rows that it brings and not with the length
+of their sources; rows with new keys can be appended without reading any. Within a file rows
+are sorted by month, hour and place, so that filters by time skip row groups by their
+statistics. A reader of a slab that is being rewritten may have to be started again. Of two
+writers that number samples at a time, both may take one number; the later upsert wins.
 """
 
 from __future__ import annotations
@@ -13,13 +17,14 @@ from pyspark.sql import types as T
 from ..schema import POINT
 from .staging import delete, discard, stage
 
-#: Consecutive windows of a source that go into one file, so that no task writes a whole long source.
-FILE_ROWS = 200_000
+#: Consecutive windows of a source that make a slab, and bytes of a row group within it.
+SLAB, GROUP_BYTES = 50_000, 4 << 20
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, path: str, width: int, schema: T.StructType = POINT, key: tuple[str, ...] = ("source", "window_idx")) -> None:
-        self.spark, self.path, self.width, self.schema, self.key = spark, path, width, schema, key
+    def __init__(self, spark: SparkSession, path: str, width: int, schema: T.StructType = POINT, key: tuple[str, ...] = ("source", "window_idx"), slab: int = SLAB) -> None:
+        self.spark, self.path, self.width, self.schema, self.key, self.slab = spark, path, width, schema, key, slab
+        self.stored = T.StructType([*schema.fields, T.StructField("slab", T.LongType())])
 
     def exists(self) -> bool:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -28,7 +33,7 @@ class Collection:
     def create(self) -> None:
         """An empty table, or a check that the one there has this vector width."""
         if not self.exists():
-            self.spark.createDataFrame([], self.schema).write.partitionBy("source").parquet(self.path)
+            self.spark.createDataFrame([], self.stored).write.partitionBy("source", "slab").parquet(self.path)
         elif (found := self.info().first()["vector_width"]) not in (None, self.width):
             raise ValueError(f"the collection's vectors have {found} dimensions, not {self.width}")
 
@@ -36,24 +41,35 @@ class Collection:
         delete(self.spark, self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
+        return self._read().select(*self.schema.names)
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(self.stored).parquet(self.path)
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        times = [c for c in ("month", "hour") if c in self.schema.names]
+        parts = rows.repartition("source", "slab").sortWithinPartitions("source", "slab", *times, *[k for k in self.key if k != "source"])
+        parts.write.partitionBy("source", "slab").mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.block.size", GROUP_BYTES).parquet(self.path)
+
+    def upsert(self, rows: DataFrame, new: bool = False) -> int:
+        """Rows replace those with their keys; of several with one key the last label wins. Returns their number.
 
-    def upsert(self, rows: DataFrame) -> int:
-        """Rows replace those with their keys; of several with one key the last label wins. Returns their number."""
+        new: no key is there yet, so that the rows are appended and nothing is read.
+        """
         aligned = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
-        fresh = stage(latest(aligned, self.key))
+        fresh = held = stage(latest(aligned, self.key))
         if not fresh.where(~F.coalesce(F.size("vector") == self.width, F.lit(False))).isEmpty():
             discard(fresh)
             raise ValueError(f"vectors must have {self.width} dimensions")
+        fresh = fresh.withColumn("slab", F.floor(F.col("window_idx") / self.slab))
         merged = fresh
-        if self.exists():
-            touched = fresh.select(F.col("source").alias("_s")).distinct()
-            old = self.read().join(touched, F.col("source").eqNullSafe(F.col("_s")), "left_semi")
+        if self.exists() and not new:
+            touched = fresh.select(F.col("source").alias("_s"), F.col("slab").alias("_b")).distinct()
+            old = self._read().join(touched, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slab") == F.col("_b")), "left_semi")
             merged = stage(upserted(old, fresh, list(self.key)))
-        parts = merged.repartition("source", F.floor(F.col("window_idx") / FILE_ROWS))
-        parts.write.partitionBy("source").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
-        n = fresh.count()
-        discard(fresh, *([merged] if merged is not fresh else []))
+        self._write(merged, "append" if new else "overwrite")
+        n = held.count()
+        discard(held, *([merged] if merged is not fresh else []))
         return n
 
     def next_idx(self, source: str | None = None) -> int:
@@ -73,7 +89,9 @@ class Collection:
 
 
 def latest(rows: DataFrame, key: tuple[str, ...], order: str = "label_ts") -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last())
+    """One row of each key: the one of the last time, and of equal or missing times the one that is largest by its other columns."""
+    ties = [F.col(c).desc_nulls_last() for c in rows.columns if c not in (*key, order)]
+    w = Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last(), *ties)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

@@ -1,0 +1,132 @@
+"""Boosted trees against a plain version on one array, and the ranker made of them."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from echofold.operators import boosting, ranker
+from echofold.operators.fusion import FEATURES
+
+
+def table(spark, n=3000, seed=1):
+    rng = np.random.default_rng(seed)
+    x = np.c_[rng.normal(size=(n, 3)), rng.integers(0, 2, n)]
+    y = np.sin(2 * x[:, 0]) + (x[:, 1] > 0.3) * x[:, 3] + rng.normal(size=n) * 0.2
+    rows = [(*map(float, r), float(t), i % 5 == 0) for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(rows, "a double, b double, c double, d double, y double, held boolean").repartition(3), ["a", "b", "c", "d"]
+
+
+def plain(x, y, held, ids, edges, s):
+    """Level by level over all rows with plain loops; returns trees as nested tuples and the validation errors."""
+    binned = np.stack([np.searchsorted(e, x[:, i], "right") for i, e in enumerate(edges)], 1)
+    base = y[~held].mean()
+    margin, trees, errors = np.full(len(y), base), [], []
+    soft = lambda g: np.sign(g) * max(abs(g) - s.alpha, 0)
+    of = lambda g, n: soft(g) ** 2 / (n + s.lam)
+    for tree in range(s.rounds + 1):
+        errors.append(float(np.sqrt(((margin - y)[held] ** 2).mean())))
+        if tree == s.rounds or tree - int(np.argmin(errors)) >= s.stop:
+            break
+        g = np.rint((margin - y) * boosting.UNIT) / boosting.UNIT
+        use = np.flatnonzero(~held & boosting.drawn(ids, tree, s.seed, s.rows))
+        columns = np.sort(np.random.default_rng((s.seed, tree)).permutation(x.shape[1])[: max(1, int(s.columns * x.shape[1]))])
+
+        def node(rows, depth):
+            gt, nt = g[rows].sum(), len(rows)
+            best = (1e-6, None, None)
+            for f in columns if depth < s.depth else []:
+                for b in range(s.bins - 1):
+                    left = rows[binned[rows, f] <= b]
+                    if len(left) >= s.least_rows and nt - len(left) >= s.least_rows:
+                        gl = g[left].sum()
+                        gain = of(gl, len(left)) + of(gt - gl, nt - len(left)) - of(gt, nt)
+                        if gain > best[0] * (1 + 1e-12) + 1e-12:
+                            best = (gain, f, b)
+            value = -soft(gt) / (nt + s.lam) * s.eta
+            if best[1] is None:
+                return (value,)
+            gain, f, b = best
+            pair = [node(rows[binned[rows, f] <= b], depth + 1), node(rows[binned[rows, f] > b], depth + 1)]
+            if len(pair[0]) == len(pair[1]) == 1 and gain < s.gamma:
+                return (value,)
+            return (value, f, b, *pair)
+
+        root = node(use, 0)
+        trees.append(root)
+
+        def walk(t, rows):
+            if len(t) == 1:
+                margin[rows] += t[0]
+            else:
+                walk(t[3], rows[binned[rows, t[1]] <= t[2]])
+                walk(t[4], rows[binned[rows, t[1]] > t[2]])
+
+        walk(root, np.arange(len(y)))
+    return trees[: int(np.argmin(errors))], errors
+
+
+def nested(t, i=0):
+    return (t.value[i],) if t.feature[i] < 0 else (t.value[i], int(t.feature[i]), int(t.bin[i]), nested(t, 2 * i + 1), nested(t, 2 * i + 2))
+
+
+def same(a, b):
+    return len(a) == len(b) and abs(a[0] - b[0]) < 1e-9 and (len(a) == 1 or a[1:3] == b[1:3] and same(a[3], b[3]) and same(a[4], b[4]))
+
+
+def test_trees_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK", 300)
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    df, names = table(spark, 600)
+    df = df.coalesce(1).sortWithinPartitions("a").persist()
+    s = boosting.Settings(rounds=5, depth=3, eta=0.3, bins=8, columns=0.5, gamma=0.4)
+    model = boosting.train(df, names, "y", "held", s)
+    got = df.select(*names, "y", "held", F.monotonically_increasing_id()).toPandas().to_numpy()
+    trees, errors = plain(got[:, :4].astype(float), got[:, 4].astype(float), got[:, 5].astype(bool), got[:, 6].astype(np.int64), model.edges, s)
+    assert np.allclose(model.errors, errors) and len(model.trees) == len(trees) > 2
+    assert all(same(nested(a), b) for a, b in zip(model.trees, trees, strict=True))
+    assert any(len(b[3]) > 1 for b in trees)
+
+
+def test_boosting_learns_stops_and_is_kept(spark):
+    df, names = table(spark)
+    model = boosting.train(df, names, "y", "held", boosting.Settings(rounds=40, eta=0.2, stop=5))
+    out = boosting.Trees.from_json(model.to_json()).transform(df)
+    e = ranker.regression_errors(out.where("held"), "y", "prediction").first()
+    assert e.rmse < 0.3 and abs(e.rmse - min(model.errors)) < 1e-9 and e.r2 > 0.8
+    assert sum(model.importance().values()) == pytest.approx(1) and model.importance()["c"] < 0.1
+    noise = df.withColumn("y", F.rand(3))
+    assert len(boosting.train(noise, names, "y", "held", boosting.Settings(rounds=60, stop=3)).errors) < 60
+
+
+def test_boosting_of_odd_rows(spark):
+    df, names = table(spark, 60)
+    assert not boosting.train(df.withColumn("y", F.lit(2.0)), names, "y", "held", boosting.Settings(rounds=3)).trees
+    one = boosting.train(df.withColumn("held", F.lit(False)), names, "y", "held", boosting.Settings(rounds=2))
+    assert len(one.trees) == 2
+    with pytest.raises(ValueError, match="no rows"):
+        boosting.train(df.where("false"), names, "y", "held")
+    with pytest.raises(ValueError, match="must be numbers"):
+        boosting.train(df.withColumn("a", F.when(F.col("d") == 1, F.col("a"))), names, "y", "held")
+
+
+def test_penalised_rankers_are_kept(spark, tmp_path):
+    rows = spark.createDataFrame([(f"q{i // 4}", *[float(i * j % 11) for j in range(7)], float(i % 7)) for i in range(200)], ["q_key", *FEATURES, "label"])
+    model = ranker.train_penalised(rows, "q_key", rounds=2)
+    ranker.save(model, f"{tmp_path}/m", {"samples": 200})
+    with pytest.raises(Exception, match="already exists"):
+        ranker.save(model, f"{tmp_path}/m", {})
+    again = ranker.load(f"{tmp_path}/m")
+    assert again.to_json() == model.to_json() and '"best_score"' in spark.read.text(f"{tmp_path}/m.meta").first()[0]
+    hits = rows.select("q_key", F.lit(0.5).alias("score"), *[F.lit(1.0).alias(c) for c in ("q_mu", "mu", "q_sigma", "sigma")], *[F.lit(1).alias(c) for c in ("q_month", "month", "q_time_of_day", "time_of_day", "q_is_weekend", "is_weekend")])
+    assert abs(ranker.weighted(hits, "q_key", again).groupBy("q_key").agg(F.sum("weight").alias("w")).agg(F.max("w")).first()[0] - 1) < 1e-9
+
+
+def test_ranker_is_no_worse_than_sparks_trees(spark):
+    rng = np.random.default_rng(2)
+    n = 4000
+    x = rng.random((n, len(FEATURES)))
+    y = np.tanh(2 * x[:, 0] - x[:, 1] + (x[:, 3] > 0.5) * x[:, 2]) + rng.normal(size=n) * 0.1
+    rows = spark.createDataFrame([(f"q{i // 20}", *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], ["q_key", *FEATURES, "label"])
+    held = rows.where(ranker.is_validation("q_key"))
+    ours, theirs = (ranker.evaluate(m, held).first() for m in (ranker.train_penalised(rows, "q_key", rounds=25), ranker.train(rows, "q_key", rounds=25)))
+    assert ours.rmse <= 1.02 * theirs.rmse

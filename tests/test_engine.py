@@ -397,3 +397,69 @@ def test_filter_reaches_the_scan(spark, points):
     hits = P.hits_of(P.every(points, 20), points, 3, F.col("month") == 1)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(month,1)" in plan
+
+
+# ---- slabs and bands
+
+def test_upserts_touch_their_slabs_only(spark, tmp_path):
+    import glob
+    import os
+
+    def files():
+        return {p: (os.path.getmtime(p), os.path.getsize(p)) for p in glob.glob(f"{tmp_path}/points/**/*.parquet", recursive=True)}
+
+    c = Collection(spark, f"{tmp_path}/points", 24, slab=20)
+    c.create()
+    P.ingest(c, series_of(spark), 24, 6)
+    before, rows = files(), c.count()
+    assert len({os.path.dirname(p) for p in before}) >= 2 * 5
+    c.upsert(c.read().where("source = 'b' and window_idx between 25 and 30").withColumn("mu", F.lit(-1.0)))
+    after = files()
+    assert {os.path.dirname(p).split("points/")[1] for p in before.keys() ^ after.keys()} == {"source=b/slab=1"}
+    assert c.count() == rows and c.read().where("mu = -1").count() == 6
+    idx = P.ingest_sample(c, [1.0, 2.0] * 12, [3.0], 24)
+    assert all(files()[p] == v for p, v in after.items()) and idx == 0 and c.count() == rows + 1
+    assert "slab" not in c.read().columns
+
+
+def test_filters_skip_row_groups(spark, tmp_path, monkeypatch):
+    """Rows read by a search under a filter of time, against all rows."""
+    from echofold.sources import store
+
+    monkeypatch.setattr(store, "GROUP_BYTES", 32 << 10)
+    c = Collection(spark, f"{tmp_path}/points", 24)
+    c.create()
+    P.ingest(c, series_of(spark, 1500), 24, 6)
+    kept = c.read().where(filters.compile_filter({"must": [{"key": "month", "match": {"value": 2}}, {"key": "hour", "range": {"lt": 2}}]}))
+    expected = [r for r in c.read().collect() if r.month == 2 and r.hour < 2]
+    assert sorted(r.window_idx for r in kept.collect()) == sorted(r.window_idx for r in expected)
+    execution = kept._jdf.queryExecution()
+
+    def scanned(plan):
+        found = [plan] if "Scan" in plan.nodeName() else []
+        children = plan.children()
+        for i in range(children.size()):
+            found += scanned(children.apply(i))
+        return found
+
+    read = scanned(execution.executedPlan())[0].metrics().get("numOutputRows").get().value()
+    assert len(expected) <= read < 0.5 * c.count()
+
+
+def test_latest_does_not_depend_on_order(spark):
+    from echofold.sources.store import latest
+
+    rows = [("a", 1, None, float(i)) for i in range(50)]
+    found = {latest(spark.createDataFrame(rows[::s], "source string, window_idx int, label_ts timestamp_ntz, mu double").repartition(5), ("source", "window_idx")).first().mu for s in (1, -1)}
+    assert found == {49.0}
+
+
+def test_bands(spark):
+    hits = spark.createDataFrame(
+        [("q", 10.0, 2.0, 1, 0.5, [1.0, 5.0], 0.0, 1.0), ("q", 10.0, 2.0, 2, 0.3, [2.0], 0.0, 1.0), ("q", 10.0, 2.0, 3, 0.2, [3.0, 4.0], 0.0, 1.0), ("none", 0.0, 1.0, 1, 1.0, [], 0.0, 1.0)],
+        "q_key string, q_mu double, q_sigma double, rank_no int, weight double, future_y array<double>, mu double, sigma double",
+    )
+    got = {(r.q_key, r.step): (r.lo, r.mid, r.hi) for r in fusion.bands(hits, "q_key", 2).collect()}
+    assert got == {("q", 0): (12.0, 12.0, 16.0), ("q", 1): (18.0, 20.0, 20.0)}
+    a = fusion.agreement(fusion.bands(hits, "q_key", 2), "q_key").first()
+    assert (a.width, a.movement) == (3.0, 4.0)
