@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.timefeat import time_features
-from ..schema import DEFAULTS
+from ..schema import DEFAULTS, NORM_FLOOR
 
 
 class Encoder(Protocol):
@@ -74,6 +76,79 @@ class OnnxEncoder:
         return windows.withColumn("vector", run("z"))
 
 
+@dataclass(frozen=True)
+class LearnedEncoder:
+    """The leading directions of padded, pooled histories, learned from windows.
+
+    A z-scored history gets zeros at its head up to length, is pooled by the mean of each pool
+    values of this time axis, and is projected onto the eigenvectors of the Gram matrix of such
+    rows, the largest first. Each eigenvector's largest component is positive, so that equal
+    windows give equal encoders.
+    """
+
+    length: int
+    pool: int
+    matrix: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return len(self.matrix)
+
+    @staticmethod
+    def pooled(z: list, length: int, pool: int) -> np.ndarray:
+        out = np.zeros((len(z), length))
+        for row, x in zip(out, z, strict=True):
+            tail = np.asarray(x, float)[-length:]
+            row[length - len(tail) :] = tail
+        return out.reshape(len(z), -1, pool).mean(2)
+
+    @classmethod
+    def fit(cls, windows: DataFrame, length: int = DEFAULTS.encoder_length, width: int = 32, pool: int = 4) -> LearnedEncoder:
+        """From all windows' histories: each task gives one matrix of length / pool squared, and Spark sums these."""
+        if length % pool or not 1 <= width <= length // pool:
+            raise ValueError("pool divides length, and width is at most length / pool")
+        size = length // pool
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gram = np.zeros((size, size))
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    x = cls.pooled(b.column(0).slice(at, 4096).to_pylist(), length, pool)
+                    gram += x.T @ x
+            row, col = np.nonzero(np.triu(gram))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(col), pa.array(gram[row, col])], ["i", "j", "v"])
+
+        sums = normalized(windows).select("z").mapInArrow(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+        gram = np.zeros((size, size))
+        gram[sums["i"].to_numpy(), sums["j"].to_numpy()] = gram[sums["j"].to_numpy(), sums["i"].to_numpy()] = sums["v"].to_numpy()
+        _, vectors = np.linalg.eigh(gram)
+        leading = vectors[:, ::-1][:, :width].T
+        signs = np.sign(leading[np.arange(width), np.abs(leading).argmax(1)])
+        return cls(length, pool, leading * np.where(signs == 0, 1, signs)[:, None])
+
+    def encode(self, windows: DataFrame) -> DataFrame:
+        own = self
+
+        @F.pandas_udf("array<double>")
+        def run(z: pd.Series) -> pd.Series:
+            v = own.pooled(z.tolist(), own.length, own.pool) @ own.matrix.T
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            return pd.Series(list(np.where(n > NORM_FLOOR, v / np.where(n > NORM_FLOOR, n, 1), 0)))
+
+        return windows.withColumn("vector", run("z"))
+
+    def to_json(self) -> str:
+        return json.dumps({"length": self.length, "pool": self.pool, "width": self.width, "matrix": self.matrix.tolist()})
+
+    @classmethod
+    def from_json(cls, text: str) -> LearnedEncoder:
+        d = json.loads(text)
+        matrix = np.array(d["matrix"])
+        if matrix.shape != (d["width"], d["length"] // d["pool"]):
+            raise ValueError("the encoder's matrix doesn't fit its width and length")
+        return cls(d["length"], d["pool"], matrix)
+
+
 def normalized(windows: DataFrame) -> DataFrame:
     """windows with mu, sigma (floored) and z of their histories."""
     return windows.withColumn("_m", V.moments("history_x")).select(*windows.columns, "_m.mu", "_m.sigma", "_m.z")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import encode, filters, fusion, intent, profile, ranker, report, windows
 from ..operators.search import search
 from ..schema import DEFAULTS
-from ..sources.staging import stage
+from ..sources.staging import scope, stage
 from ..sources.store import Collection
 
 KEYS = ["source", "window_idx"]
@@ -106,8 +106,9 @@ def hits_in_series(queries: DataFrame, blocks: DataFrame, k: int, history: int,
 def forecast_in_series(queries: DataFrame, blocks: DataFrame, k: int = DEFAULTS.top_k, history: int = DEFAULTS.history, steps: int = DEFAULTS.future, model: GBTRegressionModel | None = None, normalized: bool = True, no_hit_steps: int | None = None, spec: str | None = None) -> DataFrame:
     """forecast() from series blocks in place of points, each query under the filter of its own in the column spec."""
     check_k(k)
-    hits = stage(hits_in_series(queries, blocks, k, history, steps, spec=spec, fallback=spec is not None))
-    return fused_forecast(hits, queries, steps, model, normalized, no_hit_steps or steps)
+    with scope(queries.sparkSession) as keep:
+        hits = stage(hits_in_series(queries, blocks, k, history, steps, spec=spec, fallback=spec is not None))
+        return keep(stage(fused_forecast(hits, queries, steps, model, normalized, no_hit_steps or steps)))
 
 
 def fused_forecast(hits: DataFrame, queries: DataFrame, steps: int, model: GBTRegressionModel | None = None, normalized: bool = True, no_hit_steps: int | None = None) -> DataFrame:
@@ -119,8 +120,9 @@ def forecast(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.top_k, ste
     """q_key, step and y_hat: the fused futures of each query's k nearest windows, all under the filter spec."""
     check_k(k)
     where = filters.compile_filter(spec) if filters.is_active(spec) else None
-    hits = stage(hits_of(queries, points, k, where, fallback=where is not None))
-    return fused_forecast(hits, queries, steps, model, normalized, no_hit_steps or steps)
+    with scope(queries.sparkSession) as keep:
+        hits = stage(hits_of(queries, points, k, where, fallback=where is not None))
+        return keep(stage(fused_forecast(hits, queries, steps, model, normalized, no_hit_steps or steps)))
 
 
 def agent_forecast(question: str | None, queries: DataFrame, points: DataFrame, k: int = DEFAULTS.agent_top_k, steps: int = DEFAULTS.future, model: GBTRegressionModel | None = None, language_model: Callable[[str], str] | None = None, sources: tuple[str, ...] = (), history: int | None = None) -> DataFrame:
@@ -144,7 +146,12 @@ def agent_forecast(question: str | None, queries: DataFrame, points: DataFrame,
         queries = queries.withColumn("q_question", F.lit(question))
     if history is not None:
         queries, _ = encode.check_length(queries, "q_history_x", history, strict=True)
-    queries = stage(queries.withColumn("q_spec", asked_for))
+    with scope(queries.sparkSession) as keep:
+        return keep(stage(_answers(queries.withColumn("q_spec", asked_for), points, k, steps, model)))
+
+
+def _answers(queries: DataFrame, points: DataFrame, k: int, steps: int, model: GBTRegressionModel | None) -> DataFrame:
+    queries = stage(queries)
     hits = stage(hits_of(queries, points, k, fallback=True, spec="q_spec"))
     values = stage(fused_forecast(hits, queries, steps, model, no_hit_steps=steps))
     agreed = fusion.agreement(fusion.bands(ranker.weighted(hits, "q_key", model), "q_key", steps), "q_key")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting to drop an execution's shuffle files once it has ended.
@@ -13,6 +16,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Spark's bound for the bytes of a batch of rows that goes to Python, and ours for staged steps: long rows make smaller batches.
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _written: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,14 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(path, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(path: str, configuration) -> None:
+    at = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(configuration).delete(at, True)
 
 
 def _forget() -> None:
+    """What is left goes when the program ends, also after the session was stopped."""
+    if SparkContext._jvm is None:
+        return
     spark = SparkSession.getActiveSession()
-    while spark is not None and _written:
-        delete(spark, _written.pop())
+    configuration = spark.sparkContext._jsc.hadoopConfiguration() if spark and SparkContext._active_spark_context else SparkContext._jvm.org.apache.hadoop.conf.Configuration()
+    while _written:
+        _delete(_written.pop(), configuration)
 
 
 atexit.register(_forget)
@@ -60,6 +72,8 @@ def stage(df: DataFrame) -> DataFrame:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.append(path)
+    if _scopes:
+        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -70,3 +84,26 @@ def discard(*staged: DataFrame) -> None:
     for df in staged:
         delete(df.sparkSession, df.staged_at)
         _written.remove(df.staged_at)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is staged within goes at the end, but for what is passed to the function that this gives, which belongs to the scope around."""
+    own: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.staged_at)
+        return df
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            if path in kept and _scopes:
+                _scopes[-1].append(path)
+            elif path not in kept and path in _written:
+                delete(spark, path)
+                _written.remove(path)

@@ -463,3 +463,48 @@ def test_bands(spark):
     assert got == {("q", 0): (12.0, 12.0, 16.0), ("q", 1): (18.0, 20.0, 20.0)}
     a = fusion.agreement(fusion.bands(hits, "q_key", 2), "q_key").first()
     assert (a.width, a.movement) == (3.0, 4.0)
+
+
+def test_learned_encoder(spark, points):
+    """Equal to NumPy, and near to the full vector's neighbours."""
+    rows = series_of(spark, 400)
+    cut = staging.stage(windows.sliding_windows(rows, 24, 6))
+    own = encode.LearnedEncoder.from_json(encode.LearnedEncoder.fit(cut, 32, 6, 2).to_json())
+    h = np.array([r.history_x for r in cut.collect()])
+    z = (h - h.mean(1, keepdims=True)) / h.std(1, keepdims=True)
+    pooled = np.c_[np.zeros((len(z), 8)), z].reshape(len(z), 16, 2).mean(2)
+    values, vectors = np.linalg.eigh(pooled.T @ pooled)
+    assert np.allclose(np.abs(own.matrix), np.abs(vectors[:, ::-1][:, :6].T), atol=1e-6) and (own.matrix.max(1) >= -own.matrix.min(1)).all()
+    found = {(r.source, r.window_idx): r.vector for r in encode.encoded(cut, own).collect()}
+    assert all(len(v) == 6 and abs(np.linalg.norm(v) - 1) < 1e-9 for v in found.values())
+    kept = cut.collect()
+    x = np.array([found[r.source, r.window_idx] for r in kept])
+    full = z / np.linalg.norm(z, axis=1, keepdims=True)
+    near = lambda v: np.argsort(-(v @ v.T), axis=1)[:, 1:11]
+    whole = encode.LearnedEncoder.fit(cut, 24, 24, 1)
+    found = {(r.source, r.window_idx): r.vector for r in encode.encoded(cut, whole).collect()}
+    overlaps = [np.mean([len(set(a) & set(b)) / 10 for a, b in zip(near(v), near(full), strict=True)]) for v in (x, np.array([found[r.source, r.window_idx] for r in kept]))]
+    assert overlaps[0] > 0.3 and overlaps[1] > 0.99, overlaps  # chance would give 0.013
+    flat = spark.createDataFrame([([1.0] * 24,), ([1.0, 2.0, 4.0],)], "history_x array<double>")
+    assert [round(sum(v * v for v in r.vector), 6) for r in encode.encoded(flat, own).collect()] == [0, 1]
+    for bad in ((30, 6, 4), (32, 17, 2), (32, 0, 2)):
+        with pytest.raises(ValueError):
+            encode.LearnedEncoder.fit(cut, *bad)
+
+
+def test_forecasts_leave_their_result_only(spark, points):
+    import os
+
+    def folders():
+        return set(os.listdir(staging.shared_dir(spark).removeprefix("file:")))
+
+    asked = staging.stage(P.every(points, 20))
+    before = folders()
+    out = P.forecast(asked, points, 3, 6)
+    assert len(folders() - before) == 1 and out.count() == 6 * asked.count()
+    staging.discard(out)
+    P.agent_forecast("workday load", asked, points, 3, 6).count()
+    assert len(folders() - before) == 1
+    with pytest.raises(Exception, match="dimensions"):
+        P.forecast(asked.withColumn("q_vector", F.slice("q_vector", 1, 3)), points, 3, 6)
+    assert len(folders() - before) == 1
