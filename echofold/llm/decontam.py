@@ -8,6 +8,8 @@ the radius, so that all pairs within the radius meet. Such candidates are verifi
 by the weighted Jaccard similarity of their shingles' counts. Windows at the similarity can
 differ by more bits than any radius that prunes, so texts and items that are not settled
 yet and share enough shingles of their own are verified too: no match depends on the radius.
+These meet by an item's rarest shingles alone, of which a match holds one at least, so that a
+passage that many texts and items hold doesn't pair them all.
 
 Words are compared in lower case and without signs, so decorated copies are found too.
 Items stay a table: only the filter and the items' sizes go to the executors.
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordIds, column, discard, mix64, raw, small_batches, stage
@@ -88,7 +90,7 @@ def simhashes(h: np.ndarray, first: int, n: int, width: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-_ITEM = "iid bigint, item_id bigint, k int, m int, fp bigint, hashes array<bigint>"
+_ITEM = "iid bigint, item_id {}, k int, m int, fp bigint, hashes array<bigint>"
 
 
 def item_shingles(items: DataFrame, k: int) -> DataFrame:
@@ -103,11 +105,11 @@ def item_shingles(items: DataFrame, k: int) -> DataFrame:
                     h = shingles(w, min(k, len(w)))
                     rows.append((iid, item_id, min(k, len(w)), len(h), int(np.array([simhash(h)], np.uint64).view(np.int64)[0]), h.view(np.int64)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+                kinds = (pa.int64(), column(b, "item_id").type, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["iid", "item_id", "k", "m", "fp", "hashes"])
 
-    rows = items.where("text is not null").select(F.monotonically_increasing_id().alias("iid"), F.col("item_id").cast("bigint").alias("item_id"), "text")
-    return rows.mapInArrow(run, _ITEM)
+    rows = items.where("text is not null").select(F.monotonically_increasing_id().alias("iid"), "item_id", "text")
+    return rows.mapInArrow(run, _ITEM.format(items.schema["item_id"].dataType.simpleString()))
 
 
 def shingle_filter(known: DataFrame) -> tuple[np.ndarray, int]:
@@ -188,12 +190,31 @@ def within_radius(found: DataFrame, known: DataFrame, radius: int) -> DataFrame:
     return both.select("rid", "iid").distinct()
 
 
-def sharing(found: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """rid and iid of texts and items of one size of which the text holds enough of the item's shingles."""
+def meeting(own: DataFrame, near: DataFrame, least: float) -> DataFrame:
+    """rid, iid, k and m of texts and items that have one of the item's first shingles in common, once for each such shingle.
+
+    own: an item's shingles (iid, k, m, h) and their counts c; near: the texts' (rid, k, m, h).
+    An item's shingles are put in order, those of the fewest texts first. The first are those
+    whose counts together exceed what a match may miss, so that every match holds one of them.
+    """
+    often = stage(near.groupBy("k", "m", "h").agg(F.count("*").alias("texts")))
+    ordered = own.join(often, ["k", "m", "h"], "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    before = F.sum("c").over(Window.partitionBy("iid").orderBy("texts", "h").rowsBetween(Window.unboundedPreceding, -1))  # of one item's shingles
+    missing = F.col("m") - F.ceil(F.lit(least) * F.col("m") - 1e-9)
+    first = ordered.withColumn("_before", F.coalesce(before, F.lit(0))).where((F.col("_before") <= missing) & (F.col("texts") > 0))
+    return near.join(stage(first.select("iid", "k", "m", "h")), ["k", "m", "h"]).select("rid", "iid", "k", "m")
+
+
+def sharing(found: DataFrame, known: DataFrame, least: float, settled: DataFrame) -> DataFrame:
+    """rid and iid of texts and items of one size of which the text holds enough of the item's shingles, settled pairs left out.
+
+    Only pairs that have met by the items' first shingles are counted in full.
+    """
     own = stage(known.select("iid", "k", "m", F.explode("hashes").alias("h")).groupBy("iid", "k", "m", "h").agg(F.count("*").alias("c")))
     near = stage(found.select("rid", "k", "m", F.explode(F.array_distinct("hashes")).alias("h")))
-    both = near.join(own, ["k", "m", "h"]).groupBy("rid", "iid", "m").agg(F.sum("c").alias("c"))
-    return both.where(F.col("c") >= least * F.col("m") - 1e-9).select("rid", "iid")
+    met = stage(meeting(own, near, least).distinct().join(settled, ["rid", "iid"], "left_anti"))
+    both = met.join(own, ["iid", "k", "m"]).join(near, ["rid", "k", "m", "h"]).groupBy("rid", "iid", "m").agg(F.sum("c").alias("c"))
+    return both.where(F.col("c") >= F.lit(least) * F.col("m") - 1e-9).select("rid", "iid")
 
 
 def best_windows(starts: list[int], places: list[int], hashes: list[int], n: int, own: list[int], least: float) -> Iterator[tuple[int, float]]:
@@ -225,8 +246,8 @@ def best_windows(starts: list[int], places: list[int], hashes: list[int], n: int
 
 
 def verified(pairs: DataFrame, found: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """rid, iid, item_id and the place, length, differing bits and similarity of each match of the pairs."""
-    own = known.select("iid", "item_id", "k", "m", F.col("fp").alias("item_fp"), F.col("hashes").alias("own"))
+    """rid, iid and the place, length, differing bits and similarity of each match of the pairs."""
+    own = known.select("iid", "k", "m", F.col("fp").alias("item_fp"), F.col("hashes").alias("own"))
     rows = pairs.join(own, "iid").join(found, ["rid", "k", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +256,12 @@ def verified(pairs: DataFrame, found: DataFrame, known: DataFrame, least: float)
             for r in b.to_pylist():
                 for i, sim in best_windows(r["starts"], r["places"], r["hashes"], r["n"], r["own"], least):
                     differ = ((r["fps"][i] ^ r["item_fp"]) & ((1 << 64) - 1)).bit_count()
-                    out.append((r["rid"], r["iid"], r["item_id"], r["starts"][i], min(r["m"], r["n"]) + r["k"] - 1, differ, sim))
+                    out.append((r["rid"], r["iid"], r["starts"][i], min(r["m"], r["n"]) + r["k"] - 1, differ, sim))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["rid", "iid", "item_id", "first_word", "n_words", "bits", "similarity"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["rid", "iid", "first_word", "n_words", "bits", "similarity"])
 
-    return rows.mapInArrow(run, "rid bigint, iid bigint, item_id bigint, first_word bigint, n_words bigint, bits int, similarity double")
+    return rows.mapInArrow(run, "rid bigint, iid bigint, first_word bigint, n_words bigint, bits int, similarity double")
 
 
 def matches(docs: DataFrame, items: DataFrame, k: int, least: float, radius: int) -> DataFrame:
@@ -248,8 +269,8 @@ def matches(docs: DataFrame, items: DataFrame, k: int, least: float, radius: int
     known = stage(item_shingles(items, k))
     found = stage(windows(docs, known, least))
     near = stage(verified(within_radius(found, known, radius), found, known, least))
-    rest = sharing(found, known, least).join(near.select("rid", "iid").distinct(), ["rid", "iid"], "left_anti")
-    out = stage(near.unionByName(verified(rest, found, known, least)))
+    rest = sharing(found, known, least, near.select("rid", "iid").distinct())
+    out = stage(near.unionByName(verified(rest, found, known, least)).join(known.select("iid", "item_id"), "iid"))
     discard(known, found, near)
     return out
 

@@ -494,6 +494,23 @@ def test_decontamination_does_not_depend_on_the_radius(spark, tmp_path):
     assert {r.doc_id for r in decontam.clean(df, given).collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_decontamination_with_a_common_passage(spark, tmp_path):
+    """All texts and items hold a passage of 44 words; ids are text. Few pairs meet, and all matches are found."""
+    rng = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(44)]
+    items = [(f"i{i}", " ".join(passage + [f"i{i}w{j}" for j in range(16)])) for i in range(60)]
+    texts = [" ".join([*(f"t{d}a{j}" for j in range(int(rng.integers(0, 20)))), *(items[d % 60][1].split() if d < 90 else passage), *(f"t{d}z{j}" for j in range(20))]) for d in range(240)]
+    spark.createDataFrame([(f"d{d}", t) for d, t in enumerate(texts)], "doc_id string, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    df, given = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items, "item_id string, text string")
+    want = {(f"d{d}", i) for d, t in enumerate(texts) for i, x in items if set(brute.plain_words(t)) & set(brute.plain_words(x)[44:]) and brute.leaks(t, x) >= 0.8}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, given).collect()} == want and len(want) == 90
+    known = decontam.item_shingles(given, 5)
+    own = known.select("iid", "k", "m", F.explode("hashes").alias("h")).groupBy("iid", "k", "m", "h").agg(F.count("*").alias("c"))
+    found = decontam.windows(df.select(F.monotonically_increasing_id().alias("rid"), "text"), known, 0.8)
+    near = found.select("rid", "k", "m", F.explode(F.array_distinct("hashes")).alias("h"))
+    assert decontam.meeting(own, near, 0.8).count() < 20 * len(want)
+
+
 def test_decontamination_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "A"), (4, LONG.upper()), (4, "one two, three! four five six")], "item_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, items).collect()}
