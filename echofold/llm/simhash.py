@@ -263,8 +263,12 @@ def sharing_rare(sets: DataFrame, least: float, part: str = "doc_id") -> DataFra
     common among the first n - least * n + 1 of the longer and the first
     n - 2 * least / (1 + least) * n + 1 of the shorter. Passages that many texts hold come
     last in the order, so they pair few. Shingles of a single text count, but needn't be held.
-    A shingle's parts are paired before their texts, so texts of one part never meet.
+    A shingle's parts are paired before their texts, so texts of one part never meet. Two
+    texts have no more in common than follows the first such shingle in either's order, so
+    pairs that meet late in it, as by a line that is most of both, are left out: a pair at
+    the similarity meets at its first common shingle too, where this leaves room.
     """
+    room = least / (1 + least) - 1e-9
     words = sets.select("doc_id", F.col(part).alias("part"), F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     # staged, so that the join is a plain shuffled one, which Spark can split at a frequent shingle
     shared = stage(words.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1"))
@@ -275,15 +279,17 @@ def sharing_rare(sets: DataFrame, least: float, part: str = "doc_id") -> DataFra
         return F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1 - alone
 
     held = F.slice("by", F.lit(1), F.greatest(first(least), F.lit(0)).cast("int"))
-    rare = ranked.select("doc_id", "part", "n", F.posexplode(held).alias("place", "at"), first(2 * least / (1 + least)).alias("few"))
-    rare = stage(rare.select("doc_id", "part", "n", "at.h", (F.col("place") < F.col("few")).alias("few")))
-    short = rare.where("few").select("h", F.col("part").alias("p"), F.col("doc_id").alias("a"), F.col("n").alias("m"))
-    other = rare.select("h", F.col("part").alias("q"), F.col("doc_id").alias("b"), "n")
-    least_p = stage(short.groupBy("h", "p").agg(F.min("m").alias("m0"), F.max("m").alias("m1")))
-    least_q = stage(other.groupBy("h", "q").agg(F.min("n").alias("n0"), F.max("n").alias("n1")))
-    met = stage(least_p.join(least_q, "h").where((F.col("p") != F.col("q")) & (F.col("m1") >= (least - 1e-9) * F.col("n0")) & (F.col("m0") <= F.col("n1"))).select("h", "p", "q"))
+    rare = ranked.select("doc_id", "part", "n", alone.alias("alone"), F.posexplode(held).alias("place", "at"), first(2 * least / (1 + least)).alias("few"))
+    rest = F.col("n") - F.col("alone") - F.col("place")  # shingles from this one on
+    rare = stage(rare.select("doc_id", "part", "n", "at.h", (F.col("place") < F.col("few")).alias("few"), rest.alias("rest")).where(F.col("rest") >= room * (1 + least) * F.col("n")))
+    short = rare.where("few").select("h", F.col("part").alias("p"), F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("rest").alias("rest_a"))
+    other = rare.select("h", F.col("part").alias("q"), F.col("doc_id").alias("b"), "n", F.col("rest").alias("rest_b"))
+    least_p = stage(short.groupBy("h", "p").agg(F.min("m").alias("m0"), F.max("m").alias("m1"), F.max("rest_a").alias("rest_p")))
+    least_q = stage(other.groupBy("h", "q").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest_b").alias("rest_q")))
+    may = (F.col("p") != F.col("q")) & (F.col("m1") >= (least - 1e-9) * F.col("n0")) & (F.col("m0") <= F.col("n1")) & (F.least("rest_p", "rest_q") >= room * (F.col("m0") + F.col("n0")))
+    met = stage(least_p.join(least_q, "h").where(may).select("h", "p", "q"))
     met = met.join(short, ["h", "p"]).join(other, ["h", "q"])
-    met = met.where((F.col("m") >= (least - 1e-9) * F.col("n")) & F.expr("m < n or m = n and a < b"))
+    met = met.where((F.col("m") >= (least - 1e-9) * F.col("n")) & F.expr("m < n or m = n and a < b") & (F.least("rest_a", "rest_b") >= room * (F.col("m") + F.col("n"))))
     return met.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("hub")).distinct()
 
 
