@@ -10,9 +10,9 @@ Only the counts per arc, shards * virtual nodes of them, come to the driver to s
 takes how many keys of which arc; keys are told by their rank within their arc.
 
 Defined results: a null key or text counts as one (size 16 with a null text). Rows with
-equal keys fall into one arc, where a hash of the key, the size, the checksum and the row's
-place in the table ranks them. An empty table gives no rows. The table must be one whose
-scan gives the same rows in the same order each time.
+equal keys fall into one arc, where a hash of the key, the size and the checksum ranks them;
+only rows that are alike in all three are told apart by their place in the table, so the
+result doesn't depend on files and partitions. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,12 +100,16 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, virtual:
     owner = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(arcs)), "array<struct<arc:int,ring_shard:int,cells:bigint>>")))
     plan = plan.join(F.broadcast(owner.drop("cells")), "arc")
     # a rank in an arc is the rows of the cells before and the rank in the row's own cell, so no task ranks a whole crowded arc
-    spread = F.xxhash64(key, "size", "text_crc32", "_row")
-    rows = rows.join(F.broadcast(owner.drop("ring_shard")), "arc").withColumn("_spread", spread).withColumn("_cell", F.pmod("_spread", "cells"))
-    before = Window.partitionBy("arc").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("arc", "_cell").agg(F.count("*").alias("_n")).select("arc", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("arc", "_cell").orderBy("_spread", "_row")).cast("long") - 1)
-    ranked = ranked.join(offsets, ["arc", "_cell"]).withColumn("rank", F.col("_offset") + F.col("_r"))
+    rows = rows.join(F.broadcast(owner.drop("ring_shard")), "arc").withColumn("_spread", F.xxhash64(key, "size", "text_crc32")).withColumn("_cell", F.pmod("_spread", "cells"))
+    # copies of one row beyond a cell's worth have cells of their own; Spark broadcasts these few hashes if they are small enough
+    crowds = stage(rows.groupBy("arc", "_spread").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL).select("arc", "_spread", F.expr(f"_n div {CELL} + 1").alias("_parts")))
+    rows = rows.join(crowds, ["arc", "_spread"], "left").withColumn("_crowd", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.col("_spread")))
+    rows = rows.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_row"), "_parts") + 1, F.lit(0)))
+    cell = ["_cell", "_crowd", "_part"]
+    before = Window.partitionBy("arc").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("arc", *cell).agg(F.count("*").alias("_n")).select("arc", *cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("arc", *cell).orderBy("_spread", key, "size", "text_crc32", "_row")).cast("long") - 1)
+    ranked = ranked.join(offsets, ["arc", *cell]).withColumn("rank", F.col("_offset") + F.col("_r"))
     # the plan has a row for each arc and for each overflow: a bounded number, whatever the table
     taken = ranked.alias("r").join(F.broadcast(plan.alias("p")), (F.col("r.arc") == F.col("p.arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return taken.select(f"r.{key}", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), "ring_shard")

@@ -453,6 +453,45 @@ def test_ring_against_plain_places(spark, monkeypatch):
     assert {s: sorted(r.slot for r in out if r.shard == s) for s in range(5)} == {s: list(range(180)) for s in range(5)}
 
 
+def test_ring_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(ring, "CELL", 30)
+    rows = [(i if i % 3 else 7, "t" * (i % 5 if i % 3 else 2)) for i in range(900)]  # a third are copies of one row
+    docs = spark.createDataFrame([*rows, *[(None, None)] * 70], "doc_id bigint, text string")
+    found = [Counter(tuple(r) for r in ring.assign(d, shards=7, virtual=5).collect()) for d in (docs.repartition(5), docs.orderBy(F.desc("doc_id")).coalesce(1), docs.repartition(3, "text"))]
+    assert found[0] == found[1] == found[2]
+    assert sum(found[0].values()) == 970
+
+
+def test_ring_overflow_against_a_plain_ring(spark):
+    rows = [(i if i % 3 else 7, "t" * (i % 5)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    nodes = ring.ring(6, 8)
+    named = docs.select("doc_id", (F.length("text") + 16).cast("long").alias("size"), F.crc32("text").alias("crc"))
+    told = named.select("doc_id", "size", "crc", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.xxhash64("doc_id", "size", "crc").alias("spread")).collect()
+    arcs = {}
+    for r in told:
+        arcs.setdefault(next((i for i, (p, _) in enumerate(nodes) if p >= r.h), 0), []).append((r.spread, r.doc_id, r.size, r.crc))
+    room, wanted, waiting = [150] * 6, Counter(), []
+
+    def put(key, shard):
+        room[shard] -= 1
+        wanted[(*key, shard)] += 1
+
+    for arc in sorted(arcs):
+        for key in sorted(arcs[arc]):
+            if room[nodes[arc][1]]:
+                put(key[1:], nodes[arc][1])
+            else:
+                waiting.append((arc, key[1:]))
+    assert len(waiting) > 100
+    for arc, key in waiting:  # clockwise, node by node, to the first shard with room
+        at = arc
+        while not room[nodes[at][1]]:
+            at = (at + 1) % len(nodes)
+        put(key, nodes[at][1])
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in ring.assign(docs, shards=6, virtual=8).collect()) == wanted
+
+
 def test_ring_moves_little(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     a, b = ({r.doc_id: r.shard for r in ring.assign(docs, shards=n).collect()} for n in (10, 11))
