@@ -1,6 +1,7 @@
 """Search in the series, and places by ranges, against plain versions."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -110,3 +111,31 @@ def test_limits_of_k(spark):
             P.forecast(df, df, k)
         with pytest.raises(ValueError, match="1 to 100"):
             P.forecast_in_series(df, df, k)
+
+
+def test_a_task_gives_the_best_of_all_its_blocks(spark, monkeypatch):
+    """What is shuffled goes with queries and k, not with blocks or partitions."""
+    df = series(spark, shapes())
+    blocks = stage(windows.series_blocks(df, 24, 6, tie="tie", block=10))
+    asked = stage(P.asked_windows(blocks, 10, 24, 6))
+    want = sorted(tuple(r) for r in profile.nearest(asked, blocks, 3, 24, 6).select("q_key", "source", "window_idx", "rank_no").collect())
+    monkeypatch.setattr(profile, "top_k", lambda found, *_: found)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = stage(profile.nearest(asked, blocks, 3, 24, 6))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(want) <= found.count() <= 3 * 6 * asked.count()  # a pack meets six groups of blocks at 64 partitions
+    monkeypatch.undo()
+    monkeypatch.setattr(profile, "HELD", 100)  # more rows than a task may hold: more groups of blocks, the same hits
+    assert sorted(tuple(r) for r in profile.nearest(asked, blocks, 3, 24, 6).select("q_key", "source", "window_idx", "rank_no").collect()) == want
+
+
+def test_agent_answers_from_the_series(spark):
+    df = series(spark, shapes(200))
+    blocks, points = stage(windows.series_blocks(df, 24, 6, tie="tie")), stage(P.points_of(df, 24, 6, tie="tie"))
+    asked = stage(P.asked_windows(blocks, 40, 24, 6).withColumn("q_question", F.lit("late night load")))
+    told = [{r.q_key: json.loads(r.answer) for r in P.agent_forecast(None, asked, x, 3, 6, history=24).collect()} for x in (blocks, points)]
+    own = [{k: (a["filter"], a["fallback_used"], a["message"], [(c["source"], c["window_idx"]) for c in a.get("chunks") or []]) for k, a in t.items()} for t in told]
+    assert own[0] == own[1] and any(a["fallback_used"] for a in told[0].values())
