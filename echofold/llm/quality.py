@@ -7,8 +7,9 @@ that the model is a score to rank by. The cut is the quantile of the training sc
 which the label-0 share of the sample lies; the score returned is the logistic function of
 the distance from the cut.
 
-Training takes a sample of labelled rows bounded by MAX_TRAIN (rows with the smallest
-hashes), whatever the table's size and however often a doc_id is repeated; scoring covers
+Training takes every labelled row, each as often as it stands in the table; a caller may bound
+their number (rows with the smallest hashes). Rows get their places, pairs their rows and the
+cut its scores by ranges and shuffles, so that no task holds all of a label's. Scoring covers
 every whole text.
 
 Defined results: null and empty texts have the zero vector and a score like any other. If
@@ -26,14 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import positions
 from .common import WordIds, column, raw, small_batches, stage
 from .fertility import dup_lines, repeated
 
-#: The most labelled rows a model is fitted on.
-MAX_TRAIN = 20_000
+#: Labels of so many rows are broadcast to the texts; more meet the texts' features by a shuffle.
+LABELS = 500_000
 #: Preference pairs per row of the more frequent label.
 PAIRS = 3
 SEED = 7
@@ -84,35 +86,48 @@ class Model:
     cut: float
 
 
-def sample(labelled: DataFrame, bound: int = MAX_TRAIN) -> DataFrame:
-    """doc_id and label of bound labelled rows at most: those with the smallest hashes."""
-    return labelled.where("label is not null").select("doc_id", "label").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "label").limit(bound)
+def sample(labelled: DataFrame, bound: int | None = None) -> DataFrame:
+    """doc_id and label of the labelled rows, at most bound of them: those with the smallest hashes."""
+    rows = labelled.where("label is not null").select("doc_id", "label")
+    return rows if bound is None else rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "label").limit(bound)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, bound: int = MAX_TRAIN) -> Model:
-    """Learn from labelled (doc_id, label 0 or 1). Only the sample's texts are looked at."""
-    chosen = sample(labelled, bound).withColumnRenamed("doc_id", "labelled_id")  # bound rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "label", "text")
-    # a labelled doc_id may stand on any number of rows: of their features as many are kept as of labels
-    rows = stage(featurize(rows, "doc_id", "label").orderBy(F.xxhash64("doc_id", "x", F.lit(SEED)), "doc_id", "label").limit(bound))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x"))) - 1)
+def fit(docs: DataFrame, labelled: DataFrame, bound: int | None = None) -> Model:
+    """Learn from labelled (doc_id, label 0 or 1). Only labelled texts are looked at, if the labels can be broadcast."""
+    chosen = stage(sample(labelled, bound).withColumnRenamed("doc_id", "labelled_id"))
+    same = F.col("doc_id") == F.col("labelled_id")
+    if chosen.count() <= LABELS:
+        rows = featurize(docs.select("doc_id", "text").join(F.broadcast(chosen), same), "doc_id", "label")
+    else:
+        rows = featurize(docs, "doc_id").join(chosen, same).select("doc_id", "label", "x")
+    if bound is not None:  # a labelled doc_id may stand on any number of rows: of their features as many are kept as of labels
+        rows = rows.orderBy(F.xxhash64("doc_id", "x", F.lit(SEED)), "doc_id", "label").limit(bound)
+    rows = stage(rows)
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     good, bad = n.get(1, 0), n.get(0, 0)
     if not good or not bad:
         return Model(np.zeros(FEATURES), 0.0)
+    placed = positions(rows.select(F.col("label").alias("source"), F.xxhash64("doc_id").alias("ts"), "doc_id", F.xxhash64("x").alias("value"), "x"), tie="doc_id")
+    placed = stage(placed.select(F.col("source").alias("label"), F.col("window_idx").alias("r"), "x"))
     i = F.col("id")
-    pairs = docs.sparkSession.range(0, PAIRS * max(good, bad), 1, 8).select(
-        (i % 2).cast("double").alias("first"), (i % good).cast("int").alias("g"), ((i * 7919 + F.floor(i / good)) % bad).cast("int").alias("b")
-    )
-    x = rows.where("label = 1").select(F.col("r").alias("g"), F.col("x").alias("xg"))
-    y = rows.where("label = 0").select(F.col("r").alias("b"), F.col("x").alias("xb"))
+    pairs = docs.sparkSession.range(0, PAIRS * max(good, bad)).select((i % 2).cast("double").alias("first"), (i % good).alias("g"), ((i * 7919 + F.floor(i / good)) % bad).alias("b"))
+    x = placed.where("label = 1").select(F.col("r").alias("g"), F.col("x").alias("xg"))
+    y = placed.where("label = 0").select(F.col("r").alias("b"), F.col("x").alias("xb"))
     sign = 2 * F.col("first") - 1
     diff = pairs.join(x, "g").join(y, "b").select(F.col("first").alias("label"), array_to_vector(F.zip_with("xg", "xb", lambda a, b: sign * (a - b))).alias("features"))
     lr = LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=60, tol=1e-5).fit(diff)
     weights = np.round(lr.coefficients.toArray(), 6)  # tasks end in any order, so the last digits of their sums vary
     raw_score = F.aggregate(F.zip_with("x", F.lit(weights.tolist()), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    cut = rows.select(F.percentile(raw_score, bad / (good + bad))).first()[0]
-    return Model(weights, round(float(cut), 6))
+    return Model(weights, round(quantile(placed.select(raw_score.alias("score")), bad / (good + bad), good + bad), 6))
+
+
+def quantile(scores: DataFrame, share: float, n: int) -> float:
+    """The share's quantile of n scores, with the two around it interpolated, by their places among all."""
+    at = share * (n - 1)
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    placed = positions(scores.select(F.lit(0).alias("source"), F.col("score").alias("ts"), F.lit(0).alias("value")))
+    found = {r["window_idx"]: r["ts"] for r in placed.where(F.col("window_idx").isin(lo, hi)).select("window_idx", "ts").collect()}
+    return float(found[lo] if lo == hi else (hi - at) * found[lo] + (at - lo) * found[hi])
 
 
 def scores(texts: list[bytes], model: Model, words: WordIds) -> np.ndarray:

@@ -622,6 +622,20 @@ def test_quality_of_a_repeated_document(spark):
     assert (7, True) in out and len([1 for d, up in out if d != 7 and up]) < 5
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """The cut lies where a plain quantile of all rows' scores does, also where labels are too many to broadcast."""
+    rows = [(i, ("A plain sentence number %d, with words. " if i % 3 else "x#%d $$ ") % i * (1 + i % 5)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labelled = spark.createDataFrame([(i, int(i % 3 > 0 or i % 30 == 0)) for i in range(300)], "doc_id bigint, label int")
+    a = quality.fit(docs, labelled)
+    monkeypatch.setattr(quality, "LABELS", 10)
+    b = quality.fit(docs, labelled)
+    assert np.allclose(a.weights, b.weights, atol=1e-5) and abs(a.cut - b.cut) < 1e-4
+    raw = [quality.features(t.encode(), WordIds()) @ a.weights for _, t in rows]
+    assert abs(np.quantile(raw, 90 / 300) - a.cut) < 1e-5
+    assert not hasattr(quality, "MAX_TRAIN") and quality.sample(labelled).count() == 300
+
+
 def test_quality_without_pairs(odd, empty):
     labelled = odd.select("doc_id", F.lit(1).alias("label"))
     model = quality.fit(odd, labelled)
