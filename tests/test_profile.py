@@ -135,7 +135,7 @@ def test_a_task_gives_the_best_of_all_its_blocks(spark, monkeypatch):
 def test_agent_answers_from_the_series(spark):
     df = series(spark, shapes(200))
     blocks, points = stage(windows.series_blocks(df, 24, 6, tie="tie")), stage(P.points_of(df, 24, 6, tie="tie"))
-    asked = stage(P.asked_windows(blocks, 40, 24, 6).withColumn("q_question", F.lit("late night load")))
+    asked = stage(P.asked_windows(blocks, 40, 24, 6).withColumn("q_question", F.when(F.col("q_window_idx") == 80, "load in July").otherwise("late night load")))
     told = [{r.q_key: json.loads(r.answer) for r in P.agent_forecast(None, asked, x, 3, 6, history=24).collect()} for x in (blocks, points)]
     own = [{k: (a["filter"], a["fallback_used"], a["message"], [(c["source"], c["window_idx"]) for c in a.get("chunks") or []]) for k, a in t.items()} for t in told]
     assert own[0] == own[1] and any(a["fallback_used"] for a in told[0].values())
