@@ -34,6 +34,8 @@ from .search import PLACES, Best, _matrix, _micros, top_k
 CELLS, SAMPLE_BYTES = 4_096, 16 << 20
 #: Points in a block, queries in a pack, and the fewest cells that a query meets first.
 BLOCK, PACK, PROBES = 2_048, 256, 2
+#: Angles of queries to cells that a task holds at once, and rows of queries with a cell that it gives at once.
+ANGLES, GIVEN = 1 << 20, 1 << 13
 #: Rounded scores are kept, and angles are floating: bounds are this much wider.
 SLACK = 1e-7
 #: The cell of vectors without a direction, which score 0 with all.
@@ -217,9 +219,10 @@ def _toward(asked: DataFrame, index: Index, first: bool, k: int, seen: dict[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n, lo, hi, towards = shared.value
+        some = max(1, ANGLES // max(1, len(cells)))
         for big in batches:
-            for at in range(0, big.num_rows, 1024):
-                b = big.slice(at, 1024)
+            for at in range(0, big.num_rows, some):
+                b = big.slice(at, some)
                 q = _matrix(b.column(b.schema.get_field_index("q_vector")), towards.shape[1])
                 angle = _angles(q, towards)
                 away = np.maximum(np.maximum(lo[None] - angle, angle - hi[None]), 0.0)
@@ -243,8 +246,11 @@ def _toward(asked: DataFrame, index: Index, first: bool, k: int, seen: dict[int,
                     reach = room[row]
                 # a cell without a direction has angles of 0: what is kept of it is always within reach
                 at_angle = np.where(cells[col] == NOWHERE, 0.0, angle[row, col])
-                rows = [b.column(b.schema.get_field_index(c)).take(pa.array(row)) for c in names]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(cells[col], pa.int32()), pa.array(at_angle), pa.array(np.where(none[row], 4.0, reach))], schema.names)
+                reach = np.where(none[row], 4.0, reach)
+                for given in range(0, len(row), GIVEN):  # a query may meet all cells, and has its vector in each of these rows
+                    part = slice(given, given + GIVEN)
+                    rows = [b.column(b.schema.get_field_index(c)).take(pa.array(row[part])) for c in names]
+                    yield pa.RecordBatch.from_arrays([*rows, pa.array(cells[col[part]], pa.int32()), pa.array(at_angle[part]), pa.array(reach[part])], schema.names)
 
     return asked.mapInArrow(run, schema)
 

@@ -113,3 +113,32 @@ def test_questions_as_columns(spark):
     for r in rows:
         expected = intent.parse_intent(r.q or "", ("purchase", "view"))
         assert (json.loads(r.f) if r.f else filters.empty()) == expected, r.q
+
+
+def test_queries_go_to_their_cells_in_small_batches(spark, monkeypatch):
+    """However many cells a query meets, a task gives a bounded number of rows at once."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>")
+    asked = points.where("id % 20 = 0").select(F.col("id").alias("q"), F.col("vector").alias("q_vector"))
+    index = cells.build(points, ["id"], cells=40)
+    sizes = []
+    monkeypatch.setattr(cells, "GIVEN", 7)
+    monkeypatch.setattr(cells, "ANGLES", 100)
+    hits = sorted((r.q, r.rank_no, r.id) for r in cells.search(asked, index, 4, "q", exclude="id").collect())
+    score = np.where(np.eye(300, dtype=bool), -np.inf, np.round(x @ x.T, 9))
+    want = sorted((q, n + 1, int(i)) for q in range(0, 300, 20) for n, i in enumerate(np.lexsort((np.arange(300), -score[q]))[:4]))
+    assert hits == want
+    held = asked.withColumn("_kth", F.lit(float("-inf"))).coalesce(1)
+    seen = {r["cell"]: (r["n"], r["lo"], r["hi"]) for r in index.blocks.groupBy("cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+
+    class Given:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            rows = held.toArrow().to_batches()
+            sizes.extend(b.num_rows for b in run(iter(rows)))
+
+        schema, sparkSession, columns = held.schema, spark, held.columns  # noqa: N815
+
+    cells._toward(Given(), index, False, 4, seen)
+    assert sum(sizes) > 200 and max(sizes) <= 7
