@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -139,3 +140,19 @@ def test_agent_answers_from_the_series(spark):
     told = [{r.q_key: json.loads(r.answer) for r in P.agent_forecast(None, asked, x, 3, 6, history=24).collect()} for x in (blocks, points)]
     own = [{k: (a["filter"], a["fallback_used"], a["message"], [(c["source"], c["window_idx"]) for c in a.get("chunks") or []]) for k, a in t.items()} for t in told]
     assert own[0] == own[1] and any(a["fallback_used"] for a in told[0].values())
+
+
+def test_packs_hold_neighbours_histories(spark, monkeypatch):
+    """Queries are sent as histories in the order of their places, which compress; hits are those of their vectors."""
+    rng = np.random.default_rng(3)
+    df = series(spark, {s: rng.normal(size=3000) for s in ("a", "b")})
+    blocks = stage(windows.series_blocks(df, 100, 48, tie="tie"))
+    asked = stage(P.asked_windows(blocks, 20, 100, 48))
+    files = [stage(profile.packs(q, "q_key", "q_label_ts")) for q in (asked, asked.drop("q_vector"), asked.drop("q_history_x"))]
+    size = [sum(p.stat().st_size for p in Path(x.staged_at).glob("*.parquet")) for x in files]
+    assert max(size[:2]) < size[2] / 2
+    for held in files[0].select("vectors").collect():
+        x = np.array(held["vectors"]).reshape(-1, 100)
+        assert (x[:-1, 20:] == x[1:, :80]).all(1).sum() >= len(x) - 2  # two series, so one break
+    told = lambda q: sorted((r.q_key, r.source, r.window_idx, r.rank_no) for r in profile.nearest(q, blocks, 5, 100, 48).collect())
+    assert told(asked) == told(asked.drop("q_vector")) == told(asked.drop("q_history_x"))
