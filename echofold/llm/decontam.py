@@ -44,6 +44,8 @@ FILTER_SHARE, FILTER_BITS = 16, 1 << 27
 WINDOWS = 4096
 
 _SIGNS = re.compile(r"[\W_]+")
+#: The same for ASCII words, as bytes.
+_LOWER, _ASCII_SIGNS = bytes(range(256)).lower(), bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 class Words:
@@ -54,13 +56,20 @@ class Words:
         self.hashes = np.zeros(0, np.uint64)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        w, ends = self.joined(texts)
+        return np.split(w, ends[:-1])
+
+    def joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' hashes one after another, those of signs alone left out, and where each text ends."""
         if self.ids.trim():
             self.hashes = np.zeros(0, np.uint64)
         idx = [self.ids.of(t.split()) for t in texts]
         if new := self.ids.words[len(self.hashes) :]:
-            plain = [_SIGNS.sub("", w.decode("utf-8", "replace").lower()) for w in new]
+            plain = [w.translate(_LOWER, _ASCII_SIGNS) if w.isascii() else _SIGNS.sub("", w.decode("utf-8", "replace").lower()) for w in new]
             self.hashes = np.r_[self.hashes, np.array([xxhash.xxh3_64_intdigest(w) | 1 if w else 0 for w in plain], np.uint64)]
-        return [self.hashes[i] for i in idx]
+        w = self.hashes[np.concatenate(idx)]
+        there = w != 0
+        return w[there], np.r_[0, np.cumsum(there)][np.cumsum([len(i) for i in idx])]
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -101,7 +110,7 @@ def item_shingles(items: DataFrame, k: int) -> DataFrame:
         for b in small_batches(batches, 512):
             rows = []
             for iid, item_id, w in zip(column(b, "iid").to_pylist(), column(b, "item_id").to_pylist(), words.of(raw(b)), strict=True):
-                if len(w := w[w != 0]):
+                if len(w):
                     h = shingles(w, min(k, len(w)))
                     rows.append((iid, item_id, min(k, len(w)), len(h), int(np.array([simhash(h)], np.uint64).view(np.int64)[0]), h.view(np.int64)))
             if rows:
@@ -143,20 +152,33 @@ def windows(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
         words, bits = Words(), held.value
         for b in small_batches(batches, 512):
             rows = []
-            for rid, w in zip(column(b, "rid").to_pylist(), words.of(raw(b)), strict=True):
-                w = w[w != 0]
-                for k, lengths in sizes.items():
-                    h = shingles(w, k)
-                    slot = (h & np.uint64(slots - 1)).astype(np.int64)
-                    hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+            rids = column(b, "rid")
+            w, ends = words.joined(raw(b))
+            begins = np.r_[0, ends[:-1]]
+            for k, lengths in sizes.items():  # all texts of a batch at once; few hold enough of any item's shingles to be looked at one by one
+                all_h = shingles(w, k)
+                slot = (all_h & np.uint64(slots - 1)).astype(np.int64)
+                all_hits = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+                all_upto = np.r_[0, np.cumsum(all_hits)]
+                lasts = np.maximum(ends - k + 1, begins)  # shingles over a text's end don't count
+                whole = lasts > begins
+                most = np.zeros(len(ends), np.int64)
+                most[whole] = all_upto[lasts[whole]] - all_upto[begins[whole]]
+                for i in np.flatnonzero(most >= least * lengths[0] - 1e-9).tolist():
+                    rid, h, hit = rids[i].as_py(), all_h[begins[i] : lasts[i]], all_hits[begins[i] : lasts[i]]
                     upto = np.r_[0, np.cumsum(hit)]
+                    top, of = len(h), len(h)  # the most hits of any window of a width
                     for m in lengths:
                         if upto[-1] < least * m - 1e-9:
                             break
                         width = min(m, len(h))
-                        starts = np.flatnonzero(upto[width:] - upto[: len(h) - width + 1] >= least * m - 1e-9)
-                        if not len(starts):
+                        if width >= of and min(top + width - of, -(-width // of) * top) < least * m - 1e-9:  # a longer window holds no more than this
+                            continue
+                        inside = upto[width:] - upto[: len(h) - width + 1]
+                        top, of = int(inside.max()), width
+                        if top < least * m - 1e-9:
                             continue
+                        starts = np.flatnonzero(inside >= least * m - 1e-9)
                         cut = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
                         runs = [(int(starts[i]), int(j - i)) for i, j in zip(cut, [*cut[1:], len(starts)], strict=True)]
                         fps = np.concatenate([simhashes(h, s, n, width) for s, n in runs])

@@ -8,10 +8,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -690,3 +692,37 @@ def test_bloom_lanes_beyond_64_languages(spark):
     assert model.slots.shape[1] == 2
     out = langid.predict(df.select(F.col("lang").alias("doc_id"), "text"), model).collect()
     assert all(r.doc_id == r.lang_pred for r in out)
+
+
+def test_decontamination_looks_at_a_batch_of_texts_at_once(spark, monkeypatch):
+    """Shingles over the end of a text are none of it, and a batch's texts are hashed together, not one by one."""
+    item = [f"w{i}" for i in range(40)]
+    texts = ["x " * 30 + " ".join(item[:20]), " ".join(item[20:]) + " y" * 30, "", " ".join(item), "... --- ...", " ".join(item[:3]), " ".join(item[3:]), None, "Z " + " ".join(f"{w.upper()}_!" for w in item) + " z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid bigint, text string").coalesce(1)
+    known = decontam.stage(decontam.item_shingles(spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string"), 5))
+    assert {r.rid for r in decontam.windows(df, known, 0.8).collect()} == {3, 6, 8}
+
+    class Frame:  # the step itself, on one batch
+        sparkSession = spark
+
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, run, _):
+            return run
+
+    calls, plain = [], decontam.shingles
+    run = decontam.windows(Frame(), known, 0.8)
+    monkeypatch.setattr(decontam, "shingles", lambda w, k: calls.append(len(w)) or plain(w, k))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["rid", "text"])
+    assert {r["rid"] for b in run(iter([batch])) for r in b.to_pylist()} == {3, 6, 8} and len(calls) == 1
+
+
+def test_words_without_signs_hash_the_same_whatever_their_bytes():
+    words = ["Abc", "a_B-c!", "\u00c4bc", "\u00e4bc,", "...", "x\u2019s", "\u0130i", "9.5%"]
+    found = decontam.Words()
+    w, ends = found.joined([" ".join(words).encode(), b""])
+    plain = [x for x in (decontam._SIGNS.sub("", x.lower()) for x in words) if x]
+    assert w.tolist() == [xxhash.xxh3_64_intdigest(x) | 1 for x in plain] and ends.tolist() == [len(plain)] * 2
