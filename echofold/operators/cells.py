@@ -8,7 +8,10 @@ rows that share a cell and a range of angles.
 A query first meets the nearest cells that hold k points. Its k-th best score there bounds
 the rest: by the triangle inequality of angles a block whose angles lie too far from the
 query's own angle to the centre can't hold a better one and is never read for it. Queries and
-blocks meet by a shuffle on cell, packs of queries with blocks of points, as matrices. A query
+its first blocks meet by a shuffle on cell, packs of queries with blocks of points, as matrices.
+The rest meet in a grid: a pack goes to one row's tasks, a block to one column's, so that the
+copies of either go with the sides of the grid (GROUPS) and not with the cells that a query
+meets; a task passes over blocks out of reach and gives a query's best of all its blocks. A query
 with fewer than k hits so far (a filter, a threshold) meets all blocks, so the hits are those
 of a full scan. No query or point goes through the driver; the centres and a row for each
 cell do, whose number is bounded by CELLS.
@@ -16,13 +19,13 @@ cell do, whose number is bounded by CELLS.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +39,8 @@ CELLS, SAMPLE_BYTES = 4_096, 16 << 20
 BLOCK, PACK, PROBES = 2_048, 256, 2
 #: Angles of queries to cells that a task holds at once, and rows of queries with a cell that it gives at once.
 ANGLES, GIVEN = 1 << 20, 1 << 13
+#: Groups of blocks and groups of packs at most, and points that a task holds, which adds groups of blocks.
+GROUPS, HELD = (8, 12), 1 << 17
 #: Rounded scores are kept, and angles are floating: bounds are this much wider.
 SLACK = 1e-7
 #: The cell of vectors without a direction, which score 0 with all.
@@ -143,6 +148,99 @@ def runs(batches: Iterator[pa.RecordBatch], by: str, most: int) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def _scores(points: pa.StructArray, x: np.ndarray, keys: pa.Array, q: np.ndarray, when: np.ndarray | None, specs: list[str | None] | None, threshold: float | None, exclude: str | None, before: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of points (rows) with queries, and the same rounded, without those that are no hits."""
+    s = x @ q.T
+    rounded = np.round(s, PLACES)
+    if before is not None:
+        rounded[_micros(points.field(before))[:, None] >= when[None]] = -np.inf
+    if exclude is not None:
+        at = pc.index_in(points.field(exclude), keys)
+        hit = np.flatnonzero(np.asarray(pc.is_valid(at)))
+        for p, name in zip(hit, points.field(exclude).take(pa.array(hit)), strict=True):
+            rounded[p, np.asarray(pc.fill_null(pc.equal(keys, name), False))] = -np.inf
+    if specs is not None:
+        rounded[~filters.passing(points, specs)] = -np.inf
+    if threshold is not None:
+        rounded[s < threshold] = -np.inf
+    return s, rounded
+
+
+def _room(kth: np.ndarray) -> np.ndarray:
+    """The angle to a query within which a point must lie to score its k-th best or more."""
+    return np.where(np.isneginf(kth), 4.0, np.arccos(np.clip(kth - SLACK, -1, 1)) + SLACK)
+
+
+def _in_grid(asked: DataFrame, index: Index, k: int, query_key: str, threshold: float | None, exclude: str | None, before: str | None) -> DataFrame:
+    """The candidates of queries with their k-th best scores so far (_kth) among all blocks within reach, by a grid of packs and blocks."""
+    own = [c for c in asked.columns if c != "_kth"]
+    kinds, place = {c: asked.schema[c].dataType for c in own}, {c: i for i, c in enumerate(own)}
+    schema = T.StructType([*(T.StructField(f"_{i}", T.ArrayType(kinds[c] if c != "q_vector" else T.DoubleType())) for i, c in enumerate(own)), T.StructField("_kths", T.ArrayType(T.DoubleType()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, PACK):
+                b = big.slice(at, PACK)
+                flat = [b.column(b.schema.get_field_index(c)) for c in (*own, "_kth")]
+                flat = [x.flatten().cast(pa.float64()) if c == "q_vector" else x for c, x in zip((*own, "_kth"), flat, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) for x in flat], schema.names)
+
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = index.blocks.agg(F.sum("n")).first()[0] or 0
+    across = max(min(GROUPS[0], int(np.ceil(np.sqrt(parts / 2)))), -(-n // HELD))
+    down = min(GROUPS[1], -(-2 * parts // across))
+
+    def dealt(rows: DataFrame, group: Column, many: int, cell: Callable[[Column, Column], Column]) -> DataFrame:
+        copies = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: cell(F.col("_group"), i).cast("int"))
+        return rows.withColumn("_group", group).withColumn("_task", F.explode(copies)).drop("_group")
+
+    points = dealt(index.blocks.select(F.lit(0).alias("_kind"), "*"), F.pmod(F.xxhash64("cell", "lo", "hi", F.hash("vectors")), F.lit(across)), down, lambda g, i: g * down + i)
+    packs = stage(asked.mapInArrow(pack, schema)).withColumn("_id", F.monotonically_increasing_id())
+    packs = dealt(packs, F.pmod(F.xxhash64("_id"), F.lit(down)), across, lambda g, i: i * down + g).drop("_id").withColumn("_kind", F.lit(1))
+    columns = ["_kind", "cell", "lo", "hi", "vectors", "rows", *schema.names]
+    both = points.unionByName(packs, allowMissingColumns=True).repartitionById(across * down, F.col("_task")).sortWithinPartitions("_kind").select(*columns)
+    payload = index.blocks.schema["rows"].dataType.elementType
+    out = T.StructType([T.StructField(query_key, kinds[query_key]), *payload.fields, T.StructField("score", T.DoubleType()), T.StructField("_rounded", T.DoubleType())])
+    shared = asked.sparkSession.sparkContext.broadcast(index.centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                kind, cell, lo, hi, flat, rows, *asks, kths = (b.column(j)[i] for j in range(b.num_columns))
+                if kind.as_py() == 0:  # a task's blocks come first
+                    held.append((cell.as_py(), lo.as_py(), hi.as_py(), flat.values.to_numpy().reshape(len(rows), -1), rows.values))
+                    continue
+                keys, kth = asks[place[query_key]].values, kths.values.to_numpy()
+                q = asks[place["q_vector"]].values.to_numpy().reshape(len(keys), -1)
+                if q.shape[1] != shared.value.shape[1]:
+                    raise ValueError(f"vectors must have {shared.value.shape[1]} dimensions")
+                when = None if before is None else _micros(asks[place["_before"]].values)
+                specs = asks[place["_spec"]].values.to_pylist() if "_spec" in place else None
+                angles, room = _angles(q, shared.value), _room(kth)
+                room[np.linalg.norm(q, axis=1) < 0.5] = 4.0  # nothing can be left out for a query without a direction
+                best = Best(len(keys), k)
+                best.scores[:] = kth[None]
+                for cell, lo, hi, x, points in held:
+                    # points without a direction score 0 with all
+                    away = np.full(len(q), np.pi / 2 - SLACK) if cell == NOWHERE else np.maximum(lo - angles[:, cell], angles[:, cell] - hi)
+                    near = np.flatnonzero(away <= room)
+                    if not len(near):
+                        continue
+                    names = keys.take(pa.array(near))
+                    s, rounded = _scores(points, x, names, q[near], None if when is None else when[near], None if specs is None else [specs[j] for j in near], threshold, exclude, before)
+                    some = Best(len(near), k)
+                    some.scores = best.scores[:, near]
+                    row, col = some.take(0, rounded)
+                    best.scores[:, near] = some.scores
+                    good = rounded[row, col] > -np.inf
+                    row, col = row[good], col[good]
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(col)), *points.take(pa.array(row)).flatten(), pa.array(s[row, col]), pa.array(rounded[row, col])], out.names)
+
+    return both.mapInArrow(run, out)
+
+
 def _meet(asked: DataFrame, index: Index, k: int, query_key: str, threshold: float | None, exclude: str | None, before: str | None) -> DataFrame:
     """The candidates of (query, cell) rows: packs of queries that share a cell, joined with its blocks within reach.
 
@@ -182,21 +280,9 @@ def _meet(asked: DataFrame, index: Index, k: int, query_key: str, threshold: flo
                 if x.shape[1] != q.shape[1]:
                     raise ValueError(f"vectors must have {x.shape[1]} dimensions")
                 keys = keys.take(pa.array(near))
-                s = x @ q.T
-                rounded = np.round(s, PLACES)
-                if before is not None:
-                    when = _micros(asks[place["_before"]].values)[near]
-                    rounded[_micros(points.field(before))[:, None] >= when[None]] = -np.inf
-                if exclude is not None:
-                    at = pc.index_in(points.field(exclude), keys)
-                    hit = np.flatnonzero(np.asarray(pc.is_valid(at)))
-                    for p, name in zip(hit, points.field(exclude).take(pa.array(hit)), strict=True):
-                        rounded[p, np.asarray(pc.fill_null(pc.equal(keys, name), False))] = -np.inf
-                if "_spec" in place:
-                    specs = [asks[place["_spec"]].values[j].as_py() for j in near.tolist()]
-                    rounded[~filters.passing(points, specs)] = -np.inf
-                if threshold is not None:
-                    rounded[s < threshold] = -np.inf
+                when = None if before is None else _micros(asks[place["_before"]].values)[near]
+                specs = [asks[place["_spec"]].values[j].as_py() for j in near.tolist()] if "_spec" in place else None
+                s, rounded = _scores(points, x, keys, q, when, specs, threshold, exclude, before)
                 row, col = Best(len(near), k).take(0, rounded)
                 good = rounded[row, col] > -np.inf
                 row, col = row[good], col[good]
@@ -240,7 +326,7 @@ def _toward(asked: DataFrame, index: Index, first: bool, k: int, seen: dict[int,
                     reach = np.full(len(row), 4.0)
                 else:
                     kth = b.column(b.schema.get_field_index("_kth")).to_numpy()
-                    room = np.where(np.isneginf(kth), 4.0, np.arccos(np.clip(kth - SLACK, -1, 1)) + SLACK)
+                    room = _room(kth)
                     room[none] = 4.0
                     row, col = np.nonzero(~early & (away <= room[:, None]))
                     reach = room[row]
@@ -273,15 +359,16 @@ def found(queries: DataFrame, index: Index, k: int, query_key: str, threshold: f
     early = stage(top_k(_meet(nearest.drop("_query"), index, k, query_key, threshold, exclude, time), k, query_key, index.keys))
     reached = early.groupBy(query_key).agg(F.count("*").alias("_n"), F.min("_rounded").alias("_low")).withColumnRenamed(query_key, "_q")
     bounded = asked.join(reached, F.col(query_key).eqNullSafe(F.col("_q")), "left").withColumn("_kth", F.when(F.col("_n") >= k, F.col("_low")).otherwise(F.lit(float("-inf"))))
-    later = stage(_toward(bounded.select(*asked.columns, "_kth"), index, False, k, seen))
-    more = _meet(later.drop("_query"), index, k, query_key, threshold, exclude, time)
-    best = stage(top_k(early.drop("rank_no").unionByName(more), k, query_key, index.keys).drop("_rounded"))
+    bounded = stage(bounded.select(*asked.columns, "_kth"))
+    # the early hits are within reach too, and are found again
+    best = stage(top_k(_in_grid(bounded.drop("_query"), index, k, query_key, threshold, exclude, time), k, query_key, index.keys).drop("_rounded"))
     share = None
     if count:  # a row for each cell at most
         blocks = {r["cell"]: r["n"] for r in index.blocks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        later = _toward(bounded, index, False, k, seen)
         met = {r["_cell"]: r["n"] for r in nearest.select("_cell").unionByName(later.select("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()}
         share = sum(n * blocks[c] for c, n in met.items()) / max(1, asked.count() * sum(blocks.values()))
-    discard(asked, nearest, early, later)
+    discard(asked, nearest, early, bounded)
     return best, share
 
 

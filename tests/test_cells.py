@@ -142,3 +142,25 @@ def test_queries_go_to_their_cells_in_small_batches(spark, monkeypatch):
 
     cells._toward(Given(), index, False, 4, seen)
     assert sum(sizes) > 200 and max(sizes) <= 7
+
+
+def test_what_is_sent_does_not_go_with_the_cells(spark, monkeypatch):
+    """Queries of random vectors meet all cells, but go to the grid's groups of blocks alone; a task that holds few points adds groups."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = stage(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>").repartition(4))
+    asked = p.where("id % 3 = 0").select(F.col("id").alias("q_key"), F.col("vector").alias("q_vector"))
+    index, sent, toward = cells.build(p, ["id"], cells=60), [], cells._toward
+
+    def counted(*a):
+        out = stage(toward(*a))
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(cells, "_toward", counted)
+    want = told(search.search(asked, p, 5, "q_key", ["id"], exclude="id"))
+    assert told(cells.search(asked, index, 5, "q_key", exclude="id")) == want
+    assert sum(sent) <= 3 * asked.count()  # 60 rows a query before
+    monkeypatch.setattr(cells, "HELD", 100)
+    assert told(cells.search(asked, index, 5, "q_key", exclude="id")) == want
