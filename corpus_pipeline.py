@@ -1,4 +1,8 @@
-"""The text operators in a row: each stage works on all that the one before kept."""
+"""The text operators in a row: each stage works on all that the one before kept.
+
+Stages that end in Python give staged rows, so that these go through Python in batches of the
+bytes that staging sets, and not of 10,000 texts.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the Bradley-Terry classifier accepts (score 0.5 or more)."""
     learnt = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 != 1
     labelled = table(spark, sf_dir, "labels").where(learnt).select("doc_id", F.col("quality").alias("label"))
-    return quality.accepted(docs, quality.fit(docs, labelled))
+    return stage(quality.accepted(docs, quality.fit(docs, labelled)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token sequences, with their ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return stage(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, keep=100_000))
 
 
 STAGES = [
@@ -55,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir))
+        docs = function(spark, docs, sf_dir)
+        docs = docs if hasattr(docs, "staged_at") else stage(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,6 +30,8 @@ from .common import column, raw
 CAPACITY = 2048
 BLOCK = 4096
 END_ID = 1
+#: Words of which a worker keeps the ids, and as many put by; fewer take less memory and more time.
+WORDS = 300_000
 
 #: A word that ends in a letter, and ASCII signs behind it that the tokenizer splits from it.
 _TAILED = re.compile(rb"(.*[a-z])([!-&(-/:;=?@\[-`{}~]+)", re.S)
@@ -39,15 +41,18 @@ class WordTokens:
     """Ids of white-space-free words, kept per word: the tokenizer never joins across white space.
 
     The whole text's ids are the words' ids one after another. Words are kept in lower
-    case, as the tokenizer lowers them anyway (but for its special strings).
+    case, as the tokenizer lowers them anyway (but for its special strings). Beyond the limit
+    the words kept so far are put by, and only those that come again are taken over, so
+    that a worker holds about twice the limit at most and frequent words stay known.
     """
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.ids: dict[bytes, bytes] = {}
+        self.past: dict[bytes, bytes] = {}
         self.ends_word = np.zeros(1 << 16, bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -86,17 +91,19 @@ class WordTokens:
         for i in range(0, len(texts), 256):
             split = [(t if b"<|" in t else t.lower()).split() for t in texts[i : i + 256]]
             if len(self.ids) > self.limit:
-                self.ids.clear()
+                self.past, self.ids = self.ids, {}
             if missing := set().union(*split).difference(self.ids):
-                self.learn(missing)
+                again = missing.intersection(self.past)
+                self.ids.update((w, self.past[w]) for w in again)
+                self.learn(missing - again)
             for words in split:
                 yield np.frombuffer(b"".join(map(self.ids.__getitem__, words)), "<u2")
 
 
 @lru_cache(1)
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, limit: int = WORDS) -> WordTokens:
     """One for all tasks of a worker, so that words stay known from one task to the next."""
-    return WordTokens(path)
+    return WordTokens(path, limit)
 
 
 def fill(counts: dict[int, int], target: int) -> dict[int, int]:
@@ -183,8 +190,9 @@ def _cut(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[i
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep: int = WORDS) -> DataFrame:
     """Pieces of documents with their place in a sequence; with_ids adds the ids themselves.
+    keep: the words that a worker remembers.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
     sequence_id holds the number of the input partition in its upper bits.
@@ -192,7 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokens(tokenizer_path)
+        words = word_tokens(tokenizer_path, keep)
         sequence = TaskContext.get().partitionId() << 32
         for big in batches:
             for at in range(0, big.num_rows, BLOCK):

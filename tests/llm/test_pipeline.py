@@ -1,7 +1,9 @@
 """The pipeline's stages, one after another, against what each must do to its own input."""
 
+import public_tokenizers
+
 import corpus_pipeline as cp
-from echofold.llm import decontam, simhash
+from echofold.llm import decontam, packing, simhash
 from echofold.llm.common import stage
 
 from . import brute
@@ -48,3 +50,17 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert cp.run(spark, sf_dir).count() > 0
+
+
+def test_words_kept_are_bounded_and_frequent_ones_stay_known():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, learnt = packing.WordTokens(path, 100_000), []
+    tokenize = words.tokenize
+    words.tokenize = lambda ws: (learnt.extend(ws), tokenize(ws))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [b"often " + " ".join(f"{(500 * i + j) * 7919:09d}".translate(letters) for j in range(500)).encode() for i in range(1000)]
+    ids = list(words.encode(texts))
+    assert len(words.ids) + len(words.past) < 400_000  # of 500,001 words
+    assert learnt.count(b"often") == 1
+    for i in (0, 500, 999):
+        assert ids[i].tolist() == words.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids
