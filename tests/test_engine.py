@@ -422,6 +422,33 @@ def test_upserts_touch_their_slabs_only(spark, tmp_path):
     assert "slab" not in c.read().columns
 
 
+def test_upserts_neither_move_nor_rewrite_what_they_leave(spark, tmp_path, monkeypatch):
+    """A collection's first rows are written as they are made; upserts add files, until their number is reached."""
+    import glob
+
+    from echofold.sources import store
+
+    def files():
+        return set(glob.glob(f"{tmp_path}/points/**/*.parquet", recursive=True))
+
+    monkeypatch.setattr(store, "CHANGES", 3)
+    c = Collection(spark, f"{tmp_path}/points", 24, slab=20)
+    c.create()
+    staged, stage = [], store.stage
+    monkeypatch.setattr(store, "stage", lambda df: (staged.append(df), stage(df))[1])
+    n = P.ingest(c, series_of(spark), 24, 6)
+    assert not staged and c.count() == n  # no copy of all windows
+    expected = {(r.source, r.window_idx): r.mu for r in c.read().collect()}
+    for i in range(5):
+        before = files()
+        rows = c.read().where(F.col("window_idx").between(i, 30 + i)).withColumn("mu", F.lit(float(-i)))
+        assert c.upsert(rows) == 2 * 31
+        assert before <= files() or i == 3
+        expected |= {k: float(-i) for k in expected if i <= k[1] <= 30 + i}
+        assert {(r.source, r.window_idx): r.mu for r in c.read().collect()} == expected and c.count() == n
+    assert c._changes() == [1, 2] and c.info().first()["vector_width"] == 24
+
+
 def test_filters_skip_row_groups(spark, tmp_path, monkeypatch):
     """Rows read by a search under a filter of time, against all rows."""
     from echofold.sources import store
