@@ -156,3 +156,23 @@ def test_packs_hold_neighbours_histories(spark, monkeypatch):
         assert (x[:-1, 20:] == x[1:, :80]).all(1).sum() >= len(x) - 2  # two series, so one break
     told = lambda q: sorted((r.q_key, r.source, r.window_idx, r.rank_no) for r in profile.nearest(q, blocks, 5, 100, 48).collect())
     assert told(asked) == told(asked.drop("q_vector")) == told(asked.drop("q_history_x"))
+
+
+def test_search_in_turns_gives_the_same_hits_and_clears_up(spark, sf_dir, monkeypatch):
+    import os
+
+    from echofold.plans import catalogue
+
+    asked, blocks = catalogue._asked(spark, sf_dir, 24, 6)
+    packed, found = [], []
+    staging = profile.stage
+    monkeypatch.setattr(profile, "stage", lambda df: (found.append(staging(df)), found[-1])[1])
+    rows = []
+    for part in (1 << 30, 1):
+        monkeypatch.setattr(profile, "PART", part)
+        found.clear()
+        rows.append(sorted(map(tuple, profile.nearest(asked, blocks, 3, 24, 6).select("q_key", "source", "window_idx", "rank_no", "score").collect())))
+        packed.append([os.path.exists(x.staged_at) for x in found])
+    assert rows[0] and rows[0] == rows[1]
+    assert packed[0] == [False, True]  # packs go when they are no longer needed
+    assert len(packed[1]) > 3 and not any(packed[1][:-1]) and packed[1][-1]
