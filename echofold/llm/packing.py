@@ -14,7 +14,7 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -33,8 +34,11 @@ END_ID = 1
 #: Words of which a worker keeps the ids, and as many put by; fewer take less memory and more time.
 WORDS = 300_000
 
-#: A word that ends in a letter, and ASCII signs behind it that the tokenizer splits from it.
-_TAILED = re.compile(rb"(.*[a-z])([!-&(-/:;=?@\[-`{}~]+)", re.S)
+#: Bytes of text whose words are looked up together.
+LOOKED_UP = 1 << 20
+
+#: ASCII signs that the tokenizer splits from a word that ends in a letter.
+_TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 class WordTokens:
@@ -49,6 +53,7 @@ class WordTokens:
     def __init__(self, path: str, limit: int = WORDS) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks have the cores; threads beside them only wait
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.ids: dict[bytes, bytes] = {}
@@ -60,9 +65,10 @@ class WordTokens:
         """Keep the words' ids. Words of letters alone are one word to the tokenizer too, so that many
         go in a line: each then ends with the only token that ends a word."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        plain, rest = [], []
+        for i, t in enumerate(texts):
+            (plain if t.isalpha() else rest).append(i)
         lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u2")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
@@ -79,25 +85,41 @@ class WordTokens:
     def learn(self, words: set[bytes]) -> None:
         tailed = {}
         for w in words:
-            if (m := _TAILED.fullmatch(w)) and b"<|" not in w:
-                tailed[w] = m.groups()
+            head = w.rstrip(_TAIL)
+            if len(head) < len(w) and head[-1:].islower() and b"<|" not in w:
+                tailed[w] = head, w[len(head) :]
         parts = {p for ps in tailed.values() for p in ps} | (words - tailed.keys())
         self.tokenize([p for p in parts if p not in self.ids])
         for w, (head, tail) in tailed.items():
             self.ids[w] = self.ids[head] + self.ids[tail]
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Ids of each text as unsigned 16-bit numbers, without the end id."""
-        for i in range(0, len(texts), 256):
-            split = [(t if b"<|" in t else t.lower()).split() for t in texts[i : i + 256]]
+        """Ids of each text as unsigned 16-bit numbers, without the end id.
+
+        A stretch of texts is split and its words numbered as one column, so that a word is
+        looked up once a stretch and the texts' ids are one gather.
+        """
+        group = np.cumsum([len(t) for t in texts]) // LOOKED_UP
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(texts)]
+        for i, end in zip(cuts, cuts[1:], strict=False):
+            whole = pa.array(texts[i:end], pa.large_binary()).view(pa.large_string())
+            split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole)))
+            flat = split.flatten().dictionary_encode()
+            words = flat.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
             if len(self.ids) > self.limit:
                 self.past, self.ids = self.ids, {}
-            if missing := set().union(*split).difference(self.ids):
-                again = missing.intersection(self.past)
-                self.ids.update((w, self.past[w]) for w in again)
-                self.learn(missing - again)
-            for words in split:
-                yield np.frombuffer(b"".join(map(self.ids.__getitem__, words)), "<u2")
+            found = list(map(self.ids.get, words))
+            if missing := {w for w, ids in zip(words, found, strict=True) if ids is None}:
+                again = {w: ids for w in missing if (ids := self.past.get(w)) is not None}
+                self.ids.update(again)
+                self.learn(missing - again.keys())
+                found = [self.ids[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            coded = pa.array(found, pa.large_binary()).take(flat.indices)
+            _, at, data = coded.buffers()
+            at = np.frombuffer(at, np.int64, len(coded) + 1)[np.asarray(split.offsets)] // 2
+            ids = np.frombuffer(data, "<u2", at[-1]) if at[-1] else np.empty(0, "<u2")
+            for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield ids[a:e]
 
 
 @lru_cache(1)

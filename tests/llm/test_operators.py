@@ -116,6 +116,26 @@ def test_packing(any_docs):
     assert sum(r.length for r in out) == sum(len(ids) * n for (_, ids), n in expected.items())
 
 
+def test_packing_looks_a_word_up_once_a_stretch():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Counted.asked += 1
+            return super().__getitem__(k)
+
+    words = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    words.ids = Counted()
+    texts = [" \tWord, it's\x0b(other) \xe9t\xe9... <|endoftext|>\x1cx\r\n", "", "a much used LINE of words! " * 500] * 60
+    found = [t.tolist() for t in words.encode([t.encode() for t in texts])]
+    assert found == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert Counted.asked < 2_000  # of 180,000 words
+
+
 def test_fill_is_closest():
     rng = np.random.default_rng(1)
     for _ in range(60):
