@@ -49,6 +49,8 @@ assert LENGTH - Q + 1 == WINDOWS
 #: Two independent names of each byte; the first alone names q-grams.
 _BYTES = mix64(np.arange(1, 513, dtype=np.uint64)).reshape(2, 256)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of short texts whose anchors are found together.
+TOGETHER = 1 << 16
 #: The most bytes of a stretch of text around anchors, and of stretches that are named together.
 PART, NAMED = 1 << 20, 1 << 21
 
@@ -108,6 +110,25 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[new], g[new], (o[end] >> 8) << 8 | (o[new] & 255)
 
 
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place, bucket identifier and packed offsets of the anchors of texts laid end to end, 16 MB at most.
+
+    Windows that reach into the next text are left out, so that each text's anchors are its own.
+    """
+    sizes = np.array([len(t) for t in texts])
+    starts = np.maximum(sizes - LENGTH + 1, 0)
+    if not starts.any():
+        return (np.empty(0, np.int64),) * 4
+    ids = qgram_ids(np.frombuffer(b"".join(texts), np.uint8))
+    begin = np.cumsum(sizes) - sizes
+    window = np.flatnonzero(np.repeat(np.tile([True, False], len(sizes)), np.column_stack([starts, sizes - starts]).ravel()))
+    place = least_places(ids)[window]
+    new = np.flatnonzero(place[1:] != place[:-1]) + 1
+    x, first, last = place[np.concatenate([[0], new])], window[np.concatenate([[0], new])], window[np.concatenate([new, [len(place)]]) - 1]
+    row = np.searchsorted(begin, x, "right") - 1
+    return row, x - begin[row], ids[x].view(np.int64), (x - last) << 8 | (x - first)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """rid (the row's place), doc_id and the text's bytes."""
     return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -116,29 +137,50 @@ def numbered(docs: DataFrame) -> DataFrame:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rid = column(b, "rid").to_numpy()
-        texts = column(b, "text")
-        for i in range(0, b.num_rows, 512):
-            found = [anchors(t) for t in texts.slice(i, 512).to_pylist()]
-            x, g, o = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid[i : i + 512], [len(f[0]) for f in found])), pa.array(x.astype(np.int32)), pa.array(o.astype(np.int32)), pa.array(g)], ["rid", "x", "o", "g"])
+        found, held = [], 0
+        own = column(b, "text").to_pylist()
+        sizes = np.array([len(t) for t in own])
+        group, long = np.cumsum(sizes) // TOGETHER, sizes > TOGETHER  # a long text is one of its own
+        cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | long[1:] | long[:-1]) + 1), len(own)]
+        for i, end in zip(cuts, cuts[1:], strict=False):
+            if end - i == 1:
+                x, g, o = anchors(own[i])
+                row = np.zeros(len(x), np.int64)
+            else:
+                row, x, g, o = anchors_of(own[i:end])
+            found.append((rid[i:end][row], x, o, g))
+            held += len(x)
+            if held >= 100_000 or end == len(own):
+                c = [np.concatenate(y) for y in zip(*found, strict=True)]
+                found, held = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].astype(np.int32)), pa.array(c[2].astype(np.int32)), pa.array(c[3])], ["rid", "x", "o", "g"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text the stretches around its anchors, and its length."""
     for b in batches:
-        parts, sizes = [], []
-        for t, at in zip(column(b, "text").to_pylist(), column(b, "anchors").to_pylist(), strict=True):
-            sizes.append(len(t))
-            own: list[list[int]] = []
-            for x in sorted(a["x"] for a in at):
-                lo, hi = max(0, x - WINDOWS + 1), min(len(t), x + LENGTH)
-                if own and lo <= own[-1][1] and hi - own[-1][0] <= PART:
-                    own[-1][1] = hi
-                else:
-                    own.append([lo, hi])
-            parts.append([{"at": lo, "bytes": t[lo:hi]} for lo, hi in own])
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("bytes", pa.binary())]))
-        yield pa.RecordBatch.from_arrays([column(b, "rid"), pa.array(sizes, pa.int32()), pa.array(parts, kind), column(b, "anchors")], ["rid", "size", "parts", "anchors"])
+        texts = column(b, "text").to_pylist()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        at, row = _lists(column(b, "anchors"))
+        x = at.field("x").to_numpy().astype(np.int64)
+        order = np.lexsort((x, row))
+        row, x = row[order], x[order]
+        lo, hi = np.maximum(x - WINDOWS + 1, 0), np.minimum(x + LENGTH, sizes[row])
+        first = np.ones(len(x), bool)
+        first[1:] = (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(x))
+        for k in np.flatnonzero(hi[end - 1] - lo[begin] > PART):
+            since = lo[begin[k]]
+            for i in range(begin[k], end[k]):
+                if hi[i] - since > PART:
+                    first[i], since = True, lo[i]
+        begin = np.flatnonzero(first)
+        row, lo, hi = row[begin], lo[begin], hi[np.append(begin[1:], len(x)) - 1]
+        data = [texts[r][a:e] for r, a, e in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+        parts = pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array(data, pa.binary())], ["at", "bytes"])
+        cuts = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([column(b, "rid"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(cuts, parts), column(b, "anchors")], ["rid", "size", "parts", "anchors"])
 
 
 _ROW = "rid bigint, x int, o int, piece int, i bigint, u1 bigint, u2 bigint"
@@ -146,7 +188,7 @@ _ROW = "rid bigint, x int, o int, piece int, i bigint, u1 bigint, u2 bigint"
 
 def _lists(col: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
     """The elements of a list column, and the row of each."""
-    sizes = np.diff(np.asarray(col.offsets))
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy()
     return col.flatten(), np.repeat(np.arange(len(col)), sizes)
 
 
@@ -211,11 +253,11 @@ def _level(step: int):
 
 def refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose span is shared; and a member of each refined bucket of the buckets that split."""
-    classes = rows.groupBy("i", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "x", "o", "piece")).alias("one"))
-    classes = stage(classes)
+    # any member will do; first() of each column takes the same row's, in a hash aggregate without a sort
+    classes = stage(rows.groupBy("i", "u1", "u2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("rid", "x", "o", "piece"))))
     split = stage(classes.groupBy("i").agg(F.count("*").alias("c")).where("c > 1").select("i"))
-    shared = stage(rows.join(classes.where("n > 1").select("u1", "u2"), ["u1", "u2"]).select("rid", "x", "piece"))
-    going = stage(classes.join(split, "i").select("one.*"))
+    shared = stage(rows.join(classes.where("n > 1").select("u1", "u2").hint("shuffle_hash"), ["u1", "u2"]).select("rid", "x", "piece"))
+    going = stage(classes.join(split.hint("shuffle_hash"), "i").select("rid", "x", "o", "piece"))
     discard(classes, split)
     return shared, going
 
@@ -226,14 +268,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = stage(base.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_rows, "rid bigint, x int, o int, g bigint"))
     # a staged table meets the rows in a plain shuffled join, which Spark can split at a hot bucket
     often = stage(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
-    by_text = found.join(often, "g").groupBy("rid").agg(F.collect_list(F.struct("x", "o", "g")).alias("anchors"))
-    texts = stage(base.select("rid", "text").join(by_text, "rid").mapInArrow(_segments, "rid bigint, size int, parts array<struct<at:int,bytes:binary>>, anchors array<struct<x:int,o:int,g:bigint>>"))
+    by_text = found.join(often.hint("shuffle_hash"), "g").groupBy("rid").agg(F.collect_list(F.struct("x", "o", "g")).alias("anchors"))
+    texts = stage(base.select("rid", "text").join(by_text.hint("shuffle_hash"), "rid").mapInArrow(_segments, "rid bigint, size int, parts array<struct<at:int,bytes:binary>>, anchors array<struct<x:int,o:int,g:bigint>>"))
     discard(found, often)
     out, going = None, None
     for step, width in enumerate((WINDOWS, SIDE, 1)):
         if step:
             by_text = going.groupBy("rid").agg(F.collect_list(F.struct("x", "o", "piece")).alias("anchors"))
-            texts_here = texts.select("rid", "size", "parts").join(by_text, "rid")
+            texts_here = texts.select("rid", "size", "parts").join(by_text.hint("shuffle_hash"), "rid")
         else:
             texts_here = texts
         rows = stage(texts_here.mapInArrow(_level(step), _ROW))
@@ -248,14 +290,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     return out
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s in sorted((s["lo"], s["hi"]) for s in spans or ()):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append(list(s))
-    return [tuple(s) for s in out]
+def merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of texts of these sizes, with those of a row that overlap or touch made one, in order."""
+    if not len(row):
+        return row, lo, hi
+    begin = np.cumsum(sizes + 1) - sizes - 1  # texts end to end, a byte between two, so that no span meets the next text's
+    lo, hi = lo + begin[row], hi + begin[row]
+    order = np.argsort(lo, kind="stable")
+    row, lo, hi = row[order], lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    row = row[first]
+    return row, lo[first] - begin[row], hi[np.append(first[1:], len(hi)) - 1] - begin[row]
 
 
 def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -263,16 +308,21 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     spans = repeats(docs).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         for b in batches:
-            rows = []
-            for t, s in zip(raw(b), column(b, "spans").to_pylist(), strict=True):
-                gone = merged(s)
-                kept = b"".join(t[a:e] for a, e in zip([0, *(hi for _, hi in gone)], [*(lo for lo, _ in gone), len(t)], strict=True))
-                rows.append((len(t), len(t) - len(kept), [{"lo": a, "hi": e} for a, e in gone], hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            c = list(zip(*rows, strict=True))
-            arrays = [column(b, "doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], kind), pa.array(c[3]), pa.array(c[4], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], ["doc_id", "n_bytes", "n_removed", "removed", "kept_sha256", "kept"][: 5 + with_text])
-
-    joined = numbered(docs).join(spans, "rid", "left").select("doc_id", "text", "spans")
+            texts = raw(b)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            spans, row = _lists(column(b, "spans"))
+            row, lo, hi = merged(row, *(spans.field(f).to_numpy().astype(np.int64) for f in ("lo", "hi")), sizes)
+            cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+            left = list(texts)
+            for r in np.unique(row).tolist():
+                t, own = texts[r], slice(cuts[r], cuts[r + 1])
+                left[r] = b"".join([t[a:e] for a, e in zip([0, *hi[own].tolist()], [*lo[own].tolist(), len(t)], strict=True)])
+            removed = pa.ListArray.from_arrays(cuts.astype(np.int32), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"]))
+            n_removed = sizes - np.array([len(t) for t in left], np.int64)
+            told = pa.array([hashlib.sha256(t).hexdigest() for t in left], pa.string())
+            arrays = [column(b, "doc_id"), pa.array(sizes), pa.array(n_removed), removed, told, *([pa.array(left, pa.binary())] if with_text else [])]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "removed", "kept_sha256", "kept"][: len(arrays)])
+
+    joined = numbered(docs).join(spans.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, n_removed bigint, removed array<struct<lo:bigint,hi:bigint>>, kept_sha256 string" + ", kept binary" * with_text)

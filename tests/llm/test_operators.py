@@ -90,6 +90,45 @@ def test_anchors_in_stretches(monkeypatch):
         assert all(np.array_equal(a, b) for a, b in zip(whole, substring.anchors(text), strict=True))
 
 
+def test_anchors_of_several_texts_are_their_own():
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abc "), n)).encode() for n in (0, 199, 700, 0, 0, 200, 201, 5000, 1, 300, 0)]
+    texts += [texts[2], texts[2][100:], b"ab" * 300]
+    for own in (texts, texts[:2], texts[3:6], []):
+        row, *found = substring.anchors_of(own)
+        alone = [substring.anchors(t) for t in own]
+        assert row.tolist() == [i for i, a in enumerate(alone) for _ in a[0]]
+        for k, x in enumerate(found):
+            assert x.tolist() == [y for a in alone for y in a[k].tolist()]
+
+
+@pytest.mark.parametrize("part", [400, 900, 1 << 20])
+def test_stretches_around_anchors(monkeypatch, part):
+    monkeypatch.setattr(substring, "PART", part)
+    rng = np.random.default_rng(part)
+    texts = [rng.bytes(n) for n in (200, 9000, 700, 5000)]
+    at = [[{"x": int(x), "o": 0} for x in rng.integers(0, len(t) - 31, n)] for t, n in zip(texts, (1, 40, 2, 3), strict=True)]
+    kind = pa.list_(pa.struct([("x", pa.int32()), ("o", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts), pa.array(at, kind)], ["rid", "text", "anchors"])
+    for t, r in zip(texts, next(substring._segments(iter([batch]))).to_pylist(), strict=True):
+        own = []
+        for x in sorted(a["x"] for a in r["anchors"]):
+            lo, hi = max(0, x - 168), min(len(t), x + 200)
+            if own and lo <= own[-1][1] and hi - own[-1][0] <= part:
+                own[-1][1] = hi
+            else:
+                own.append([lo, hi])
+        assert r["size"] == len(t) and r["parts"] == [{"at": lo, "bytes": t[lo:hi]} for lo, hi in own]
+
+
+def test_substring_dedup_hashes_and_does_not_sort(docs, monkeypatch):
+    plans, stage = [], substring.stage
+    monkeypatch.setattr(substring, "stage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stage(df))[1])
+    plans.append(substring.dedup(docs)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and "ShuffledHashJoin" in plans[-1]
+    assert not any(re.search("SortAggregate|SortMergeJoin", p) for p in plans)
+
+
 def test_packing(any_docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out = packing.pack_documents(any_docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True).collect()
