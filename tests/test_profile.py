@@ -28,6 +28,23 @@ def shapes(n=400):
     return {"walk": walk, "holes": holes, "quiet": quiet, "flat": [7.0] * n, "steps": [i % 12 for i in range(n)], "short": [1.0, 2.0]}
 
 
+@pytest.mark.parametrize("tile", [1, 30, 1000])
+def test_products_in_tiles(monkeypatch, tile):
+    """What may be among the best is found whatever is multiplied at once, gaps and late windows left out."""
+    monkeypatch.setattr(profile, "TILE", tile)
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=400)
+    values[77] = np.nan
+    stretch, vectors, open_ = profile.Stretch(values, 371, 24, 30), profile.unit(rng.normal(size=(9, 24))), np.arange(0, 369, 41)
+    query, window, score = profile.best(stretch, vectors, open_, 2, np.full(9, -np.inf), 400)
+    exact = profile.unit(np.lib.stride_tricks.sliding_window_view(values, 24)) @ vectors.T
+    whole = np.array([not np.isnan(values[i : i + 30]).any() for i in range(371)])
+    for q in range(9):
+        may = np.flatnonzero(whole & (np.arange(371) < open_[q]))
+        assert set(may[np.argsort(-exact[may, q])[:2]]) <= set(window[query == q]) <= set(may)
+    assert np.allclose(score, exact[window, query], atol=1e-12)
+
+
 @pytest.mark.parametrize("block,pack,fourier", [(4000, 256, 400), (37, 5, 400), (90, 7, 1)])
 def test_hits_in_series_are_those_of_vectors(spark, monkeypatch, block, pack, fourier):
     """Periodic and flat series give many equal scores, which go by key; a quiet half after a loud one tests the prefix sums."""
@@ -47,6 +64,63 @@ def test_hits_in_series_are_those_of_vectors(spark, monkeypatch, block, pack, fo
     assert above == {(r.q_key, r.source, r.window_idx) for r in P.hits_of(P.every(points, 10), points, k, threshold=0.9).collect()}
 
 
+def test_windows_far_from_their_blocks_mean(spark):
+    """Levels far apart with little movement around them: single precision must not lose hits that lie close together."""
+    rng = np.random.default_rng(8)
+    level = np.repeat(rng.normal(size=40) * 1000, 50)
+    df = series(spark, {"a": level + np.repeat(rng.normal(size=500), 4), "b": level[::-1] + np.repeat(rng.normal(size=500), 4)})
+    blocks = stage(windows.series_blocks(df, 24, 6, tie="tie"))
+    points = stage(P.points_of(df, 24, 6, tie="tie"))
+    asked = stage(P.asked_windows(blocks, 3, 24, 6))
+    told = lambda d: sorted((r.q_key, r.rank_no, r.source, r.window_idx, round(r.score, 8)) for r in d.collect())
+    assert told(P.hits_in_series(asked, blocks, 5, 24, 6)) == told(P.hits_of(P.every(points, 3), points, 5))
+
+
+def test_equal_scores_end_a_query(spark):
+    """A query whose hits all have the highest score asks no later block; the earlier windows are its hits."""
+    values = np.tile([3.0, 1.0, 4.0, 1.0, 5.0, 9.0], 70)
+    vectors = profile.unit(np.lib.stride_tricks.sliding_window_view(values, 24)[:1])
+    stretch = profile.Stretch(values, 390, 24, 30)
+    found = profile.Leaders(vectors, 3, None)
+    found.take(0, *profile.best(stretch, vectors, np.array([390]), 3, found.least, 400))
+    assert found.done.all() and found.window.tolist() == [0, 6, 12]
+    found.take(1, *profile.best(stretch, vectors, np.array([390]), 3, found.least, 400))
+    assert found.block.tolist() == [0, 0, 0]
+    df = series(spark, {"a": values, "b": values})
+    blocks = stage(windows.series_blocks(df, 24, 6, tie="tie", block=40))
+    asked = stage(P.asked_windows(blocks, 10, 24, 6))
+    points = stage(P.points_of(df, 24, 6, tie="tie"))
+    told = lambda d: sorted((r.q_key, r.rank_no, r.source, r.window_idx) for r in d.collect())
+    hits = profile.nearest(asked, blocks, 5, 24, 6)
+    assert told(hits) == told(P.hits_of(P.every(points, 10), points, 5))
+
+
+def test_filters_that_let_nothing_pass_are_left_out(monkeypatch):
+    """Only queries whose filter lets a window pass are multiplied."""
+    rng = np.random.default_rng(4)
+    stretch = profile.Stretch(rng.normal(size=300), 270, 24, 30)
+    vectors = profile.unit(rng.normal(size=(6, 24)))
+    asked = []
+    scores = stretch.scores
+    monkeypatch.setattr(stretch, "scores", lambda v, *a: (asked.append(len(v)), scores(v, *a))[1])
+    passing = np.zeros((3, 270), bool)
+    passing[0], passing[1, 200:] = True, True
+    open_ = np.array([270, 270, 270, 100, 100, 100])
+    query, window, _ = profile.best(stretch, vectors, open_, 2, np.full(6, -np.inf), 400, passing, np.array([0, 1, 2, 0, 1, 2]))
+    assert asked == [3] and set(query) == {0, 1, 3} and window[query == 1].min() >= 200 and window[query == 3].max() < 100
+
+
+def test_infinite_values_have_no_score(spark):
+    values = np.random.default_rng(6).normal(size=300)
+    values[150] = np.inf
+    df = series(spark, {"a": values})
+    for fourier in (400, 1):
+        blocks = stage(windows.series_blocks(df, 24, 6, tie="tie"))
+        asked = stage(P.asked_windows(blocks, 10, 24, 6))
+        found = profile.nearest(asked, blocks, 3, 24, 6, fourier=fourier).collect()
+        assert {r.q_key for r in found} >= {f"a|{i}" for i in range(60, 120, 10)} and not any(126 < r.window_idx <= 150 for r in found)
+
+
 def test_requests_in_series_and_forecasts(spark):
     df = series(spark, shapes())
     blocks = stage(windows.series_blocks(df, 24, 6, tie="tie"))
