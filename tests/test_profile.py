@@ -143,6 +143,23 @@ def test_series_blocks_hold_each_value_about_once(spark):
         assert r["values"] == list(map(float, range(r["first"], r["first"] + len(r["values"]))))
 
 
+@pytest.mark.parametrize("cut", [7, 1000])
+def test_windows_cut_from_blocks_are_the_sliding_ones(spark, monkeypatch, cut):
+    """Also their keys alone; and no slice() of a block's array for each window."""
+    monkeypatch.setattr(windows, "CUT", cut)
+    df = series(spark, shapes() | {"gap": [None] * 40, "short": [1.0] * 30})
+    blocks = stage(windows.series_blocks(df, 24, 6, tie="tie", block=50))
+    told = lambda d: sorted((r.source, r.window_idx, r.label_ts, r.last_ts, tuple(r.history_x), tuple(r.future_y)) for r in d.collect())
+    want = told(windows.sliding_windows(df, 24, 6, tie="tie"))
+    found = windows.every_window(blocks, 1, 24, 6)
+    assert told(found) == want and told(windows.every_window(blocks, 7, 24, 6)) == [w for w in want if w[1] % 7 == 0]
+    keys = windows.every_window(blocks, 1, 24, 6, whole=False)
+    assert keys.columns == ["source", "window_idx"] and sorted(map(tuple, keys.collect())) == [w[:2] for w in want]
+    twice = spark.createDataFrame([w[:2] for w in want[::9]] * 2 + [("walk", 100_000), ("none", 3)], "source string, window_idx bigint")
+    assert told(windows.wanted_windows(blocks, twice, 24, 6, block=50)) == want[::9]
+    assert "slice(" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_places_are_those_of_row_number(spark, dense):
     """dense: all rows of a source in one second."""
