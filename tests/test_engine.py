@@ -535,3 +535,28 @@ def test_forecasts_leave_their_result_only(spark, points):
     with pytest.raises(Exception, match="dimensions"):
         P.forecast(asked.withColumn("q_vector", F.slice("q_vector", 1, 3)), points, 3, 6)
     assert len(folders() - before) == 1
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 500])
+def test_bands_are_those_of_sorted_steps_without_a_row_for_each(spark, monkeypatch, at_once):
+    """Ragged and empty futures, equal values and one hit alone, against plain sorting; a hit's steps aren't rows of a window."""
+    monkeypatch.setattr(fusion, "AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    rows = []
+    for q in range(11):
+        n = 1 + q % 5
+        w = rng.random(n)
+        rows += [(f"q{q}", float(q), 1.0 + q, r + 1, float(w[r] / w.sum()), [] if (q + r) % 7 == 3 else [float(x) for x in rng.integers(0, 3, 4 + (q + r) % 4)], 1.0, 2.0) for r in range(n)]
+    hits = spark.createDataFrame(rows, "q_key string, q_mu double, q_sigma double, rank_no int, weight double, future_y array<double>, mu double, sigma double").repartition(3)
+    want = []
+    for q in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == q]
+        for step in range(6):
+            have = sorted(((r[5][step] - r[6]) / r[7], r[3], r[4]) for r in own if len(r[5]) > step)
+            if have:
+                upto = np.cumsum([h[2] for h in have])
+                want.append((q, step, *(round(next(h[0] for h, u in zip(have, upto, strict=True) if u / upto[-1] >= p - 1e-9) * own[0][2] + own[0][1], 9) for p in (0.1, 0.5, 0.9))))
+    b = fusion.bands(hits, "q_key", 6)
+    assert sorted((r.q_key, r.step, round(r.lo, 9), round(r.mid, 9), round(r.hi, 9)) for r in b.collect()) == sorted(want)
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
