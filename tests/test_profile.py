@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echofold.operators import profile, windows
+from echofold.operators import encode, profile, windows
 from echofold.plans import forecasting as P
 from echofold.sources.staging import stage
 
@@ -153,10 +153,13 @@ def test_windows_cut_from_blocks_are_the_sliding_ones(spark, monkeypatch, cut):
     want = told(windows.sliding_windows(df, 24, 6, tie="tie"))
     found = windows.every_window(blocks, 1, 24, 6)
     assert told(found) == want and told(windows.every_window(blocks, 7, 24, 6)) == [w for w in want if w[1] % 7 == 0]
-    keys = windows.every_window(blocks, 1, 24, 6, whole=False)
+    keys = windows.every_window(blocks, 1, 24, 6, columns=())
     assert keys.columns == ["source", "window_idx"] and sorted(map(tuple, keys.collect())) == [w[:2] for w in want]
     twice = spark.createDataFrame([w[:2] for w in want[::9]] * 2 + [("walk", 100_000), ("none", 3)], "source string, window_idx bigint")
     assert told(windows.wanted_windows(blocks, twice, 24, 6, block=50)) == want[::9]
+    own = encode.encoded(windows.sliding_windows(df, 24, 6, tie="tie")).select("source", "window_idx", "mu", "sigma")
+    moments = windows.every_window(blocks, 1, 24, 6, columns=("mu", "sigma"))
+    assert np.allclose([r[2:] for r in sorted(map(tuple, moments.collect()))], [r[2:] for r in sorted(map(tuple, own.collect()))], rtol=1e-9, atol=1e-12)
     assert "slice(" not in found._jdf.queryExecution().toString()
 
 
